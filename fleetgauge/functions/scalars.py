@@ -271,3 +271,22 @@ def plane_reorder(values: Column) -> Column:
     return F.concat(
         F.slice(values, third * 2 + 1, third), F.slice(values, F.lit(1), third), F.slice(values, third + 1, third)
     )
+
+
+def fixed(value: Column, digits: int, sign: bool = False, suffix: str = "") -> Column:
+    """Text with fixed decimals, rounding the exact binary value with halves to even.
+
+    JVM formatting rounds the shortest decimal form half up, which differs at ties.  The value
+    is split in two halves so that both products with the power of ten are exact.
+    """
+    scale = float(10**digits)
+    size = F.abs(value)
+    wide = size * 134217729.0
+    high = wide - (wide - size)
+    top, rest = high * scale, (size - high) * scale
+    whole = F.floor(top)
+    past_half = (top - whole - 0.5) + rest
+    up = (past_half > 0) | ((past_half == 0) & (whole % 2 == 1))
+    rounded = (whole + F.when(up, 1).otherwise(0)) / scale
+    signed = F.when(value < 0, -rounded).otherwise(rounded)
+    return F.format_string(f"%{'+' if sign else ''}.{digits}f{suffix}", signed)

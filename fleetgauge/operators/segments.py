@@ -29,10 +29,6 @@ def segmented(df: DataFrame, segment: Column) -> DataFrame:
     return df.withColumn(SEGMENT, segment)
 
 
-def _columns(names: Sequence[str | Column]) -> list[Column]:
-    return [F.col(n) if isinstance(n, str) else n for n in names]
-
-
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,19 +36,30 @@ def previous_row(
     values: Sequence[str],
     segment: Column,
     out: str = "previous",
+    where: Column | None = None,
 ) -> DataFrame:
-    """Add struct ``out`` with ``values`` of the preceding row of the group (null on the first)."""
-    data = segmented(df, segment)
-    held = F.struct(*values)
+    """Add struct ``out`` with ``values`` of the preceding row of the group (null on the first).
+
+    With ``where`` only rows that satisfy it count as preceding rows.
+    """
+    held = F.struct(*values) if where is None else F.when(where, F.struct(*values))
+    data = segmented(df, segment).withColumn("_held", held)
     local = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
-    tails = data.groupBy(*keys, SEGMENT).agg(F.max_by(held, F.struct(*order)).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy(SEGMENT)
-    carried = tails.select(*keys, SEGMENT, F.lag("_tail").over(across).alias("_carried"))
+    if where is None:
+        here, carry = F.lag("_held").over(local), F.lag("_tail").over(across)
+    else:
+        span = (Window.unboundedPreceding, -1)
+        here = F.last("_held", ignorenulls=True).over(local.rowsBetween(*span))
+        carry = F.last("_tail", ignorenulls=True).over(across.rowsBetween(*span))
+    place = F.when(F.col("_held").isNotNull(), F.struct(*order))
+    tails = data.groupBy(*keys, SEGMENT).agg(F.max_by("_held", place).alias("_tail"))
+    carried = tails.select(*keys, SEGMENT, carry.alias("_carried"))
     return (
-        data.withColumn(out, F.lag(held).over(local))
+        data.withColumn(out, here)
         .join(carried, [*keys, SEGMENT])
         .withColumn(out, F.coalesce(out, "_carried"))
-        .drop("_carried", SEGMENT)
+        .drop("_carried", "_held", SEGMENT)
     )
 
 
