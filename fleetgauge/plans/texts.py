@@ -11,17 +11,15 @@ from fleetgauge.plans.registry import query
 c = F.col
 
 
-@query("S05_explode_packets", """WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity, l_partkey, l_suppkey) - 1 AS index FROM lineitem)
-SELECT l_orderkey, CAST(index AS INTEGER) AS index, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS pts, CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber AS VARCHAR) END AS dts, CASE WHEN l_linenumber = 1 THEN 'K__' ELSE '___' END AS flags FROM o""")
+@query("S05_explode_packets", """WITH o AS (SELECT o_orderkey, o_custkey, unnest(range(0, o_custkey % 5)) AS i FROM orders)
+SELECT o_orderkey, CAST(i AS INTEGER) AS index, CAST(i * 512 AS VARCHAR) AS pts, CASE WHEN i <> 3 THEN CAST(i * 512 - o_custkey % 7 AS VARCHAR) END AS dts, CASE WHEN i = 0 THEN 'K__' ELSE '___' END AS flags FROM o""")
 def _s05(t):
-    # A probe document per order; its packets are the lines of the order, at most a few.
-    line = F.struct("l_linenumber", "l_extendedprice", "l_quantity", "l_partkey", "l_suppkey")
-    packet = lambda x: F.struct(
-        F.round(x["l_extendedprice"] * 100).cast("long").cast("string").alias("pts"),
-        F.when(x["l_linenumber"] != 3, x["l_linenumber"].cast("string")).alias("dts"),
-        F.when(x["l_linenumber"] == 1, "K__").otherwise("___").alias("flags"))
-    docs = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines")).select(
-        "l_orderkey", F.to_json(F.struct(F.transform("lines", packet).alias("packets"))).alias("probe"))
+    # A probe document per order with up to four packets; some documents hold none.
+    packet = lambda i: F.struct(
+        (i * 512).cast("string").alias("pts"), F.when(i != 3, (i * 512 - c("o_custkey") % 7).cast("string")).alias("dts"),
+        F.when(i == 0, "K__").otherwise("___").alias("flags"))
+    slots = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < c("o_custkey") % 5)
+    docs = t.orders.select("o_orderkey", F.to_json(F.struct(F.transform(slots, packet).alias("packets"))).alias("probe"))
     return tx.explode_packets(docs, "probe")
 
 
