@@ -31,7 +31,8 @@ def read_run_manifests(spark: SparkSession, paths: str, schema: str = sm.MANIFES
         spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", multi_line)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
     )
-    path = F.col("_metadata.file_path")
+    # The metadata path is a URL; a plus sign in it stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return raw.select(
         "*", path.alias("path"), F.regexp_extract(path, layout, 1).alias("implementation"),
         F.regexp_extract(path, layout, 2).try_cast("int").alias("round"),
