@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.segments import SEGMENT, by_width, running
+from fleetgauge.operators.segments import SEGMENT, by_width
 
 
 def clip(df: DataFrame, low: Column, high: Column, start: str = "start", end: str = "end") -> DataFrame:
@@ -24,29 +24,35 @@ def merge_intervals(
 ) -> DataFrame:
     """Merge overlapping or touching intervals per key; empty ones vanish.
 
-    Intervals are merged inside time segments of ``width`` first, which shrinks the data
-    where it is dense; the pieces are then joined across segment borders.
+    Intervals are merged inside time segments of ``width`` first.  Two numbers per segment, its
+    last start and its furthest end, then tell how far earlier segments reach and where their
+    last island began.  A piece within that reach belongs to that island, any other piece
+    begins its own.
     """
     data = df.select(*keys, start, end).filter(F.col(end) > F.col(start))
-    data = data.withColumn("_s", by_width(F.col(start), width))
-    local = Window.partitionBy(*keys, "_s").orderBy(start, end)
+    data = data.withColumn(SEGMENT, by_width(F.col(start), width))
+    local = Window.partitionBy(*keys, SEGMENT).orderBy(start, end)
     reach = F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1))
     pieces = (
         data.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), F.col(start)))
         .withColumn("_piece", F.max("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_s", "_piece")
+        .groupBy(*keys, SEGMENT, "_piece")
         .agg(F.max(end).alias(end))
-        .withColumnRenamed("_piece", start)
     )
-    segment = F.col("_s")
-    reached = running(pieces, keys, [start], segment, inclusive=False, _reach=("max", end))
-    opened = reached.withColumn(
-        "_open",
-        F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start)),
+    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    reached = (
+        pieces.groupBy(*keys, SEGMENT)
+        .agg(F.max("_piece").alias("_last"), F.max(end).alias("_end"))
+        .withColumn("_reach", F.max("_end").over(earlier))
+        .withColumn("_opened", F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last")))
+        .withColumn("_island", F.max("_opened").over(earlier))
+        .select(*keys, SEGMENT, "_reach", "_island")
     )
-    grouped = running(opened, keys, [start], segment, _island=("max", "_open"))
+    own = F.col("_reach").isNull() | (F.col("_piece") > F.col("_reach"))
     return (
-        grouped.groupBy(*keys, "_island")
+        pieces.join(reached, [*keys, SEGMENT])
+        .withColumn("_island", F.when(own, F.col("_piece")).otherwise(F.col("_island")))
+        .groupBy(*keys, "_island")
         .agg(F.max(end).alias(end))
         .select(*keys, F.col("_island").alias(start), end)
     )
@@ -61,6 +67,9 @@ def concurrency_sweep(
     number of open intervals gives the state between two instants.  No interval join.
     """
     data = df.filter(F.col(end) > F.col(start)).withColumn("_a", side.cast("int"))
+    # Edges are shuffled once, by (key, time segment).  Inside a segment the number of open
+    # intervals is known up to what earlier segments left open, so time is summed per relative
+    # level, and the level carried in comes from a table with one row per segment.
     edges = data.select(
         *keys,
         "_a",
@@ -70,19 +79,34 @@ def concurrency_sweep(
                 F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")),
             )
         ).alias("_e"),
-    ).select(*keys, F.col("_e.t").alias("_t"), (F.col("_e.d") * F.col("_a")).alias("_da"),
-             (F.col("_e.d") * (1 - F.col("_a"))).alias("_db"))
-    instants = edges.groupBy(*keys, "_t").agg(F.sum("_da").alias("_da"), F.sum("_db").alias("_db"))
-    state = running(
-        instants, keys, ["_t"], by_width(F.col("_t"), width), inclusive=False,
-        _open_a=("sum", "_da"), _open_b=("sum", "_db"), _since=("max", "_t"),
-    )
-    span = F.col("_t") - F.col("_since")
-    on_a, on_b = F.col("_open_a") > 0, F.col("_open_b") > 0
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, span)), F.lit(0)).cast("long")
-    return state.groupBy(*keys).agg(
-        total(on_a).alias("busy_a"), total(on_b).alias("busy_b"), total(on_a & on_b).alias("overlap")
-    )
+    ).select(
+        *keys, by_width(F.col("_e.t"), width).alias(SEGMENT), F.col("_e.t").alias("_t"),
+        (F.col("_e.d") * F.col("_a")).alias("_da"), (F.col("_e.d") * (1 - F.col("_a"))).alias("_db"))
+    instants = edges.repartition(*keys, SEGMENT).groupBy(*keys, SEGMENT, "_t").agg(
+        F.sum("_da").alias("_da"), F.sum("_db").alias("_db"))
+    local = Window.partitionBy(*keys, SEGMENT).orderBy("_t")
+    before = local.rowsBetween(Window.unboundedPreceding, -1)
+    levels = instants.withColumns({
+        "_la": F.coalesce(F.sum("_da").over(before), F.lit(0)), "_lb": F.coalesce(F.sum("_db").over(before), F.lit(0)),
+        "_span": F.col("_t") - F.lag("_t").over(local),
+    }).groupBy(*keys, SEGMENT, "_la", "_lb").agg(F.sum("_span").alias("_span"))
+    # Combined map-side from the edges: one row per segment is shuffled here.
+    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.groupBy(*keys, SEGMENT).agg(
+        F.sum("_da").alias("_da"), F.sum("_db").alias("_db"), F.min("_t").alias("_from"), F.max("_t").alias("_to")
+    ).select(
+        *keys, SEGMENT, F.coalesce(F.sum("_da").over(earlier), F.lit(0)).alias("_ca"),
+        F.coalesce(F.sum("_db").over(earlier), F.lit(0)).alias("_cb"), (F.col("_from") - F.max("_to").over(earlier)).alias("_rest"))
+    # Every segment starts at relative level (0, 0); the time since the last instant of the
+    # segment before it was spent at that level too.
+    rest = F.when((F.col("_la") == 0) & (F.col("_lb") == 0), F.col("_rest"))
+    rows = levels.join(carried, [*keys, SEGMENT]).select(
+        *keys, (F.col("_ca") + F.col("_la")).alias("a"), (F.col("_cb") + F.col("_lb")).alias("b"),
+        (F.coalesce("_span", F.lit(0)) + F.coalesce(rest, F.lit(0))).alias("span"))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("span"))), F.lit(0)).cast("long")
+    on_a, on_b = F.col("a") > 0, F.col("b") > 0
+    return rows.groupBy(*keys).agg(
+        total(on_a).alias("busy_a"), total(on_b).alias("busy_b"), total(on_a & on_b).alias("overlap"))
 
 
 def interval_overlap(

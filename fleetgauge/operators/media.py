@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
 from fleetgauge.functions import scalars as sc
-from fleetgauge.operators.segments import by_width, previous_row
+from fleetgauge.operators.segments import SEGMENT, by_width
 from fleetgauge.operators.sequence import SEGMENT_ROWS
 
 
@@ -18,15 +18,30 @@ def packet_facts(packets: DataFrame, file: str, segment_rows: int = SEGMENT_ROWS
     key = F.coalesce(F.col("flags"), F.lit("")).contains("K")
     data = packets.select(
         file, "index", sc.any_int(F.col("pts")).alias("pts"), sc.any_int(F.col("dts")).alias("dts"), key.alias("key"))
-    place = by_width(F.col("index"), segment_rows)
-    seen = previous_row(data, [file], ["index"], ["pts", "dts"], place, "_last")
-    seen = previous_row(seen, [file], ["index"], ["index"], place, "_key", where=F.col("key"))
-    bad = lambda n: F.min(F.when(F.col(n).isNull() | (F.col(n) <= F.col(f"_last.{n}")), F.col("index")))
-    gap = F.when(F.col("key"), F.col("index") - F.col("_key.index"))
-    return seen.groupBy(file).agg(
-        F.count("*").alias("packet_count"), bad("pts").alias("bad_pts_index"), bad("dts").alias("bad_dts_index"),
-        F.count_if("key").alias("keyframe_count"), F.min(F.when(F.col("key"), F.col("index"))).alias("first_keyframe"),
-        F.min(gap).alias("min_gap"), F.max(gap).alias("max_gap"),
+    data = data.withColumn(SEGMENT, by_width(F.col("index"), segment_rows))
+    local = Window.partitionBy(file, SEGMENT).orderBy("index")
+    key_index = F.when(F.col("key"), F.col("index"))
+    last_key = F.max(key_index).over(local.rowsBetween(Window.unboundedPreceding, -1))
+    stalls = lambda n: F.when(F.col(n).isNull() | (F.col(n) <= F.lag(n).over(local)), F.col("index"))
+    row = F.struct("index", "pts", "dts")
+    # One row per file and segment: what is wrong inside, and its first and last packet.
+    parts = data.withColumns({
+        "_row": row, "_pts": stalls("pts"), "_dts": stalls("dts"), "_key": key_index, "_gap": key_index - last_key,
+    }).groupBy(file, SEGMENT).agg(
+        F.count("*").alias("_n"), F.count("_key").alias("_keys"), F.min("_row").alias("_head"), F.max("_row").alias("_tail"),
+        F.min("_pts").alias("_pts"), F.min("_dts").alias("_dts"), F.min("_key").alias("_first"), F.max("_key").alias("_last"),
+        F.min("_gap").alias("_low"), F.max("_gap").alias("_high"),
+    )
+    across = Window.partitionBy(file).orderBy(SEGMENT)
+    before = F.lag("_tail").over(across)
+    earlier_key = F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    joint = lambda n: F.when(F.col(f"_head.{n}") <= before[n], F.col("_head.index"))
+    parts = parts.withColumns({"_jp": joint("pts"), "_jd": joint("dts"), "_jg": F.col("_first") - earlier_key})
+    return parts.groupBy(file).agg(
+        F.sum("_n").alias("packet_count"), F.least(F.min("_pts"), F.min("_jp")).alias("bad_pts_index"),
+        F.least(F.min("_dts"), F.min("_jd")).alias("bad_dts_index"), F.sum("_keys").alias("keyframe_count"),
+        F.min("_first").alias("first_keyframe"), F.least(F.min("_low"), F.min("_jg")).alias("min_gap"),
+        F.greatest(F.max("_high"), F.max("_jg")).alias("max_gap"),
     )
 
 

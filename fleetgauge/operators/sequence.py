@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
-from fleetgauge.operators.segments import by_width, previous_row, row_numbers, trailing_mean
+from fleetgauge.operators.segments import SEGMENT, by_width, previous_row, row_numbers, trailing_mean
 
 # Rows of one group that a single task may have to order.
 SEGMENT_ROWS = 100_000
@@ -21,11 +21,18 @@ def strictly_increasing(
     df: DataFrame, keys: Sequence[str], index: str, value: str, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Per group: whether ``value`` grows at every row, and the first index where it does not."""
-    seen = previous_row(df, keys, [index], [value], by_width(F.col(index), segment_rows))
-    bad = F.col(value).isNull() | (F.col(value) <= F.col(f"previous.{value}"))
-    return seen.groupBy(*keys).agg(F.min(F.when(bad, F.col(index))).alias("bad_index")).withColumn(
-        "monotonic", F.col("bad_index").isNull()
-    )
+    here = F.struct(F.col(index).alias("i"), F.col(value).alias("v"))
+    data = df.select(*keys, index, value, by_width(F.col(index), segment_rows).alias(SEGMENT), here.alias("_row"))
+    local = Window.partitionBy(*keys, SEGMENT).orderBy(index)
+    bad = F.col(value).isNull() | (F.col(value) <= F.lag(value).over(local))
+    # One row per segment: its first bad index, its first and its last row.
+    parts = data.withColumn("_bad", F.when(bad, F.col(index))).groupBy(*keys, SEGMENT).agg(
+        F.min("_bad").alias("_bad"), F.min("_row").alias("_head"), F.max("_row").alias("_tail"))
+    before = F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SEGMENT))
+    joint = F.when(F.col("_head.v") <= before["v"], F.col("_head.i"))
+    return parts.withColumn("_joint", joint).groupBy(*keys).agg(
+        F.least(F.min("_bad"), F.min("_joint")).alias("bad_index")
+    ).withColumn("monotonic", F.col("bad_index").isNull())
 
 
 def keyframe_gaps(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
-from fleetgauge.operators.segments import by_width, previous_row
+from fleetgauge.operators.segments import SEGMENT, by_width
 
 # Clock limit reasons, their bits, and those that spoil a measurement.
 THROTTLE_BITS = {
@@ -63,80 +63,151 @@ def clip_to_window(samples: DataFrame, runs: DataFrame, keys: Sequence[str], t:
     return inside.select(*samples.columns).unionByName(border)
 
 
-def energy_terms(samples: DataFrame, keys: Sequence[str], t: str = "relative_sec", power: str = "power_w",
-                 segment_seconds: float = SEGMENT_SECONDS) -> DataFrame:
-    """Add ``energy_term_j``: the trapezoid between a sample and the previous one with power."""
-    known = F.col(power).isNotNull()
-    seen = previous_row(
-        samples, keys, [t], [t, power], by_width(F.col(t), segment_seconds), "_before", where=known
-    )
-    elapsed = F.col(t) - F.col(f"_before.{t}")
-    term = F.when(known & (elapsed > 0), elapsed * (F.col(power) + F.col(f"_before.{power}")) / 2)
-    return seen.withColumn("energy_term_j", term).drop("_before")
-
-
 def energy_trapezoid(samples: DataFrame, keys: Sequence[str], t: str = "relative_sec", power: str = "power_w",
                      segment_seconds: float = SEGMENT_SECONDS) -> DataFrame:
-    """Energy per run; samples without power and steps that do not advance are skipped."""
-    return energy_terms(samples, keys, t, power, segment_seconds).groupBy(*keys).agg(
-        F.coalesce(F.sum("energy_term_j"), F.lit(0.0)).alias("energy_j")
-    )
+    """Energy per run; samples without power and steps that do not advance are skipped.
 
+    Trapezoids are summed inside time segments; the trapezoid across a border needs only the
+    last sample before it and the first one after it.
+    """
+    pair = F.when(F.col(power).isNotNull(), F.struct(F.col(t).alias("t"), F.col(power).alias("p")))
+    data = samples.select(*keys, by_width(F.col(t), segment_seconds).alias(SEGMENT), F.col(t).alias("_t"), pair.alias("_now"))
+    earlier = (Window.unboundedPreceding, -1)
+    local = Window.partitionBy(*keys, SEGMENT).orderBy("_t").rowsBetween(*earlier)
+    across = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(*earlier)
+    term = _trapezoid(F.last("_now", ignorenulls=True).over(local), F.col("_now"))
+    parts = data.withColumn("_term", term).groupBy(*keys, SEGMENT).agg(
+        F.sum("_term").alias("_energy"), F.min("_now").alias("_head"), F.max("_now").alias("_tail"))
+    joint = _trapezoid(F.last("_tail", ignorenulls=True).over(across), F.col("_head"))
+    return parts.withColumn("_energy", _sum_known(F.col("_energy"), joint)).groupBy(*keys).agg(F.sum("_energy").alias("energy_j"))
 
-# Aggregates of clipped samples, by the operator they belong to.  ``first known`` values use
-# min_by with a null order where the value is missing, so every aggregate combines map-side.
-def _first_known(column: str, t: str) -> Column:
-    return F.min_by(column, F.when(F.col(column).isNotNull(), F.col(t)))
 
+def _trapezoid(before: Column, now: Column) -> Column:
+    elapsed = now["t"] - before["t"]
+    return F.when(elapsed > 0, elapsed * (now["p"] + before["p"]) / 2)
 
-def aggregates(part: str, t: str = "relative_sec") -> dict[str, Column]:
-    c = F.col
+
+def _sum_known(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
+
+
+# How a metric of one sample is merged, first over the samples of a segment, then over segments.
+_MERGE = {
+    "sum": F.sum, "max": F.max, "min": F.min,
+    # Distinct reason lists of a nine-name vocabulary: the buffer cannot grow with the run.
+    "union": lambda column: F.array_distinct(F.flatten(F.collect_set(column))),
+}
+PARTS = ("count", "power", "memory", "utilization", "temperature", "clocks", "processes", "throttle", "limit")
+
+
+def _sample_metrics(part: str, value, at: Column) -> dict[str, tuple[str, Column]]:
+    """``name -> (merge, value of one sample)``; ``value(name)`` reads a sample field.
+
+    A first value is the smallest (time, value) pair, so it merges like any minimum.
+    """
+    known = lambda name: F.when(value(name).isNotNull(), 1).cast("long")
+    stamped = lambda name: F.struct(at.alias("t"), value(name).alias("v"))
+    first = lambda name: ("min", F.when(value(name).isNotNull(), stamped(name)))
+    if part == "count":
+        return {"sample_count": ("sum", F.lit(1).cast("long"))}
     if part == "power":
-        return {
-            "energy_j": F.coalesce(F.sum("energy_term_j"), F.lit(0.0)),
-            "peak_w": F.max("power_w"),
-            "power_samples": F.count("power_w"),
-        }
+        pair = F.when(value("power_w").isNotNull(), F.struct(at.alias("t"), value("power_w").alias("p")))
+        return {"peak_w": ("max", value("power_w")), "power_samples": ("sum", known("power_w")), "_head": ("min", pair), "_tail": ("max", pair)}
     if part == "memory":
-        return {"baseline_used_mib": _first_known("memory_used_mib", t), "peak_used_mib": F.max("memory_used_mib")}
+        return {"_memory": first("memory_used_mib"), "peak_used_mib": ("max", value("memory_used_mib"))}
     if part == "utilization":
-        return {
-            "average_gpu_percent": F.avg("gpu_utilization_percent"),
-            "peak_gpu_percent": F.max("gpu_utilization_percent"),
-        }
+        gpu = "gpu_utilization_percent"
+        return {"_gpu_sum": ("sum", value(gpu).cast("long")), "_gpu_n": ("sum", known(gpu)), "peak_gpu_percent": ("max", value(gpu))}
     if part == "temperature":
-        return {"start_c": _first_known("temperature_c", t), "peak_c": F.max("temperature_c")}
+        return {"_start_c": first("temperature_c"), "peak_c": ("max", value("temperature_c"))}
     if part == "clocks":
         return {
-            "graphics_min_mhz": F.min("graphics_clock_mhz"), "graphics_max_mhz": F.max("graphics_clock_mhz"),
-            "memory_min_mhz": F.min("memory_clock_mhz"), "memory_max_mhz": F.max("memory_clock_mhz"),
-        }
+            f"{short}_{kind}_mhz": (kind, value(f"{short}_clock_mhz")) for short in ("graphics", "memory") for kind in ("min", "max")}
     if part == "processes":
         return {
-            "baseline_compute": F.min_by("compute_process_count", c(t)),
-            "baseline_graphics": F.min_by("graphics_process_count", c(t)),
-            "max_compute_count": F.max("compute_process_count"),
-            "max_graphics_count": F.max("graphics_process_count"),
-        }
+            "_baseline_compute": ("min", stamped("compute_process_count")), "_baseline_graphics": ("min", stamped("graphics_process_count")),
+            "max_compute_count": ("max", value("compute_process_count")), "max_graphics_count": ("max", value("graphics_process_count"))}
     if part == "throttle":
-        # Distinct reason sets of a nine-name vocabulary: the buffer cannot grow with the run.
-        return {"throttle_reasons": F.array_sort(F.array_distinct(F.flatten(F.collect_set("throttle_reasons"))))}
+        return {"throttle_reasons": ("union", value("throttle_reasons"))}
     if part == "limit":
-        return {"limit_min_w": F.min("power_limit_w"), "limit_max_w": F.max("power_limit_w")}
-    if part == "count":
-        return {"sample_count": F.count("*")}
+        return {"limit_min_w": ("min", value("power_limit_w")), "limit_max_w": ("max", value("power_limit_w"))}
     raise ValueError(part)
 
 
-PARTS = ("count", "power", "memory", "utilization", "temperature", "clocks", "processes", "throttle", "limit")
-
+def _finish(part: str) -> dict[str, Column]:
+    c = F.col
+    return {
+        "memory": {"baseline_used_mib": c("_memory.v")},
+        "utilization": {"average_gpu_percent": c("_gpu_sum") / c("_gpu_n")},
+        "temperature": {"start_c": c("_start_c.v")},
+        "processes": {"baseline_compute": c("_baseline_compute.v"), "baseline_graphics": c("_baseline_graphics.v")},
+        "throttle": {"throttle_reasons": F.array_sort("throttle_reasons")},
+    }.get(part, {})
+
+
+def window_metrics(samples: DataFrame, runs: DataFrame, keys: Sequence[str], parts: Iterable[str] = PARTS,
+                   t: str = "relative_sec", wall: str = "wall_time_sec", segment_seconds: float = SEGMENT_SECONDS) -> DataFrame:
+    """Metrics of the samples clipped to (0, wall), one row per run, in one pass over the samples.
+
+    Samples are shuffled once, by (run, time segment), and reduced to one row per segment with
+    the candidates for the two border samples.  The rest works on those few rows: the border
+    samples join the first and the last segment, energy is added across segment borders, and
+    the segments are merged.
+    """
+    parts = list(parts)
+    c, at = F.col, F.col(t)
+    edge = F.struct(F.col(t).alias("_t"), F.struct(*samples.columns).alias("_row"))
+    inside = (at > 0) & (at < c("_wall"))
+
+    def metrics(value, moment: Column) -> dict[str, tuple[str, Column]]:
+        found: dict[str, tuple[str, Column]] = {}
+        for part in parts:
+            found |= _sample_metrics(part, value, moment)
+        return found
+
+    per_sample = metrics(F.col, at)
+    data = samples.join(runs.select(*keys, F.col(wall).alias("_wall")), list(keys)).withColumn(SEGMENT, by_width(at, segment_seconds))
+    energy = "power" in parts
+    if energy:
+        pair = F.when(inside & c("power_w").isNotNull(), F.struct(at.alias("t"), c("power_w").alias("p")))
+        earlier = Window.partitionBy(*keys, SEGMENT).orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
+        data = data.withColumn("_term", _trapezoid(F.last(pair, ignorenulls=True).over(earlier), pair))
+    segments = data.groupBy(*keys, SEGMENT).agg(
+        F.max("_wall").alias("_wall"),
+        F.max(F.when(at <= 0, edge)).alias("_pre"), F.min(F.when(at >= c("_wall"), edge)).alias("_post"),
+        F.min(edge).alias("_first"), F.max(edge).alias("_last"),
+        *([F.sum("_term").alias("_energy")] if energy else []),
+        *[_MERGE[kind](F.when(inside, column)).alias(name) for name, (kind, column) in per_sample.items()],
+    )
+    run, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(SEGMENT)
+    bordered = segments.withColumns({
+        "_start": F.coalesce(F.max("_pre").over(run), F.min("_first").over(run))["_row"],
+        "_end": F.coalesce(F.min("_post").over(run), F.max("_last").over(run))["_row"],
+        "_opens": F.lag(SEGMENT).over(ordered).isNull(), "_closes": F.lead(SEGMENT).over(ordered).isNull(),
+    })
 
-def summarise(samples: DataFrame, keys: Sequence[str], parts: Iterable[str], t: str = "relative_sec") -> DataFrame:
-    """One aggregation over clipped samples for any choice of parts."""
-    columns: dict[str, Column] = {}
+    def piece(place: int, columns: dict[str, Column]) -> Column:
+        extra = {"_energy": columns.pop("_energy", F.lit(None).cast("double"))} if energy else {}
+        return F.struct(F.lit(place).alias("_place"), *[v.alias(n) for n, v in {**extra, **columns}.items()])
+
+    def border(name: str, moment: Column, place: int) -> Column:
+        return piece(place, {n: column for n, (_, column) in metrics(lambda field: c(name)[field], moment).items()})
+
+    whole = piece(1, {n: c(n) for n in ([*per_sample, "_energy"] if energy else per_sample)})
+    pieces = bordered.select(*keys, SEGMENT, F.inline(F.array_compact(F.array(
+        F.when(c("_opens"), border("_start", F.lit(0.0), 0)), whole, F.when(c("_closes"), border("_end", c("_wall"), 2))))))
+    if energy:
+        before = Window.partitionBy(*keys).orderBy(SEGMENT, "_place").rowsBetween(Window.unboundedPreceding, -1)
+        joint = _trapezoid(F.last("_tail", ignorenulls=True).over(before), c("_head"))
+        pieces = pieces.withColumn("_energy", _sum_known(c("_energy"), joint))
+    merged = pieces.groupBy(*keys).agg(
+        *([F.sum("_energy").alias("energy_j")] if energy else []),
+        *[_MERGE[kind](name).alias(name) for name, (kind, _) in per_sample.items()])
+    finished: dict[str, Column] = {}
     for part in parts:
-        columns |= aggregates(part, t)
-    return samples.groupBy(*keys).agg(*[v.alias(n) for n, v in columns.items()])
+        finished |= _finish(part)
+    return merged.withColumns(finished).drop(*[n for n in per_sample if n.startswith("_")]) if finished else merged.drop(
+        *[n for n in per_sample if n.startswith("_")])
 
 
 def power_columns(wall: str = "wall_time_sec", frames: str = "frames") -> dict[str, Column]:
@@ -181,8 +252,7 @@ def telemetry_summary(samples: DataFrame, runs: DataFrame, keys: Sequence[str],
     run without samples is kept and marked.
     """
     c = F.col
-    clipped = energy_terms(clip_to_window(samples, runs, keys, t), keys, t, segment_seconds=segment_seconds)
-    found = summarise(clipped, keys, PARTS, t)
+    found = window_metrics(samples, runs, keys, PARTS, t, segment_seconds=segment_seconds)
     full = runs.join(found, list(keys), "left").withColumn("_none", c("sample_count").isNull())
     seen = ~c("_none")
     invalid = F.array_sort(F.array_intersect("throttle_reasons", F.array(*[F.lit(r) for r in INVALID_REASONS])))

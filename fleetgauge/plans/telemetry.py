@@ -82,6 +82,11 @@ def clipped(t):
     return runs, tm.clip_to_window(samples, runs, KEYS)
 
 
+def measured(t, *parts):
+    runs, samples = runs_and_samples(t)
+    return tm.window_metrics(samples, runs, KEYS, parts, segment_seconds=5 * DAY)
+
+
 @query("W15_rebase_time", WITH + "SELECT run_id, round(t, 6) AS relative_sec, power_w FROM samples")
 def _w15(t):
     return rounded(runs_and_samples(t)[1].select("run_id", "relative_sec", "power_w"))
@@ -113,8 +118,8 @@ def _a06(t):
  (SELECT max(power_w) FROM bounded b WHERE b.run_id = r.run_id) AS peak_w, (SELECT bool_or(event_type IN ('purchase', 'signup')) FROM bounded b WHERE b.run_id = r.run_id) AS power_cap_observed
 FROM runs r JOIN energy USING (run_id)""")
 def _a07(t):
-    runs, samples = clipped(t)
-    found = tm.summarise(tm.energy_terms(samples, KEYS, segment_seconds=5 * DAY), KEYS, ["power", "throttle"])
+    runs, _ = runs_and_samples(t)
+    found = measured(t, "power", "throttle")
     out = runs.join(found, KEYS).withColumns(tm.power_columns())
     return out.select(
         "run_id", F.round("energy_j", 3).alias("energy_j"), F.round("average_w", 6).alias("average_w"),
@@ -125,23 +130,23 @@ def _a07(t):
 @query("A08_memory_summary", WITH + """SELECT run_id, arg_min(mem, t) FILTER (mem IS NOT NULL) AS baseline_used_mib, max(mem) AS peak_used_mib,
  greatest(0.0, max(mem) - arg_min(mem, t) FILTER (mem IS NOT NULL)) AS peak_delta_mib FROM bounded GROUP BY run_id""")
 def _a08(t):
-    found = tm.summarise(clipped(t)[1], KEYS, ["memory"])
+    found = measured(t, "memory")
     return found.withColumn("peak_delta_mib", tm.peak_delta())
 
 
 @query("A09_utilisation_summary", WITH + "SELECT run_id, round(avg(util), 8) AS average_gpu_percent, max(util) AS peak_gpu_percent FROM bounded GROUP BY run_id")
 def _a09(t):
-    return rounded(tm.summarise(clipped(t)[1], KEYS, ["utilization"]), 8)
+    return rounded(measured(t, "utilization"), 8)
 
 
 @query("A10_temperature_summary", WITH + "SELECT run_id, arg_min(temp, t) AS start_c, max(temp) AS peak_c FROM bounded GROUP BY run_id")
 def _a10(t):
-    return tm.summarise(clipped(t)[1], KEYS, ["temperature"])
+    return measured(t, "temperature")
 
 
 @query("A11_clock_ranges", WITH + """SELECT run_id, min(gclk) AS graphics_min_mhz, max(gclk) AS graphics_max_mhz, min(mclk) AS memory_min_mhz, max(mclk) AS memory_max_mhz FROM bounded GROUP BY run_id""")
 def _a11(t):
-    return tm.summarise(clipped(t)[1], KEYS, ["clocks"])
+    return measured(t, "clocks")
 
 
 PROCESS = """proc AS (SELECT run_id, count(*) AS n, arg_min(coalesce(comp, -1), t) AS bc, arg_min(graph, t) AS bg, max(comp) AS mc, max(graph) AS mg FROM bounded GROUP BY run_id)"""
@@ -159,8 +164,8 @@ PROCESS_RULES = [
 def _a12(t):
     from fleetgauge.functions import rules as R
 
-    runs, samples = clipped(t)
-    found = tm.summarise(samples, KEYS, ["processes"]).join(runs, KEYS)
+    runs, _ = runs_and_samples(t)
+    found = measured(t, "processes").join(runs, KEYS)
     errors = R.labels(tm.process_rules(c("max_compute_processes"), c("max_graphics_processes")))
     return found.select("run_id", "max_compute_count", "max_graphics_count", F.array_join(errors, "; ").alias("errors"))
 
@@ -172,7 +177,7 @@ REASON_SQL = """reasons AS (SELECT DISTINCT run_id, unnest(CASE event_type WHEN
 @query("A13_throttle_sets", WITH + f""", {REASON_SQL} SELECT r.run_id, coalesce(string_agg(reason, ',' ORDER BY reason), '') AS reasons,
  coalesce(string_agg(reason, ',' ORDER BY reason) FILTER (reason = 'hw_slowdown'), '') AS invalid FROM runs r LEFT JOIN reasons USING (run_id) GROUP BY r.run_id""")
 def _a13(t):
-    found = tm.summarise(clipped(t)[1], KEYS, ["throttle"])
+    found = measured(t, "throttle")
     bad = F.array_intersect("throttle_reasons", F.array(*[F.lit(r) for r in tm.INVALID_REASONS]))
     return found.select(
         "run_id", F.array_join("throttle_reasons", ",").alias("reasons"), F.array_join(F.array_sort(bad), ",").alias("invalid")
@@ -195,8 +200,8 @@ def _a15(t):
 
 @query("A16_sampling_interval", WITH + """SELECT run_id, count(*) AS sample_count, round(1000 * max(wall_time_sec) / (count(*) - 1), 3) AS interval_ms FROM bounded JOIN runs USING (run_id) GROUP BY run_id""")
 def _a16(t):
-    runs, samples = clipped(t)
-    found = tm.summarise(samples, KEYS, ["count"]).join(runs, KEYS)
+    runs, _ = runs_and_samples(t)
+    found = measured(t, "count").join(runs, KEYS)
     return found.select("run_id", "sample_count", F.round(tm.observed_interval_ms(), 3).alias("interval_ms"))
 
 
