@@ -284,8 +284,9 @@ def fixed(value: Column, digits: int, sign: bool = False, suffix: str = "") -> C
     wide = size * 134217729.0
     high = wide - (wide - size)
     top, rest = high * scale, (size - high) * scale
-    whole = F.floor(top)
-    past_half = (top - whole - 0.5) + rest
+    left = (top - F.floor(top)) + rest
+    whole = F.floor(top) + F.floor(left)
+    past_half = left - F.floor(left) - 0.5
     up = (past_half > 0) | ((past_half == 0) & (whole % 2 == 1))
     rounded = (whole + F.when(up, 1).otherwise(0)) / scale
     signed = F.when(value < 0, -rounded).otherwise(rounded)

@@ -119,7 +119,7 @@ def file_digests(spark: SparkSession, paths: str, inline_bytes: int = 256 * CHUN
     """Path, SHA-256 and size of artifacts.
 
     Files up to ``inline_bytes`` are hashed from the row; larger ones are read in chunks by the
-    task, because a row cannot hold them.
+    task, because a row cannot hold them.  Spark's file scan leaves out files without content.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     small = listed.filter(F.col("length") <= inline_bytes).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
