@@ -126,12 +126,18 @@ def file_digests(spark: SparkSession, paths: str, inline_bytes: int = 256 * CHUN
     large = listed.filter(F.col("length") > inline_bytes).select("path", F.col("length").alias("size_bytes"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.parse import quote
+
         from pyarrow import fs
 
         for batch in batches:
             digests = []
             for uri in batch["path"]:
-                store, name = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+                scheme, _, rest = uri.rpartition(":/")
+                if scheme in ("", "file"):
+                    store, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                else:
+                    store, name = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
                 state = hashlib.sha256()
                 with store.open_input_stream(name) as stream:
                     while chunk := stream.read(CHUNK):
