@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.segments import SEGMENT, by_width
+from fleetgauge.operators.segments import SEGMENT, by_width, spread
 
 
 def clip(df: DataFrame, low: Column, high: Column, start: str = "start", end: str = "end") -> DataFrame:
@@ -34,7 +34,7 @@ def merge_intervals(
     local = Window.partitionBy(*keys, SEGMENT).orderBy(start, end)
     reach = F.max(end).over(local.rowsBetween(Window.unboundedPreceding, -1))
     pieces = (
-        data.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), F.col(start)))
+        spread(data, keys).withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), F.col(start)))
         .withColumn("_piece", F.max("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*keys, SEGMENT, "_piece")
         .agg(F.max(end).alias(end))
@@ -82,7 +82,7 @@ def concurrency_sweep(
     ).select(
         *keys, by_width(F.col("_e.t"), width).alias(SEGMENT), F.col("_e.t").alias("_t"),
         (F.col("_e.d") * F.col("_a")).alias("_da"), (F.col("_e.d") * (1 - F.col("_a"))).alias("_db"))
-    instants = edges.repartition(*keys, SEGMENT).groupBy(*keys, SEGMENT, "_t").agg(
+    instants = spread(edges, keys).groupBy(*keys, SEGMENT, "_t").agg(
         F.sum("_da").alias("_da"), F.sum("_db").alias("_db"))
     local = Window.partitionBy(*keys, SEGMENT).orderBy("_t")
     before = local.rowsBetween(Window.unboundedPreceding, -1)

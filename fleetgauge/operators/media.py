@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
 from fleetgauge.functions import scalars as sc
-from fleetgauge.operators.segments import SEGMENT, by_width
+from fleetgauge.operators.segments import SEGMENT, by_width, spread
 from fleetgauge.operators.sequence import SEGMENT_ROWS
 
 
@@ -25,7 +25,7 @@ def packet_facts(packets: DataFrame, file: str, segment_rows: int = SEGMENT_ROWS
     stalls = lambda n: F.when(F.col(n).isNull() | (F.col(n) <= F.lag(n).over(local)), F.col("index"))
     row = F.struct("index", "pts", "dts")
     # One row per file and segment: what is wrong inside, and its first and last packet.
-    parts = data.withColumns({
+    parts = spread(data, [file]).withColumns({
         "_row": row, "_pts": stalls("pts"), "_dts": stalls("dts"), "_key": key_index, "_gap": key_index - last_key,
     }).groupBy(file, SEGMENT).agg(
         F.count("*").alias("_n"), F.count("_key").alias("_keys"), F.min("_row").alias("_head"), F.max("_row").alias("_tail"),

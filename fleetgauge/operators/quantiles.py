@@ -1,9 +1,9 @@
 """Exact interpolated quantiles of groups of any size.
 
-``percentile``/``median`` keep every distinct value of a group in one aggregation buffer.
-Here each group is histogrammed between its minimum and maximum (map-side combined); the
-bins that hold the wanted ranks are found in the histogram, and only the rows of those
-bins are ordered.  Groups with few values need one bin and behave like a plain sort.
+``percentile``/``median`` keep every distinct value of a group in one aggregation buffer, so
+only groups of a checked size go that way.  A larger group is histogrammed between its
+minimum and maximum (map-side combined); the bins that hold the wanted ranks are found in the
+histogram, and only the rows of those bins are ordered.
 """
 
 from __future__ import annotations
@@ -25,8 +25,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with ``alias -> quantile(column, q)``; nulls are skipped.
 
-    A quantile at rank r = q * (n - 1) is interpolated linearly between its neighbours.
+    A quantile at rank r = q * (n - 1) is interpolated linearly between its neighbours.  Groups
+    of more than ``bin_rows`` rows are listed first.  Where there are none, adaptive execution
+    drops that half of the plan.
     """
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > bin_rows).select(*keys)
+    small = df.join(large, list(keys), "left_anti").groupBy(*keys).agg(
+        *[F.percentile(F.col(column).cast("double"), F.lit(float(q))).alias(alias) for alias, (column, q) in metrics.items()])
+    return small.unionByName(_binned(df.join(large, list(keys), "left_semi"), keys, metrics, bin_rows))
+
+
+def _binned(df: DataFrame, keys: Sequence[str], metrics: dict[str, tuple[str, float]], bin_rows: int) -> DataFrame:
     sources = sorted({column for column, _ in metrics.values()})
     long = df.select(
         *keys,

@@ -29,6 +29,16 @@ def segmented(df: DataFrame, segment: Column) -> DataFrame:
     return df.withColumn(SEGMENT, segment)
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition by (keys, segment) ahead of a window over them.
+
+    Data that a join left partitioned by the keys alone would satisfy such a window as it is,
+    and a hot key would stay in one task; stating the partitioning rules that out.  Where no
+    join came before, it is the shuffle the window needs anyway.
+    """
+    return df.repartition(*keys, SEGMENT)
+
+
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,7 +66,7 @@ def previous_row(
     tails = data.groupBy(*keys, SEGMENT).agg(F.max_by("_held", place).alias("_tail"))
     carried = tails.select(*keys, SEGMENT, carry.alias("_carried"))
     return (
-        data.withColumn(out, here)
+        spread(data, keys).withColumn(out, here)
         .join(carried, [*keys, SEGMENT])
         .withColumn(out, F.coalesce(out, "_carried"))
         .drop("_carried", "_held", SEGMENT)
@@ -104,7 +114,7 @@ def running(
             for out, (kind, _) in aggregates.items()
         ],
     )
-    result = data.withColumns(
+    result = spread(data, keys).withColumns(
         {out: _AGGREGATE[kind](column).over(local) for out, (kind, column) in aggregates.items()}
     ).join(carried, [*keys, SEGMENT])
     return result.withColumns(
@@ -140,10 +150,10 @@ def trailing_mean(
     rows = max(segment_rows, size)
     own = F.floor((F.col(index) - 1) / rows).cast("long")
     later = F.floor((F.col(index) - 1 + size - 1) / rows).cast("long")
-    spread = df.withColumn("_own", own).withColumn(SEGMENT, F.explode(F.sequence(own, later)))
+    copies = df.withColumn("_own", own).withColumn(SEGMENT, F.explode(F.sequence(own, later)))
     window = Window.partitionBy(*keys, SEGMENT).orderBy(index).rowsBetween(-(size - 1), 0)
     return (
-        spread.withColumn(out, F.avg(value).over(window))
+        spread(copies, keys).withColumn(out, F.avg(value).over(window))
         .filter(F.col("_own") == F.col(SEGMENT))
         .drop("_own", SEGMENT)
     )

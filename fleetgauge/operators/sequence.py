@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
-from fleetgauge.operators.segments import SEGMENT, by_width, previous_row, row_numbers, trailing_mean
+from fleetgauge.operators.segments import SEGMENT, by_width, previous_row, row_numbers, spread, trailing_mean
 
 # Rows of one group that a single task may have to order.
 SEGMENT_ROWS = 100_000
@@ -26,7 +26,7 @@ def strictly_increasing(
     local = Window.partitionBy(*keys, SEGMENT).orderBy(index)
     bad = F.col(value).isNull() | (F.col(value) <= F.lag(value).over(local))
     # One row per segment: its first bad index, its first and its last row.
-    parts = data.withColumn("_bad", F.when(bad, F.col(index))).groupBy(*keys, SEGMENT).agg(
+    parts = spread(data, keys).withColumn("_bad", F.when(bad, F.col(index))).groupBy(*keys, SEGMENT).agg(
         F.min("_bad").alias("_bad"), F.min("_row").alias("_head"), F.max("_row").alias("_tail"))
     before = F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SEGMENT))
     joint = F.when(F.col("_head.v") <= before["v"], F.col("_head.i"))

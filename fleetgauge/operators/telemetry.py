@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
-from fleetgauge.operators.segments import SEGMENT, by_width
+from fleetgauge.operators.segments import SEGMENT, by_width, spread
 
 # Clock limit reasons, their bits, and those that spoil a measurement.
 THROTTLE_BITS = {
@@ -76,7 +76,7 @@ def energy_trapezoid(samples: DataFrame, keys: Sequence[str], t: str = "relative
     local = Window.partitionBy(*keys, SEGMENT).orderBy("_t").rowsBetween(*earlier)
     across = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(*earlier)
     term = _trapezoid(F.last("_now", ignorenulls=True).over(local), F.col("_now"))
-    parts = data.withColumn("_term", term).groupBy(*keys, SEGMENT).agg(
+    parts = spread(data, keys).withColumn("_term", term).groupBy(*keys, SEGMENT).agg(
         F.sum("_term").alias("_energy"), F.min("_now").alias("_head"), F.max("_now").alias("_tail"))
     joint = _trapezoid(F.last("_tail", ignorenulls=True).over(across), F.col("_head"))
     return parts.withColumn("_energy", _sum_known(F.col("_energy"), joint)).groupBy(*keys).agg(F.sum("_energy").alias("energy_j"))
@@ -171,7 +171,7 @@ def window_metrics(samples: DataFrame, runs: DataFrame, keys: Sequence[str], par
     if energy:
         pair = F.when(inside & c("power_w").isNotNull(), F.struct(at.alias("t"), c("power_w").alias("p")))
         earlier = Window.partitionBy(*keys, SEGMENT).orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
-        data = data.withColumn("_term", _trapezoid(F.last(pair, ignorenulls=True).over(earlier), pair))
+        data = spread(data, keys).withColumn("_term", _trapezoid(F.last(pair, ignorenulls=True).over(earlier), pair))
     segments = data.groupBy(*keys, SEGMENT).agg(
         F.max("_wall").alias("_wall"),
         F.max(F.when(at <= 0, edge)).alias("_pre"), F.min(F.when(at >= c("_wall"), edge)).alias("_post"),
