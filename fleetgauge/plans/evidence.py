@@ -16,7 +16,7 @@ c = F.col
 
 
 @query("A31_product_rollup", """SELECT p_partkey, p_partkey % 9 = 0 AS exact, CASE WHEN p_partkey % 9 > 0 THEN 30.0 + p_size END AS average_db, 1000 - p_size % 2 AS psnr_frames,
- CASE WHEN p_partkey % 5 > 0 THEN 1 - p_size / 1000.0 END AS ssim, CASE WHEN p_partkey % 5 > 0 THEN 1000 END AS ssim_frames FROM part""")
+ CASE WHEN p_partkey % 5 > 0 THEN 1 - p_size / 1000.0 END AS ssim, CASE WHEN p_partkey % 5 > 0 THEN 1000 END AS ssim_frames FROM part""", average_db="DOUBLE")
 def _a31(t):
     psnr = t.part.select("p_partkey", (c("p_partkey") % 9 == 0).alias("exact"), F.when(c("p_partkey") % 9 > 0, 30.0 + c("p_size")).alias("average_db"), (1000 - c("p_size") % 2).alias("frames"))
     ssim = t.part.filter("p_partkey % 5 > 0").select("p_partkey", (1 - c("p_size") / 1000.0).alias("all"), F.lit(1000).alias("frames"))
@@ -56,7 +56,7 @@ WITH m AS (SELECT p_brand AS report, p_partkey, p_partkey % 9 = 0 AS exact, CASE
 SELECT report, p_partkey, exact, psnr AS psnr_db, round(ssim, 6) AS ssim, {errors_sql(('candidates are not exactly the expected products', 'true'), ('compared frames differ from expected frames', 'pf <> 1000 OR sf IS NULL'),
  ('psnr must be >= 40', 'NOT exact AND psnr < 40'), ('ssim must be >= 0.97', 'ssim IS NULL OR ssim < 0.97'))} AS errors, 'invalid' AS status FROM m WHERE right(report, 1) = '1'
 UNION ALL SELECT report, p_partkey, exact, psnr, round(ssim, 6), {errors_sql(('compared frames differ from expected frames', 'pf <> 1000 OR sf IS NULL'), ('psnr must be >= 40', 'NOT exact AND psnr < 40'), ('ssim must be >= 0.97', 'ssim IS NULL OR ssim < 0.97'))},
- CASE WHEN pf <> 1000 OR sf IS NULL OR (NOT exact AND psnr < 40) OR ssim < 0.97 THEN 'invalid' ELSE 'valid' END FROM m WHERE right(report, 1) <> '1'""")
+ CASE WHEN pf <> 1000 OR sf IS NULL OR (NOT exact AND psnr < 40) OR ssim < 0.97 THEN 'invalid' ELSE 'valid' END FROM m WHERE right(report, 1) <> '1'""", psnr_db="DOUBLE")
 def _a51(t):
     same = [F.lit("x").alias(n) for n in ("workload_id", "variant", "encoder", "input_sha256", "onnx_sha256", "engine_sha256")]
     brands = t.part.select(c("p_brand").alias("report")).distinct()

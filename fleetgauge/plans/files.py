@@ -64,7 +64,7 @@ def _s10(t):
     return back.groupBy("o_custkey").agg(F.count("*").alias("events"), F.count_if(c("status") == "completed").alias("completed"))
 
 
-@query("S03_read_telemetry", f"""WITH {SAMPLES} SELECT CAST(run_id AS VARCHAR) AS run_id, round(t, 6) AS relative_sec, power_w, util AS gpu_utilization_percent, CASE event_type WHEN 'click' THEN 'gpu_idle' WHEN 'purchase' THEN 'sw_power_cap' WHEN 'signup' THEN 'hw_slowdown,sw_power_cap' WHEN 'error' THEN 'sync_boost' ELSE '' END AS throttle_reasons FROM samples""")
+@query("S03_read_telemetry", f"""WITH {SAMPLES} SELECT CAST(run_id AS VARCHAR) AS run_id, round(t, 6) AS relative_sec, power_w, util AS gpu_utilization_percent, CASE event_type WHEN 'click' THEN 'gpu_idle' WHEN 'purchase' THEN 'sw_power_cap' WHEN 'signup' THEN 'hw_slowdown,sw_power_cap' WHEN 'error' THEN 'sync_boost' ELSE '' END AS throttle_reasons FROM samples""", gpu_utilization_percent="INTEGER")
 def _s03(t):
     folder = new_folder(t.spark, "samples")
     # Absent values and an absent list are left out of the lines, as a sampler may do.

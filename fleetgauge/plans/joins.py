@@ -78,7 +78,7 @@ def _j17(t):
 
 @query("J18_candidate_grid", """WITH k AS (SELECT p_partkey, 'impl-' || p_partkey AS i, 1 + p_size % 3 AS lo, 3 + p_size % 6 AS hi, p_partkey % 2 = 0 AS g, p_partkey % 3 = 0 AS a FROM part),
 s AS (SELECT *, unnest(range(lo, hi + 1)) AS n FROM k), q AS (SELECT *, unnest(CASE WHEN g THEN [false, true] ELSE [false] END) AS graph FROM s)
-SELECT p_partkey, n AS num_streams, graph AS cuda_graph, i || '-s' || n || CASE WHEN a THEN '-tauto' ELSE '' END || '-g' || CAST(graph AS INTEGER) AS candidate_id FROM q""")
+SELECT p_partkey, n AS num_streams, graph AS cuda_graph, i || '-s' || n || CASE WHEN a THEN '-tauto' ELSE '' END || '-g' || CAST(graph AS INTEGER) AS candidate_id FROM q""", num_streams="INTEGER")
 def _j18(t):
     contracts = t.part.select(
         "p_partkey", F.concat(F.lit("impl-"), c("p_partkey").cast("string")).alias("implementation"), (1 + c("p_size") % 3).alias("minimum_streams"),

@@ -104,7 +104,7 @@ def _a46(t):
     return md.input_clip_validation(data).select("file", joined())
 
 
-@query("A47_stream_inventory", f"""SELECT c_custkey AS file, 1 AS video_streams, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS audio_streams, {errors_sql(('audio stream count: expected 1', 'c_custkey % 5 > 0'))} AS errors FROM customer""")
+@query("A47_stream_inventory", f"""SELECT c_custkey AS file, 1 AS video_streams, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS audio_streams, {errors_sql(('audio stream count: expected 1', 'c_custkey % 5 > 0'))} AS errors FROM customer""", video_streams="BIGINT", audio_streams="BIGINT")
 def _a47(t):
     return md.stream_inventory(streams(t), "file", {"video": 1, "audio": 1}).select("file", "video_streams", "audio_streams", joined())
 

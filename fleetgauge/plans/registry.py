@@ -40,8 +40,14 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, **types: str):
+    """Register ``fn(tables) -> DataFrame`` under ``name``.
+
+    ``types`` names SQL result types that literals and counts in the SQL do not give by themselves.
+    """
+    if sql is not None and types:
+        casts = ", ".join(f'CAST("{column}" AS {kind}) AS "{column}"' for column, kind in types.items())
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
 
     def wrap(fn):
         def build(spark: SparkSession, folder: str) -> DataFrame:

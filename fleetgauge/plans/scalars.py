@@ -252,7 +252,7 @@ def _f19(t):
 
 @query("F20_plane_reorder", """SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * 3, 9) AS red_first, CAST(embedding[1] AS DOUBLE) AS green_first,
  round(CAST(embedding[1] AS DOUBLE) * 2, 9) AS blue_first, len(embedding) * 3 AS elements,
- round(CAST(embedding[len(embedding)] AS DOUBLE) * 2, 9) AS blue_last FROM embeddings""")
+ round(CAST(embedding[len(embedding)] AS DOUBLE) * 2, 9) AS blue_last FROM embeddings""", elements="INTEGER")
 def _f20(t):
     e = F.transform("embedding", lambda x: x.cast("double"))
     stored = F.concat(e, F.transform(e, lambda x: x * 2), F.transform(e, lambda x: x * 3))

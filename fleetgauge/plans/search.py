@@ -35,7 +35,7 @@ def points(t):
 
 
 @query("W07_confirmed_decline", WITH + """, w AS (SELECT implementation, num_streams, row_number() OVER o AS position, max(fps) OVER (o ROWS UNBOUNDED PRECEDING) AS best, max(fps) OVER (o ROWS 1 PRECEDING) AS recent FROM points WINDOW o AS (PARTITION BY implementation ORDER BY num_streams))
-SELECT implementation, num_streams, position, position > 2 AND recent < best * (1 - 0.01) AS declined FROM w""")
+SELECT implementation, num_streams, position, position > 2 AND recent < best * (1 - 0.01) AS declined FROM w""", position="INTEGER")
 def _w07(t):
     return sr.confirmed_decline(points(t), KEYS, 0.01, 2).select("implementation", "num_streams", "position", "declined")
 
@@ -52,7 +52,7 @@ def _w09(t):
     return sr.upper_boundary_open(points(t), KEYS, 0.01)
 
 
-@query("W10_shortlist", WITH + """SELECT implementation, candidate_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY implementation ORDER BY fps DESC, num_streams, candidate_id) AS rank FROM points) WHERE rank <= 3""")
+@query("W10_shortlist", WITH + """SELECT implementation, candidate_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY implementation ORDER BY fps DESC, num_streams, candidate_id) AS rank FROM points) WHERE rank <= 3""", rank="INTEGER")
 def _w10(t):
     return sr.shortlist(points(t), KEYS, 3).select("implementation", "candidate_id", "rank")
 

@@ -104,7 +104,7 @@ def _j09(t):
     ))
 
 
-@query("A05_clip_to_window", WITH + "SELECT run_id, round(t, 6) AS relative_sec, power_w, mem AS memory_used_mib FROM bounded")
+@query("A05_clip_to_window", WITH + "SELECT run_id, round(t, 6) AS relative_sec, power_w, mem AS memory_used_mib FROM bounded", memory_used_mib="DOUBLE")
 def _a05(t):
     return rounded(clipped(t)[1].select("run_id", "relative_sec", "power_w", "memory_used_mib"))
 
@@ -128,7 +128,7 @@ def _a07(t):
 
 
 @query("A08_memory_summary", WITH + """SELECT run_id, arg_min(mem, t) FILTER (mem IS NOT NULL) AS baseline_used_mib, max(mem) AS peak_used_mib,
- greatest(0.0, max(mem) - arg_min(mem, t) FILTER (mem IS NOT NULL)) AS peak_delta_mib FROM bounded GROUP BY run_id""")
+ greatest(0.0, max(mem) - arg_min(mem, t) FILTER (mem IS NOT NULL)) AS peak_delta_mib FROM bounded GROUP BY run_id""", peak_used_mib="DOUBLE", baseline_used_mib="DOUBLE", peak_delta_mib="DOUBLE")
 def _a08(t):
     found = measured(t, "memory")
     return found.withColumn("peak_delta_mib", tm.peak_delta())
@@ -160,7 +160,7 @@ PROCESS_RULES = [
 ]
 
 
-@query("A12_process_limits", WITH + f", {PROCESS} SELECT run_id, mc AS max_compute_count, mg AS max_graphics_count, {errors_sql(*PROCESS_RULES)} AS errors FROM proc JOIN runs USING (run_id)")
+@query("A12_process_limits", WITH + f", {PROCESS} SELECT run_id, mc AS max_compute_count, mg AS max_graphics_count, {errors_sql(*PROCESS_RULES)} AS errors FROM proc JOIN runs USING (run_id)", max_graphics_count="BIGINT")
 def _a12(t):
     from fleetgauge.functions import rules as R
 
@@ -215,7 +215,7 @@ SELECT r.run_id, sample_count, round(1000 * wall_time_sec / (sample_count - 1),
  k0 AS memory_min_mhz, k1 AS memory_max_mhz, mc AS max_compute_count, mg AS max_graphics_count, coalesce(reasons, '') AS throttle_reasons,
  {errors_sql(('power sampling requires at least two samples', 'np < 2'), ('memory usage is unavailable', 'm1 IS NULL'), ('invalid throttle reasons observed: hw_slowdown', 'hw'), *PROCESS_RULES,
  ('power limit is unavailable', 'l0 IS NULL'), ('power limit changed during the run', 'l0 <> l1'), ('utilization sampling is unavailable', 'up IS NULL'), ('clock sampling is unavailable', 'g1 IS NULL'))} AS errors
-FROM runs r JOIN agg USING (run_id) JOIN proc USING (run_id) LEFT JOIN energy USING (run_id) LEFT JOIN thr USING (run_id)""")
+FROM runs r JOIN agg USING (run_id) JOIN proc USING (run_id) LEFT JOIN energy USING (run_id) LEFT JOIN thr USING (run_id)""", limit_w="DOUBLE", baseline_used_mib="DOUBLE", peak_used_mib="DOUBLE", peak_delta_mib="DOUBLE", max_graphics_count="BIGINT")
 def _a17(t):
     runs, samples = runs_and_samples(t)
     out = tm.telemetry_summary(samples, runs, KEYS, segment_seconds=5 * DAY)

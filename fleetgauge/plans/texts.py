@@ -23,7 +23,7 @@ def _s05(t):
     return tx.explode_packets(docs, "probe")
 
 
-@query("S07_parse_metric_log", """SELECT doc_id, doc_id % 4 > 0 AS psnr_found, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 = 1 END AS exact, CASE WHEN doc_id % 4 > 1 THEN n_chars / 100.0 END AS psnr_db, CASE WHEN doc_id % 3 > 0 THEN 0.9 END AS ssim FROM documents""")
+@query("S07_parse_metric_log", """SELECT doc_id, doc_id % 4 > 0 AS psnr_found, CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 = 1 END AS exact, CASE WHEN doc_id % 4 > 1 THEN n_chars / 100.0 END AS psnr_db, CASE WHEN doc_id % 3 > 0 THEN 0.9 END AS ssim FROM documents""", ssim="DOUBLE")
 def _s07(t):
     slot = c("doc_id") % 4
     last = F.when(slot == 1, "inf").when(slot > 1, F.format_string("%.2f", c("n_chars") / 100.0))
@@ -35,7 +35,7 @@ def _s07(t):
 
 @query("S08_parse_throughput_log", f"""SELECT doc_id, n_chars / 10.0 AS throughput_qps, CASE WHEN doc_id % 3 > 0 THEN doc_id / 8.0 END AS latency_median_ms, CASE WHEN doc_id % 3 > 0 THEN doc_id / 4.0 END AS latency_p95_ms,
  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 7.5 END AS gpu_compute_median_ms, CASE WHEN doc_id % 5 > 0 AND doc_id % 3 > 0 THEN 9.25 END AS gpu_compute_p95_ms,
- {errors_sql(('no latency_median_ms', 'doc_id % 3 = 0'), ('no latency_p95_ms', 'doc_id % 3 = 0'), ('no gpu_compute_median_ms', 'doc_id % 3 = 0'), ('no gpu_compute_p95_ms', 'doc_id % 3 = 0 OR doc_id % 5 = 0'))} AS errors FROM documents""")
+ {errors_sql(('no latency_median_ms', 'doc_id % 3 = 0'), ('no latency_p95_ms', 'doc_id % 3 = 0'), ('no gpu_compute_median_ms', 'doc_id % 3 = 0'), ('no gpu_compute_p95_ms', 'doc_id % 3 = 0 OR doc_id % 5 = 0'))} AS errors FROM documents""", gpu_compute_median_ms="DOUBLE", gpu_compute_p95_ms="DOUBLE")
 def _s08(t):
     num = lambda v, d: F.format_string(f"%.{d}f", v)
     log = F.concat(
@@ -48,7 +48,7 @@ def _s08(t):
 
 
 @query("S17_parse_level_log", f"""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN '-inf'::DOUBLE ELSE -(n_chars % 900) / 10.0 END AS mean, CASE WHEN doc_id % 11 > 0 THEN -1.5 END AS peak FROM documents)
-SELECT doc_id, CASE WHEN mean = '-inf'::DOUBLE THEN -999 ELSE mean END AS mean_dbfs, peak AS peak_dbfs, {errors_sql(('levels are missing', 'mean IS NULL OR peak IS NULL'), ('mean level is below -60', 'mean < -60'))} AS errors FROM v""")
+SELECT doc_id, CASE WHEN mean = '-inf'::DOUBLE THEN -999 ELSE mean END AS mean_dbfs, peak AS peak_dbfs, {errors_sql(('levels are missing', 'mean IS NULL OR peak IS NULL'), ('mean level is below -60', 'mean < -60'))} AS errors FROM v""", peak_dbfs="DOUBLE")
 def _s17(t):
     mean = F.when(c("doc_id") % 5 == 0, "-inf").otherwise(F.format_string("-%.1f", (c("n_chars") % 900) / 10.0))
     log = F.concat(
@@ -61,7 +61,7 @@ def _s17(t):
 
 
 @query("S18_parse_prefixed_pairs", f"""SELECT doc_id, CAST(n_chars % 100 AS DOUBLE) AS "ULOW", CASE WHEN doc_id % 6 > 0 THEN CAST(n_chars % 100 + 20 AS DOUBLE) END AS "UHIGH", CASE WHEN doc_id % 4 > 0 THEN 16.5 END AS "VLOW", 240.0 AS "VHIGH",
- {errors_sql(('invalid value', 'doc_id % 4 = 0'), ('missing fields: UHIGH', 'doc_id % 6 = 0'))} AS errors FROM documents""")
+ {errors_sql(('invalid value', 'doc_id % 4 = 0'), ('missing fields: UHIGH', 'doc_id % 6 = 0'))} AS errors FROM documents""", VLOW="DOUBLE", VHIGH="DOUBLE")
 def _s18(t):
     names = ["ULOW", "UHIGH", "VLOW", "VHIGH"]
     p = "lavfi.signalstats."
