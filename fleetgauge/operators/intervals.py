@@ -58,21 +58,21 @@ def merge_intervals(
     )
 
 
-def concurrency_sweep(
-    df: DataFrame, keys: Sequence[str], side: Column, width: int, start: str = "start", end: str = "end"
+def sweep_states(
+    df: DataFrame, keys: Sequence[str], sides: dict[str, Column], width: int, start: str = "start", end: str = "end"
 ) -> DataFrame:
-    """Busy time of side A (``side`` true), of side B, and of both at once, per key.
+    """How long each combination of open-interval counts lasted: keys, one count per side, ``span``.
 
-    Interval ends become +1/-1 edges, summed per instant before the shuffle; the running
-    number of open intervals gives the state between two instants.  No interval join.
+    ``sides`` says by a condition which intervals belong to a side.  Interval ends become +1/-1
+    edges, shuffled once by (key, time segment).  Inside a segment the counts are known up to
+    what earlier segments left open, so time is summed per relative level, and the level
+    carried in comes from a table with one row per segment.  No interval join.
     """
-    data = df.filter(F.col(end) > F.col(start)).withColumn("_a", side.cast("int"))
-    # Edges are shuffled once, by (key, time segment).  Inside a segment the number of open
-    # intervals is known up to what earlier segments left open, so time is summed per relative
-    # level, and the level carried in comes from a table with one row per segment.
+    names = list(sides)
+    data = df.filter(F.col(end) > F.col(start)).withColumns({f"_in_{n}": side.cast("int") for n, side in sides.items()})
     edges = data.select(
         *keys,
-        "_a",
+        *[f"_in_{n}" for n in names],
         F.explode(
             F.array(
                 F.struct(F.col(start).alias("t"), F.lit(1).alias("d")),
@@ -81,32 +81,43 @@ def concurrency_sweep(
         ).alias("_e"),
     ).select(
         *keys, by_width(F.col("_e.t"), width).alias(SEGMENT), F.col("_e.t").alias("_t"),
-        (F.col("_e.d") * F.col("_a")).alias("_da"), (F.col("_e.d") * (1 - F.col("_a"))).alias("_db"))
-    instants = spread(edges, keys).groupBy(*keys, SEGMENT, "_t").agg(
-        F.sum("_da").alias("_da"), F.sum("_db").alias("_db"))
+        *[(F.col("_e.d") * F.col(f"_in_{n}")).alias(f"_d_{n}") for n in names])
+    changes = [F.sum(f"_d_{n}").alias(f"_d_{n}") for n in names]
+    instants = spread(edges, keys).groupBy(*keys, SEGMENT, "_t").agg(*changes)
     local = Window.partitionBy(*keys, SEGMENT).orderBy("_t")
     before = local.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda n, window: F.coalesce(F.sum(f"_d_{n}").over(window), F.lit(0))
     levels = instants.withColumns({
-        "_la": F.coalesce(F.sum("_da").over(before), F.lit(0)), "_lb": F.coalesce(F.sum("_db").over(before), F.lit(0)),
-        "_span": F.col("_t") - F.lag("_t").over(local),
-    }).groupBy(*keys, SEGMENT, "_la", "_lb").agg(F.sum("_span").alias("_span"))
+        **{f"_l_{n}": total(n, before) for n in names}, "_span": F.col("_t") - F.lag("_t").over(local),
+    }).groupBy(*keys, SEGMENT, *[f"_l_{n}" for n in names]).agg(F.sum("_span").alias("_span"))
     # Combined map-side from the edges: one row per segment is shuffled here.
-    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.groupBy(*keys, SEGMENT).agg(
-        F.sum("_da").alias("_da"), F.sum("_db").alias("_db"), F.min("_t").alias("_from"), F.max("_t").alias("_to")
-    ).select(
-        *keys, SEGMENT, F.coalesce(F.sum("_da").over(earlier), F.lit(0)).alias("_ca"),
-        F.coalesce(F.sum("_db").over(earlier), F.lit(0)).alias("_cb"), (F.col("_from") - F.max("_to").over(earlier)).alias("_rest"))
-    # Every segment starts at relative level (0, 0); the time since the last instant of the
+    carried = edges.groupBy(*keys, SEGMENT).agg(*changes, F.min("_t").alias("_from"), F.max("_t").alias("_to")).select(
+        *keys, SEGMENT, *[total(n, earlier).alias(f"_c_{n}") for n in names],
+        (F.col("_from") - F.max("_to").over(earlier)).alias("_rest"))
+    # Every segment starts at relative level zero; the time since the last instant of the
     # segment before it was spent at that level too.
-    rest = F.when((F.col("_la") == 0) & (F.col("_lb") == 0), F.col("_rest"))
-    rows = levels.join(carried, [*keys, SEGMENT]).select(
-        *keys, (F.col("_ca") + F.col("_la")).alias("a"), (F.col("_cb") + F.col("_lb")).alias("b"),
-        (F.coalesce("_span", F.lit(0)) + F.coalesce(rest, F.lit(0))).alias("span"))
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("span"))), F.lit(0)).cast("long")
-    on_a, on_b = F.col("a") > 0, F.col("b") > 0
-    return rows.groupBy(*keys).agg(
-        total(on_a).alias("busy_a"), total(on_b).alias("busy_b"), total(on_a & on_b).alias("overlap"))
+    opening = F.lit(True)
+    for n in names:
+        opening = opening & (F.col(f"_l_{n}") == 0)
+    return levels.join(carried, [*keys, SEGMENT]).select(
+        *keys, *[(F.col(f"_c_{n}") + F.col(f"_l_{n}")).alias(n) for n in names],
+        (F.coalesce("_span", F.lit(0)) + F.coalesce(F.when(opening, F.col("_rest")), F.lit(0))).alias("span"))
+
+
+def busy_time(condition: Column) -> Column:
+    """Sum of the spans of ``sweep_states`` in which the condition holds."""
+    return F.coalesce(F.sum(F.when(condition, F.col("span"))), F.lit(0)).cast("long")
+
+
+def concurrency_sweep(
+    df: DataFrame, keys: Sequence[str], side: Column, width: int, start: str = "start", end: str = "end"
+) -> DataFrame:
+    """Busy time of side A (``side`` true), of side B, and of both at once, per key."""
+    states = sweep_states(df, keys, {"_a": side, "_b": ~side}, width, start, end)
+    on_a, on_b = F.col("_a") > 0, F.col("_b") > 0
+    return states.groupBy(*keys).agg(
+        busy_time(on_a).alias("busy_a"), busy_time(on_b).alias("busy_b"), busy_time(on_a & on_b).alias("overlap"))
 
 
 def interval_overlap(
@@ -220,19 +231,17 @@ def trace_findings(
     lo, hi = F.col("win_start"), F.col("win_end")
     span = windows.select(*keys, "win_start", "win_end")
     cut = lambda df: clip(df.join(span, list(keys)), lo, hi).drop("win_start", "win_end")
-    # A single sweep per engine yields kernel time, engine time and their overlap.
-    tagged = cut(video).select(*keys, "engine", "start", "end", F.lit(True).alias("_v")).unionByName(
-        cut(kernels)
-        .withColumn("engine", F.explode(F.array(F.lit("decode"), F.lit("encode"))))
-        .select(*keys, "engine", "start", "end", F.lit(False).alias("_v"))
-    )
-    swept = concurrency_sweep(tagged, [*keys, "engine"], F.col("_v"), width)
-    share = F.col("overlap") / F.when(F.col("busy_a") > 0, F.col("busy_a")) * 100.0
-    engines = swept.groupBy(*keys).agg(
-        F.max("busy_b").alias("_kernel"),
-        F.max(F.when(F.col("engine") == "decode", share)).alias("decode_overlap_percent"),
-        F.max(F.when(F.col("engine") == "encode", share)).alias("encode_overlap_percent"),
-    )
+    # One sweep over kernels and both engines yields every busy time and overlap.
+    tagged = cut(video).select(*keys, "engine", "start", "end").unionByName(
+        cut(kernels).select(*keys, F.lit("kernel").alias("engine"), "start", "end"))
+    kind = F.col("engine")
+    states = sweep_states(
+        tagged, keys, {f"_{n}": kind == n for n in ("kernel", "decode", "encode")}, width)
+    on = lambda n: F.col(f"_{n}") > 0
+    share = lambda n: (
+        busy_time(on(n) & on("kernel")) / F.nullif(busy_time(on(n)), F.lit(0).cast("long")) * 100.0
+    ).alias(f"{n}_overlap_percent")
+    engines = states.groupBy(*keys).agg(busy_time(on("kernel")).alias("_kernel"), share("decode"), share("encode"))
     moved = copy_statistics(
         copies.withColumnRenamed("direction", "_dir"), span.withColumn("_f", frames), keys, "_dir", "bytes", F.col("_f")
     )
