@@ -105,3 +105,19 @@ def test_bitmask(spark):
     df = spark.createDataFrame([(0,), (0x4 | 0x8,), (None,)], "m long")
     out = {r.m: r.n for r in df.select("m", tm.decode_bitmask(F.col("m")).alias("n")).collect()}
     assert out == {0: [], 12: ["hw_slowdown", "sw_power_cap"], None: []}
+
+
+def test_a_hot_run_is_spread_even_after_a_shuffled_join(spark):
+    """A join on the run alone must not leave the window of a whole run in one task."""
+    samples = spark.createDataFrame([sample("hot", float(t)) for t in range(50)] + [sample("b", 1.0)], SCHEMA)
+    runs = spark.createDataFrame([("hot", 40.0, 10, 1, 0), ("b", 2.0, 10, 1, 0)], RUNS)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = tm.window_metrics(samples, runs, ["run_id"], segment_seconds=5.0)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        spread = [line for line in plan.splitlines() if "hashpartitioning(run_id" in line and "_segment" in line]
+        assert spread and {r.run_id: r.energy_j for r in out.collect()} == {"hot": 4000.0, "b": 200.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
