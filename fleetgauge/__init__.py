@@ -1,3 +1,8 @@
-"""fleetgauge: DataFrame operators for measurement evidence from large job fleets."""
+"""Measurement and evidence operators on Spark."""
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors with the job, so workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
