@@ -17,11 +17,11 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 MAGIC = b"CMRC1\n"
 _SCALE = 16                       # probabilities are shares of 1 << 16
 _ONE = 1 << _SCALE
-_SLOTS2, _SLOTS1 = 8192, 4096     # table sizes of the contexts, per block
+_SLOTS2, _SLOTS1 = 4096, 2048     # table sizes of the contexts, per block
 _CONTEXTS = 32
 _RATE = 5
 _U = np.uint64
@@ -41,8 +41,9 @@ class _Model:
     def __init__(self, lanes: int) -> None:
         self.lanes = lanes
         self.row = np.arange(lanes)
-        self.guess2, self.sure2 = np.zeros(lanes * _SLOTS2, np.uint16), np.zeros(lanes * _SLOTS2, np.uint8)
-        self.guess1, self.sure1 = np.zeros(lanes * _SLOTS1, np.uint16), np.zeros(lanes * _SLOTS1, np.uint8)
+        # A context holds its guessed id times 4 plus how sure it is (0 to 3; 0: no guess).
+        self.table2, self.table1 = np.zeros(lanes * _SLOTS2, np.int32), np.zeros(lanes * _SLOTS1, np.int32)
+        self.row2, self.row1, self.rows = self.row * _SLOTS2, self.row * _SLOTS1, self.row * _CONTEXTS
         self.share2 = np.full(lanes * _CONTEXTS, _ONE // 2, np.int32)
         self.share1 = np.full(lanes * _CONTEXTS, _ONE // 2, np.int32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -52,31 +53,31 @@ class _Model:
 
     def predict(self):
         """Slots, guesses and the two interval borders: [0, a) order 2, [a, b) order 1, [b, 2**16) order 0."""
-        self.slot2 = self.row * _SLOTS2 + ((self.before * 40503 + self.last * 10007) >> 3) % _SLOTS2
-        self.slot1 = self.row * _SLOTS1 + self.last % _SLOTS1
-        self.g2, self.g1 = self.guess2[self.slot2].astype(np.int64), self.guess1[self.slot1].astype(np.int64)
-        s2, s1 = self.sure2[self.slot2], self.sure1[self.slot1]
+        self.slot2 = self.row2 + (((self.before * 40503 + self.last * 10007) >> 3) & (_SLOTS2 - 1))
+        self.slot1 = self.row1 + (self.last & (_SLOTS1 - 1))
+        self.held2, self.held1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
+        self.g2, self.g1 = self.held2 >> 2, self.held1 >> 2
+        s2, s1 = self.held2 & 3, self.held1 & 3
         same = self.g1 == self.g2
-        self.context = self.row * _CONTEXTS + s2.astype(np.int64) * 8 + s1.astype(np.int64) * 2 + same
-        self.use2, self.use1 = s2 > 0, (s1 > 0) & ~(same & (s2 > 0))
-        self.a = np.where(self.use2, self.share2[self.context], 0)
-        rest = _ONE - self.a
-        self.b = self.a + np.where(self.use1, (rest * self.share1[self.context].astype(np.int64)) >> _SCALE, 0)
+        self.context = self.rows + (s2 * 8 + s1 * 2 + same)
+        self.use2 = s2 > 0
+        self.use1 = (s1 > 0) & ~(same & self.use2)
+        self.p2, self.p1 = self.share2.take(self.context), self.share1.take(self.context)
+        self.a = self.p2 * self.use2
+        self.b = self.a + ((((_ONE - self.a) >> 1) * (self.p1 >> 1)) >> (_SCALE - 2)) * self.use1
         return self.a, self.b
 
     def learn(self, ids: np.ndarray) -> None:
         hit2, hit1 = self.use2 & (ids == self.g2), self.use1 & (ids == self.g1)
-        p = self.share2[self.context]
-        self.share2[self.context] = np.where(self.use2, p + np.where(hit2, (_ONE - 64 - p) >> _RATE, -((p - 64) >> _RATE)), p)
-        p = self.share1[self.context]
-        tried = self.use1 & ~hit2
-        self.share1[self.context] = np.where(tried, p + np.where(hit1, (_ONE - 64 - p) >> _RATE, -((p - 64) >> _RATE)), p)
-        for guess, sure, slot, old in ((self.guess2, self.sure2, self.slot2, self.g2), (self.guess1, self.sure1, self.slot1, self.g1)):
-            s = sure[slot]
-            right = (ids == old) & (s > 0)
-            keep = ~right & (s > 1)
-            guess[slot] = np.where(right | keep, old, ids)
-            sure[slot] = np.where(right, np.minimum(s + 1, 3), np.where(keep, s - 1, 1))
+        # Where a guess was not tried its share stays: its step is multiplied by 0.
+        self.share2[self.context] = self.p2 + ((hit2 * (_ONE - 128) + 64 - self.p2) >> _RATE) * self.use2
+        self.share1[self.context] = self.p1 + ((hit1 * (_ONE - 128) + 64 - self.p1) >> _RATE) * (self.use1 & ~hit2)
+        fresh = ids * 4 + 1
+        for table, slot, held in ((self.table2, self.slot2, self.held2), (self.table1, self.slot1, self.held1)):
+            sure = held & 3
+            right = ((held >> 2) == ids) & (sure > 0)
+            # Right: surer, up to 3.  Wrong: less sure, and replaced when it was barely sure.
+            table[slot] = np.where(right, held + (sure < 3), np.where(sure > 1, held - 1, fresh))
         self.before, self.last = self.last, ids
 
     def rebuild(self, seen: np.ndarray) -> None:

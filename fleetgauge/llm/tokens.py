@@ -40,11 +40,25 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.chunks: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks: many at once, with line ends between them that become tokens of their own."""
+        single = [c for c in chunks if len(c.split()) == 1 and not c[-1].isspace() and (c[0] == " " or not c[0].isspace())]
+        for at in range(0, len(single), JOINED):
+            part = single[at:at + JOINED]
+            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_end)
+            if len(cuts) == len(part) - 1:
+                self.chunks.update(zip(part, (x.tobytes() for x in _between(ids, cuts))))
+        rest = [c for c in chunks if c not in self.chunks]
+        if rest:
+            self.chunks.update(zip(rest, self._whole(rest)))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.chunks) > CACHE_WORDS:
@@ -57,7 +71,7 @@ class Tokenizer:
             pieces[n] = [first, *[" " + piece for piece in others]]
             fresh.update(dict.fromkeys(c for c in pieces[n] if c not in self.chunks))
         if fresh:
-            self.chunks.update(zip(fresh, self._whole(list(fresh))))
+            self._learn(list(fresh))
         whole = dict(zip(odd, self._whole([texts[n] for n in odd]))) if odd else {}
         get = self.chunks.__getitem__
         return [whole[n] if n in whole else b"".join(map(get, pieces[n])) for n in range(len(texts))]
@@ -74,6 +88,12 @@ _ODD = tuple(p for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for p in (f" {c}", f"{c} ")
 _WIDE_SPACES = "\x85\xa0                　"
 
 GROUP_CHARS = 4 << 20
+JOINED = 2000
+
+
+def _between(ids: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """The stretches of ``ids`` before, between and after the positions ``cuts``."""
+    return [ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])]
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
