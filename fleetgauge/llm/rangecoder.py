@@ -25,6 +25,7 @@ _SLOTS2, _SLOTS1 = 4096, 2048     # table sizes of the contexts, per block
 _CONTEXTS = 32
 _RATE = 5
 _U = np.uint64
+_FULL = _U(2 ** 32 - 1)           # largest range that may move up by a word
 
 
 def _rebuild_steps(length: int) -> set[int]:
@@ -64,7 +65,9 @@ class _Model:
         self.use1 = (s1 > 0) & ~(same & self.use2)
         self.p2, self.p1 = self.share2.take(self.context), self.share1.take(self.context)
         self.a = self.p2 * self.use2
-        self.b = self.a + ((((_ONE - self.a) >> 1) * (self.p1 >> 1)) >> (_SCALE - 2)) * self.use1
+        width = (((_ONE - self.a) >> 1) * (self.p1 >> 1)) >> (_SCALE - 2)
+        self.use1 &= width > 0  # too little room left: order 1 makes no guess
+        self.b = self.a + width * self.use1
         return self.a, self.b
 
     def learn(self, ids: np.ndarray) -> None:
@@ -181,7 +184,7 @@ class _Encoder:
             self.words[who, self.count[who]] = (low[out] >> _U(32)).astype(np.uint32)
             self.count[who] += 1
             low[out] <<= _U(32)
-            span[out] <<= _U(32)
+            span[out] = np.minimum(span[out], _FULL) << _U(32)
         self.low[lane], self.range[lane] = low, span
 
     def finish(self) -> list[bytes]:
@@ -229,7 +232,7 @@ def decode(data: bytes) -> np.ndarray:
         if len(out):
             who = lane[out]
             lo[out] <<= _U(32)
-            sp[out] <<= _U(32)
+            sp[out] = np.minimum(sp[out], _FULL) << _U(32)
             code[who] = (code[who] << _U(32)) | words[who, np.minimum(place[who], longest - 1)]
             place[who] += 1
         low[lane], span[lane] = lo, sp
