@@ -101,7 +101,7 @@ def redact_path(value: Column, root: str) -> Column:
     return (
         F.when(~value.startswith("/"), value)
         .when(path == base[:-1], ".")
-        .when(path.startswith(base), F.substring(path, len(base) + 1, 1_000_000_000))
+        .when(path.startswith(base), F.substr(path, F.lit(len(base) + 1)))
         .otherwise(F.concat(F.lit("external/"), F.substring_index(path, "/", -1)))
     )
 

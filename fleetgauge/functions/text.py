@@ -77,7 +77,7 @@ def parse_prefixed_pairs(df: DataFrame, text: str, prefix: str, names: Sequence[
     Lines are folded inside the row, so no explode and no pivot shuffle are needed.
     """
     lines = F.filter(F.split(text, LINE_BREAK), lambda l: l.startswith(prefix) & l.contains("="))
-    key = lambda l: F.substring_index(F.substring(l, len(prefix) + 1, 1_000_000), "=", 1)
+    key = lambda l: F.substring_index(F.substr(l, F.lit(len(prefix) + 1)), "=", 1)
     raw = lambda l: F.regexp_extract(l, "(?s)^[^=]*=(.*)$", 1)
 
     def last_of(name: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.segments import SEGMENT, by_width, spread
+from fleetgauge.operators.segments import SEGMENT, by_width, join_on, spread
 
 
 def clip(df: DataFrame, low: Column, high: Column, start: str = "start", end: str = "end") -> DataFrame:
@@ -184,10 +184,13 @@ def trace_name_summary(df: DataFrame, keys: Sequence[str], name: str, duration:
     )
 
 
-def resolve_names(df: DataFrame, strings: DataFrame, id_column: str, inline: str, out: str = "label") -> DataFrame:
-    """Dictionary-encoded text: the dictionary entry, else the text stored in the row."""
-    dictionary = strings.select(F.col("id").alias(id_column), F.col("value").alias("_value"))
-    return df.join(dictionary, id_column, "left").withColumn(
+def resolve_names(df: DataFrame, strings: DataFrame, id_column: str, inline: str, out: str = "label", keys: Sequence[str] = ()) -> DataFrame:
+    """Dictionary-encoded text: the dictionary entry, else the text stored in the row.
+
+    ``keys`` name the trace: every trace has a dictionary of its own.
+    """
+    dictionary = strings.select(*keys, F.col("id").alias(id_column), F.col("value").alias("_value")).filter(F.col(id_column).isNotNull())
+    return join_on(df, dictionary, [*keys, id_column], "left").withColumn(
         out, F.coalesce("_value", F.col(inline))
     ).drop("_value")
 
@@ -201,17 +204,16 @@ def single_window(named: DataFrame, keys: Sequence[str], label: Column) -> DataF
     return hits.withColumn("window_error", F.when(bad, F.lit("lacks one complete window"))).drop("_n")
 
 
-def enum_filter(fact: DataFrame, enum: DataFrame, enum_id: str, name: str) -> DataFrame:
-    """Facts whose enum id carries this name; rows survive only if the name is unique."""
+def enum_filter(fact: DataFrame, enum: DataFrame, enum_id: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Facts whose enum id carries this name in their trace (``keys``); the name must be unique there."""
     wanted = (
         enum.filter(F.col("name") == name)
-        .groupBy("name")
+        .groupBy(*keys, "name")
         .agg(F.count("*").alias("_n"), F.first("id").alias(enum_id))
-        .filter(F.col("_n") == 1)
-        .select(enum_id)
+        .filter((F.col("_n") == 1) & F.col(enum_id).isNotNull())
+        .select(*keys, enum_id)
     )
-    # At most one row by construction, so the broadcast is bounded.
-    return fact.join(F.broadcast(wanted), enum_id)
+    return join_on(fact, wanted, [*keys, enum_id], "left_semi")
 
 
 def trace_findings(

@@ -1,92 +1,68 @@
-"""Exact interpolated quantiles of groups of any size.
+"""Exact interpolated quantiles of groups of any size, by one method.
 
-``percentile``/``median`` keep every distinct value of a group in one aggregation buffer, so
-only groups of a checked size go that way.  A larger group is histogrammed between its
-minimum and maximum (map-side combined); the bins that hold the wanted ranks are found in the
-histogram, and only the rows of those bins are ordered.
+Rows are first counted per group and distinct value (combined map-side, so ties cost nothing).
+Distinct values are then numbered by running counts inside value segments, a fixed grid of 64
+steps per power of two, and what lies before a segment comes from a table with one row per
+segment.  No group is sorted or held in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN_ROWS = 10_000
-MAX_BINS = 100_000
+from fleetgauge.operators.segments import SEGMENT, join_on, spread
+
+STEPS = 64           # value segments per power of two
+ORIGIN = 1100 * 64   # more than the steps between 1 and the smallest double
+
+
+def value_segment(value: Column) -> Column:
+    """Segment number that never falls as the value grows; null for null, NaN last."""
+    # log2 of a double lies in [-1074, 1024]; the least() keeps infinity on the grid.
+    size = F.floor(F.least(F.log2(F.abs(value)), F.lit(1025.0)) * STEPS) + ORIGIN
+    return F.when(value.isNull(), F.lit(None)).when(F.isnan(value), F.lit(4 * ORIGIN)).when(value == 0, F.lit(0)).otherwise(
+        F.when(value < 0, -size).otherwise(size)).cast("long")
 
 
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
-    metrics: dict[str, tuple[str, float]],
-    bin_rows: int = BIN_ROWS,
+    metrics: Mapping[str, tuple[str, float]],
+    counts: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per key with ``alias -> quantile(column, q)``; nulls are skipped.
+    """One row per key with ``alias -> quantile(column, q)``; ``counts`` adds non-null counts.
 
-    A quantile at rank r = q * (n - 1) is interpolated linearly between its neighbours.  Groups
-    of more than ``bin_rows`` rows are listed first.  Where there are none, adaptive execution
-    drops that half of the plan.
+    Nulls are skipped; a group with nothing but nulls has null quantiles; null keys form a group.
+    A quantile at rank r = q * (n - 1) is interpolated linearly between its neighbours.
     """
-    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > bin_rows).select(*keys)
-    small = df.join(large, list(keys), "left_anti").groupBy(*keys).agg(
-        *[F.percentile(F.col(column).cast("double"), F.lit(float(q))).alias(alias) for alias, (column, q) in metrics.items()])
-    return small.unionByName(_binned(df.join(large, list(keys), "left_semi"), keys, metrics, bin_rows))
+    counts = counts or {}
+    sources = sorted({column for column, _ in metrics.values()} | set(counts.values()))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in sources]))
+    values = df.select(*keys, each.alias("_e")).select(*keys, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v"))
+    # A null value keeps its group in the result and counts nothing.
+    distinct = values.groupBy(*keys, "_m", "_v").agg(F.count("_v").alias("_k")).withColumn(SEGMENT, value_segment(F.col("_v")))
+    group = [*keys, "_m"]
+    across = Window.partitionBy(*group)
+    before = across.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    carried = distinct.groupBy(*group, SEGMENT).agg(F.sum("_k").alias("_k")).select(
+        *group, SEGMENT, F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(across).alias("_n"))
+    inside = Window.partitionBy(*group, SEGMENT).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = join_on(spread(distinct, group).withColumn("_upto", F.sum("_k").over(inside)), carried, [*group, SEGMENT])
+    placed = placed.withColumn("_upto", F.col("_upto") + F.col("_before")).withColumn("_from", F.col("_upto") - F.col("_k"))
 
+    def value_at(column: str, rank: Column) -> Column:
+        return F.max(F.when((F.col("_m") == column) & (F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("_v")))
 
-def _binned(df: DataFrame, keys: Sequence[str], metrics: dict[str, tuple[str, float]], bin_rows: int) -> DataFrame:
-    sources = sorted({column for column, _ in metrics.values()})
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in sources])
-        ).alias("_e"),
-    ).select(*keys, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v")).filter(F.col("_v").isNotNull())
-    group = [*keys, "_m"]
-    stats = long.groupBy(*group).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    bins = F.least(F.ceil(F.col("_n") / bin_rows), F.lit(MAX_BINS))
-    place = F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(
-            F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
-            bins - 1,
-        ),
-    ).otherwise(F.lit(0)).cast("long")
-    binned = long.join(stats, group).withColumn("_bin", place)
-    histogram = binned.groupBy(*group, "_bin").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = histogram.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
-    wanted = [
-        F.struct(F.lit(a).alias("a"), F.lit(c).alias("c"), F.lit(float(q)).alias("q"))
-        for a, (c, q) in metrics.items()
-    ]
-    ranks = (
-        histogram.withColumn("_w", F.explode(F.array(*wanted)))
-        .filter(F.col("_w.c") == F.col("_m"))
-        .withColumn("_rank", F.col("_w.q") * (F.col("_n") - 1))
-        .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank")))))
-        .filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_k")))
-    )
-    targets = ranks.groupBy(*group, "_bin").agg(
-        F.first("_before").alias("_before"),
-        F.collect_set(F.struct(F.col("_w.a").alias("a"), "_rank", "_r")).alias("_targets"),
-    )
-    inside = Window.partitionBy(*group, "_bin").orderBy("_v")
-    found = (
-        binned.select(*group, "_bin", "_v")
-        .join(targets, [*group, "_bin"])
-        .withColumn("_at", F.col("_before") + F.row_number().over(inside) - 1)
-        .withColumn("_t", F.explode(F.filter("_targets", lambda t: t["_r"] == F.col("_at"))))
-        .select(*keys, F.col("_t.a").alias("_a"), F.col("_t._rank").alias("_rank"), "_at", "_v")
-    )
-    pick = lambda alias: F.col("_a") == alias
-    columns = []
-    for alias in metrics:
-        low = F.min(F.when(pick(alias), F.col("_v")))
-        high = F.max(F.when(pick(alias), F.col("_v")))
-        part = F.max(F.when(pick(alias), F.col("_rank") - F.floor("_rank")))
-        columns.append((low + (high - low) * part).alias(alias))
-    return found.groupBy(*keys).agg(*columns)
+    found = []
+    for alias, (column, q) in metrics.items():
+        rank = (F.col("_n") - 1) * float(q)
+        found += [value_at(column, F.floor(rank)).alias(f"_lo_{alias}"), value_at(column, F.ceil(rank)).alias(f"_hi_{alias}"),
+                  F.max(F.when(F.col("_m") == column, rank - F.floor(rank))).alias(f"_part_{alias}")]
+    found += [F.max(F.when(F.col("_m") == column, F.col("_n"))).alias(alias) for alias, column in counts.items()]
+    between = {alias: F.col(f"_lo_{alias}") + (F.col(f"_hi_{alias}") - F.col(f"_lo_{alias}")) * F.col(f"_part_{alias}") for alias in metrics}
+    # Equal neighbours need no arithmetic, which infinite ones could not stand.
+    return placed.groupBy(*keys).agg(*found).select(*keys, *counts, *[
+        F.when(F.col(f"_lo_{a}") == F.col(f"_hi_{a}"), F.col(f"_lo_{a}")).otherwise(v).alias(a) for a, v in between.items()])

@@ -6,8 +6,8 @@ a segment border (last row, running total) is taken from a small table with one
 segment.  Results equal those of the plain window; a group holding a third of all rows is
 spread over as many tasks as it has segments.
 
-``segment`` must not decrease along the order, e.g. ``floor(time / width)``.  Key columns
-must not be null.
+``segment`` must not decrease along the order, e.g. ``floor(time / width)``.  Null keys form a
+group, and rows with a null order value come first, as in a plain window; their segment is null.
 """
 
 from __future__ import annotations
@@ -29,6 +29,15 @@ def segmented(df: DataFrame, segment: Column) -> DataFrame:
     return df.withColumn(SEGMENT, segment)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the other columns must differ in name."""
+    renamed = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for key in keys:
+        match = match & left[key].eqNullSafe(renamed[f"_on_{key}"])
+    return left.join(renamed, match, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Partition by (keys, segment) ahead of a window over them.
 
@@ -66,8 +75,7 @@ def previous_row(
     tails = data.groupBy(*keys, SEGMENT).agg(F.max_by("_held", place).alias("_tail"))
     carried = tails.select(*keys, SEGMENT, carry.alias("_carried"))
     return (
-        spread(data, keys).withColumn(out, here)
-        .join(carried, [*keys, SEGMENT])
+        join_on(spread(data, keys).withColumn(out, here), carried, [*keys, SEGMENT])
         .withColumn(out, F.coalesce(out, "_carried"))
         .drop("_carried", "_held", SEGMENT)
     )
@@ -114,9 +122,9 @@ def running(
             for out, (kind, _) in aggregates.items()
         ],
     )
-    result = spread(data, keys).withColumns(
+    result = join_on(spread(data, keys).withColumns(
         {out: _AGGREGATE[kind](column).over(local) for out, (kind, column) in aggregates.items()}
-    ).join(carried, [*keys, SEGMENT])
+    ), carried, [*keys, SEGMENT])
     return result.withColumns(
         {out: _merge(kind, F.col(f"_c_{out}"), F.col(out)) for out, (kind, _) in aggregates.items()}
     ).drop(SEGMENT, *[f"_c_{out}" for out in aggregates])
@@ -145,15 +153,16 @@ def trailing_mean(
 ) -> DataFrame:
     """Mean of the last ``size`` rows by a dense 1-based ``index``.
 
-    Each segment takes a copy of the ``size - 1`` rows before it, so no group is sorted whole.
+    Each segment takes a copy of the ``size - 1`` rows before it, so no group is sorted whole.  A
+    row without an index has no mean.
     """
     rows = max(segment_rows, size)
     own = F.floor((F.col(index) - 1) / rows).cast("long")
     later = F.floor((F.col(index) - 1 + size - 1) / rows).cast("long")
-    copies = df.withColumn("_own", own).withColumn(SEGMENT, F.explode(F.sequence(own, later)))
+    copies = df.withColumn("_own", own).withColumn(SEGMENT, F.explode_outer(F.sequence(own, later)))
     window = Window.partitionBy(*keys, SEGMENT).orderBy(index).rowsBetween(-(size - 1), 0)
     return (
-        spread(copies, keys).withColumn(out, F.avg(value).over(window))
-        .filter(F.col("_own") == F.col(SEGMENT))
+        spread(copies, keys).withColumn(out, F.when(F.col("_own").isNotNull(), F.avg(value).over(window)))
+        .filter(F.col("_own").eqNullSafe(F.col(SEGMENT)))
         .drop("_own", SEGMENT)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
 from fleetgauge.operators.quantiles import exact_quantiles
+from fleetgauge.operators.segments import join_on
 
 
 def relative_spread(low: str, high: str, median: str) -> Column:
@@ -17,18 +18,12 @@ def relative_spread(low: str, high: str, median: str) -> Column:
 
 def suite_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Runs, median, minimum, maximum and relative spread (null unless the median is positive)."""
-    extremes = df.groupBy(*keys).agg(
-        F.count(value).alias("runs"), F.min(value).alias("min_fps"), F.max(value).alias("max_fps")
-    )
-    medians = exact_quantiles(df, keys, {"median_fps": (value, 0.5)})
-    return extremes.join(medians, list(keys), "left").withColumn(
-        "relative_spread", relative_spread("min_fps", "max_fps", "median_fps")
-    )
+    return implementation_statistics(df, keys, value, {})
 
 
 def suite_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Every single run value next to the statistics of its suite (rows, not one array)."""
-    return df.join(suite_statistics(df, keys, value), list(keys))
+    return join_on(df, suite_statistics(df, keys, value), keys)
 
 
 def needs_extension(stats: DataFrame, threshold: float) -> DataFrame:
@@ -58,7 +53,7 @@ def suite_status(
     target = F.when(F.col("_early") > spread_threshold, initial_runs + extra_runs).otherwise(initial_runs)
     sound = F.col("_all") & F.col("_same") & (F.col("_n") == target)
     stable = sound & F.coalesce(F.col("relative_spread") <= limit, F.lit(False))
-    joined = counts.join(early, list(keys), "left").join(whole, list(keys), "left")
+    joined = join_on(join_on(counts, early, keys, "left"), whole.drop("runs"), keys, "left")
     return joined.select(
         *keys, F.col("_n").alias("runs"), target.cast("int").alias("target_runs"), "median_fps", "relative_spread",
         F.when(stable, "valid").when(sound, "unstable").otherwise("invalid").alias("status"),
@@ -69,7 +64,8 @@ def stability(df: DataFrame, keys: Sequence[str], round_column: str, value: str,
     """Verdict over three or five rounds, then over the narrowest four of five.
 
     Rounds are numbered 1..5, so five conditional maxima hold a group: no list is gathered and
-    the aggregation combines map-side.
+    the aggregation combines map-side.  A group that is not three or five complete rounds comes
+    back as ``incomplete`` without spreads.
     """
     slots = [F.max(F.when(F.col(round_column) == i, F.col(value))).alias(f"_r{i}") for i in range(1, 6)]
     wide = df.groupBy(*keys).agg(
@@ -79,7 +75,7 @@ def stability(df: DataFrame, keys: Sequence[str], round_column: str, value: str,
     ordered = F.array_sort(values)
     usable = F.col("rounds").isin(3, 5) & (F.col("_rows") == F.col("rounds")) & (F.col("_last") == F.col("rounds"))
     at = lambda a, i: F.element_at(a, i)
-    spread5 = (F.array_max(values) - F.array_min(values)) / at(ordered, ((F.col("rounds") + 1) / 2).cast("int"))
+    spread5 = (F.array_max(values) - F.array_min(values)) / F.try_element_at(ordered, ((F.col("rounds") + 1) / 2).cast("int"))
 
     def without(position: int) -> Column:
         kept = F.array_sort(F.array(*[F.col(f"_r{i}") for i in range(1, 6) if i != position]))
@@ -88,25 +84,23 @@ def stability(df: DataFrame, keys: Sequence[str], round_column: str, value: str,
         return F.struct(((at(kept, 4) - at(kept, 1)) / middle).alias("spread"), F.lit(-position).alias("excluded"))
 
     best = F.least(*[without(i) for i in range(1, 6)])
-    judged = wide.filter(usable).withColumns({"full_spread": spread5}).withColumn(
+    judged = wide.withColumns({"full_spread": F.when(usable, spread5)}).withColumn(
         "_best", F.when((F.col("rounds") == 5) & (F.col("full_spread") > threshold), best)
     )
     consensus = F.col("_best.spread")
     outlier = F.when(consensus <= threshold, -F.col("_best.excluded"))
     return judged.select(
         *keys, "rounds", "full_spread", consensus.alias("consensus_spread"), outlier.alias("outlier_round"),
-        F.when(F.col("full_spread") <= threshold, "stable").when(F.col("rounds") == 3, "needs-extra-runs")
+        F.when(~F.coalesce(usable, F.lit(False)), "incomplete").when(F.col("full_spread") <= threshold, "stable").when(F.col("rounds") == 3, "needs-extra-runs")
         .when(consensus <= threshold, "stable-with-one-outlier").otherwise("unstable").alias("stability"),
     )
 
 
 def implementation_statistics(df: DataFrame, keys: Sequence[str], fps: str, medians: dict[str, str]) -> DataFrame:
     """Suite statistics plus the median of each named metric (``alias -> column``) in one pass."""
-    wanted = {"median_fps": (fps, 0.5), **{alias: (column, 0.5) for alias, column in medians.items()}}
-    extremes = df.groupBy(*keys).agg(
-        F.count(fps).alias("runs"), F.min(fps).alias("min_fps"), F.max(fps).alias("max_fps")
-    )
-    return extremes.join(exact_quantiles(df, keys, wanted), list(keys), "left").withColumn(
+    wanted = {"median_fps": (fps, 0.5), "min_fps": (fps, 0.0), "max_fps": (fps, 1.0),
+              **{alias: (column, 0.5) for alias, column in medians.items()}}
+    return exact_quantiles(df, keys, wanted, {"runs": fps}).withColumn(
         "relative_spread", relative_spread("min_fps", "max_fps", "median_fps")
     )
 
@@ -121,16 +115,16 @@ def median_phase_intervals(
     """
     runs = df.select(*keys, run).distinct().groupBy(*keys).agg(F.count("*").alias("_runs"))
     per_name = df.select(*keys, name, run).distinct().groupBy(*keys, name).agg(F.count("*").alias("_in"))
-    same = per_name.join(runs, list(keys)).groupBy(*keys).agg(
+    same = join_on(per_name, runs, keys).groupBy(*keys).agg(
         F.bool_and(F.col("_in") == F.col("_runs")).alias("same_names")
     )
-    return exact_quantiles(df, [*keys, name], {out: (value, 0.5)}).join(same, list(keys))
+    return join_on(exact_quantiles(df, [*keys, name], {out: (value, 0.5)}), same, keys)
 
 
 def relative_to_baseline(df: DataFrame, group: Sequence[str], implementation: str, baseline: str, value: str) -> DataFrame:
     """Percent difference to the baseline row of the group (null without one)."""
     base = df.groupBy(*group).agg(F.max(F.when(F.col(implementation) == baseline, F.col(value))).alias("_base"))
-    return df.join(base, list(group)).withColumn(
+    return join_on(df, base, group).withColumn(
         "relative_percent", (F.col(value) / F.col("_base") - 1) * 100
     ).drop("_base")
 
@@ -140,7 +134,7 @@ def campaign_summary(df: DataFrame, campaign: Sequence[str], gaps: Column | None
 
     ``df`` has implementation, rounds, stability; ``gaps`` counts open publication gaps.
     """
-    bad = F.col("stability").isin("needs-extra-runs", "unstable")
+    bad = F.col("stability").isin("needs-extra-runs", "unstable", "incomplete")
     outlier = F.col("stability") == "stable-with-one-outlier"
     gap = gaps if gaps is not None else F.lit(0)
     grouped = df.withColumn("_gap", gap).groupBy(*campaign).agg(
@@ -234,13 +228,14 @@ def matrix_check(df: DataFrame, keys: Sequence[str], required: Sequence[str], co
     known = F.col("variant").isin(*required)
     keyed = df.withColumn("_contract", F.sha2(F.to_json(F.struct(*contract), {"ignoreNullFields": "false"}), 256))
     grouped = keyed.groupBy(*keys).agg(
-        F.count_distinct(F.when(known, F.col("variant"))).alias("_have"),
+        F.count_distinct(F.when(known, F.col("variant"))).alias("_have"), F.count_if(F.coalesce(known, F.lit(False))).alias("_rows"),
         F.count_if(~F.coalesce(known, F.lit(False))).alias("_extra"),
         F.bool_and((F.col("status") == "valid") & F.col("publishable")).alias("_ok"),
         (F.min("_contract") == F.max("_contract")).alias("_same"),
     )
     return grouped.select(*keys, R.labels([
         ("required variants are missing", F.col("_have") != len(required)),
+        ("required variants occur more than once", F.col("_rows") > F.col("_have")),
         ("unexpected variants", F.col("_extra") > 0),
         ("a campaign is not publishable", ~R.when_present(F.col("_ok"))),
         ("shared contract changed", ~F.col("_same")),

@@ -85,7 +85,7 @@ def _a52(t):
     keys = ["workload_id", "variant"]
     winners = keyed.filter("implementation <> 'A'").select(*keys, "implementation", c("max_fps").alias("confirmation_fps"))
     quality = keyed.select(*keys, "implementation", F.lit(0.1).alias("max_rmse"), F.lit(50.0).alias("min_psnr_db"))
-    number = F.substring("workload_id", 2, 9).cast("long")
+    number = F.substr("workload_id", F.lit(2)).cast("long")
     identity = keyed.select(*keys).distinct().filter(number % 7 > 0).select(*keys, F.lit(True).alias("tensors_identical"), (number % 2 == 0).alias("outputs_identical"))
     required = t.supplier.filter("s_suppkey % 3 > 0").select(
         F.concat(F.lit("w"), c("s_suppkey").cast("string")).alias("workload_id"), F.explode(F.array(F.lit("720p"), F.lit("1080p"))).alias("variant"))

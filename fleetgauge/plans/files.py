@@ -75,31 +75,35 @@ def _s03(t):
 
 
 def trace_tables(t):
-    """Events as the seven native trace tables, with ``trace_id`` beside the native columns."""
+    """Events as the seven native trace tables; every trace numbers its strings and enums in its own way."""
     data, kind = spans(t), c("event_type")
     pick = lambda *names: data.filter(kind.isin(*names))
     loops = windows(t).select("trace_id", c("win_start").alias("start"), c("win_end").alias("end"))
-    even = c("trace_id") % 2 == 0
+    shift, even = c("trace_id") % 5, c("trace_id") % 2 == 0
     other = pick("error").select("trace_id", "start", "end", F.lit("warm-up").alias("text"), F.lit(None).cast("long").alias("textId"))
-    enum = lambda rows: t.spark.createDataFrame(rows, "id int, name string, label string")
+    traces = data.select("trace_id").distinct()
+    rows = lambda *entries: traces.select("trace_id", F.inline(F.array(*[
+        F.struct((F.lit(number) + shift).cast("long").alias("id"), F.lit(name).alias("name"), F.lit(label).alias("label")) for number, name, label in entries])))
     return {
         "CUPTI_ACTIVITY_KIND_KERNEL": pick("view", "signup").select("trace_id", "start", "end"),
         "CUPTI_ACTIVITY_KIND_MEMCPY": pick("click", "purchase", "view").select(
-            "trace_id", "start", "end", "bytes", F.when(kind == "click", 1).when(kind == "purchase", 2).otherwise(8).alias("copyKind")),
-        "GPU_VIDEO_ENGINE_WORKLOAD": pick("click", "error").select("trace_id", "start", "end", F.when(kind == "click", 1).otherwise(2).alias("engineType")),
+            "trace_id", "start", "end", "bytes", (shift + F.when(kind == "click", 1).when(kind == "purchase", 2).otherwise(8)).alias("copyKind")),
+        "GPU_VIDEO_ENGINE_WORKLOAD": pick("click", "error").select("trace_id", "start", "end", (shift + F.when(kind == "click", 1).otherwise(2)).alias("engineType")),
         "NVTX_EVENTS": loops.select(
-            "trace_id", "start", "end", F.when(~even, "pipeline.frame_loop").alias("text"), F.when(even, F.lit(7)).cast("long").alias("textId")).unionByName(other),
-        "ENUM_CUDA_MEMCPY_OPER": enum([(1, "CUDA_MEMCPY_KIND_HTOD", "h2d"), (2, "CUDA_MEMCPY_KIND_DTOH", "d2h"), (8, "CUDA_MEMCPY_KIND_DTOD", "d2d")]),
-        "ENUM_VIDEO_ENGINE_TYPE": enum([(1, "NVDEC", "decode"), (2, "NVENC", "encode")]),
-        "StringIds": t.spark.createDataFrame([(7, "pipeline.frame_loop"), (8, "other")], "id long, value string"),
+            "trace_id", "start", "end", F.when(~even, "pipeline.frame_loop").alias("text"), F.when(even, 7 + shift).cast("long").alias("textId")).unionByName(other),
+        "ENUM_CUDA_MEMCPY_OPER": rows((1, "CUDA_MEMCPY_KIND_HTOD", "h2d"), (2, "CUDA_MEMCPY_KIND_DTOH", "d2h"), (8, "CUDA_MEMCPY_KIND_DTOD", "d2d")),
+        "ENUM_VIDEO_ENGINE_TYPE": rows((1, "NVDEC", "decode"), (2, "NVENC", "encode")),
+        "StringIds": rows((7, "pipeline.frame_loop", ""), (8, "other", ""), (6, "another", "")).select("trace_id", "id", c("name").alias("value")),
     }
 
 
 def _findings_sql() -> str:
     from fleetgauge.plans.registry import REGISTRY
-    from fleetgauge.plans import trace  # noqa: F401  registers the query the text comes from
+    from fleetgauge.plans import trace
 
-    return REGISTRY["A38_trace_findings"].sql
+    return f"""WITH {trace.SPANS}, {trace.WINDOWS}, f AS ({REGISTRY["A38_trace_findings"].sql}),
+tr AS (SELECT DISTINCT trace_id FROM spans WHERE event_type IN ('view', 'signup', 'error') UNION SELECT trace_id FROM wins)
+SELECT tr.trace_id, CASE WHEN f.trace_id IS NULL THEN 'lacks one complete window' END AS window_error, f.* EXCLUDE (trace_id) FROM tr LEFT JOIN f ON f.trace_id = tr.trace_id"""
 
 
 @query("S04_read_trace_tables", _findings_sql())

@@ -23,7 +23,7 @@ WITH = f"WITH {POINTS} "
 def points(t):
     slot = c("num_streams")
     data = t.part.select(
-        c("p_brand").alias("implementation"), F.substring("p_brand", 7, 9).cast("long").alias("no"), (1 + c("p_size") % 12).alias("num_streams"),
+        c("p_brand").alias("implementation"), F.substr("p_brand", F.lit(7)).cast("long").alias("no"), (1 + c("p_size") % 12).alias("num_streams"),
         F.round(c("p_retailprice") * 100).cast("long").alias("cents"), "p_type", "p_size",
     ).groupBy("implementation", "no", "num_streams").agg(
         (F.sum("cents") / F.count("*")).alias("base"), F.min("p_type").alias("kind"), F.max("p_size").alias("big"))

@@ -182,20 +182,28 @@ def _names(t):
     return found.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 8)})
 
 
+# Four traces, each with a dictionary of its own whose ids mean something else in the next one.
 @query("J07_resolve_names", """
-SELECT e.event_id, coalesce(n.n_name, e.event_type) AS label FROM events e
-LEFT JOIN nation n ON n.n_nationkey = CAST(json_extract(e.props, '$.k') AS BIGINT)""")
+WITH d AS (SELECT k AS trace_id, n_nationkey + 3 * k AS id, n_name || '-' || k AS value FROM nation, unnest(range(4)) AS r(k))
+SELECT e.event_id, coalesce(d.value, e.event_type) AS label FROM events e
+LEFT JOIN d ON d.trace_id = e.user_id % 4 AND d.id = CAST(json_extract(e.props, '$.k') AS BIGINT)""")
 def _resolve(t):
     named = t.events.select(
-        "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("text_id")
-    )
-    strings = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("value"))
-    return iv.resolve_names(named, strings, "text_id", "event_type").select("event_id", "label")
+        "event_id", "event_type", (F.col("user_id") % 4).alias("trace_id"), F.get_json_object("props", "$.k").cast("long").alias("text_id"))
+    strings = t.nation.withColumn("trace_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).select(
+        "trace_id", (F.col("n_nationkey") + 3 * F.col("trace_id")).alias("id"), F.concat_ws("-", "n_name", "trace_id").alias("value"))
+    return iv.resolve_names(named, strings, "text_id", "event_type", keys=["trace_id"]).select("event_id", "label")
 
 
+# Three traces with shifted ids; in the last one the name occurs twice and so means nothing.
 @query("J08_enum_filter", """
-SELECT c.c_custkey, c.c_name FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
-WHERE n.n_name = 'NATION_7'""")
+WITH d AS (SELECT k AS trace_id, (n_nationkey + k) % 25 AS id, CASE WHEN k = 2 AND n_nationkey = 8 THEN 'NATION_7' ELSE n_name END AS name FROM nation, unnest(range(3)) AS r(k)),
+u AS (SELECT trace_id, min(id) AS id FROM d WHERE name = 'NATION_7' GROUP BY trace_id HAVING count(*) = 1)
+SELECT c.c_custkey, c.c_name FROM customer c JOIN u ON u.trace_id = c.c_custkey % 3 AND u.id = c.c_nationkey""")
 def _enum(t):
-    enum = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return iv.enum_filter(t.customer, enum, "c_nationkey", "NATION_7").select("c_custkey", "c_name")
+    trace = F.col("trace_id")
+    enum = t.nation.withColumn("trace_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).select(
+        "trace_id", ((F.col("n_nationkey") + trace) % 25).alias("id"),
+        F.when((trace == 2) & (F.col("n_nationkey") == 8), "NATION_7").otherwise(F.col("n_name")).alias("name"))
+    facts = t.customer.withColumn("trace_id", (F.col("c_custkey") % 3).cast("long"))
+    return iv.enum_filter(facts, enum, "c_nationkey", "NATION_7", ["trace_id"]).select("c_custkey", "c_name")

@@ -38,7 +38,7 @@ def use_utc(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
 
-    Only where that is unset (tests on one machine) a local folder is made and set.
+    Only where that is unset and everything runs on one machine a local folder is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -47,6 +47,8 @@ def shared_root(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fleetgauge-")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext.getCheckpointDir()

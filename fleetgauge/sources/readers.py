@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions import rules as R
 from fleetgauge.functions.scalars import utc_timestamp
 from fleetgauge.operators.intervals import enum_filter, resolve_names, single_window, trace_findings
+from fleetgauge.operators.segments import join_on
 from fleetgauge.sources import schemas as sm
 
 # Layout ``<implementation>/round-NN/run-01/manifest.json``.
@@ -81,20 +82,29 @@ def read_trace_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def analyse_trace(tables: dict[str, DataFrame], keys: list[str], loop_label: str, width: int, frames: Column) -> DataFrame:
-    """Findings of every trace from its native tables; traces without one complete loop drop out."""
-    labelled = resolve_names(tables["NVTX_EVENTS"].withColumn("_id", F.col("textId")), tables["StringIds"], "_id", "text")
-    windows = single_window(labelled, keys, F.col("label") == loop_label).filter(F.col("window_error").isNull())
+    """Findings of every trace from its native tables, all of which carry ``keys``.
+
+    Every trace with a marker or a kernel comes back; one without a single complete loop has
+    ``window_error`` and no findings.
+    """
+    labelled = resolve_names(tables["NVTX_EVENTS"].withColumn("_id", F.col("textId")), tables["StringIds"], "_id", "text", keys=keys)
+    traces = tables["NVTX_EVENTS"].select(*keys).unionByName(tables["CUPTI_ACTIVITY_KIND_KERNEL"].select(*keys)).distinct()
+    found = single_window(labelled, keys, F.col("label") == loop_label)
+    state = join_on(traces, found.withColumn("_hit", F.lit(True)), keys, "left").select(
+        *keys, "win_start", "win_end", F.when(F.col("_hit").isNull(), "lacks one complete window").otherwise(F.col("window_error")).alias("window_error"))
+    windows = state.filter(F.col("window_error").isNull())
     engines = [
-        enum_filter(tables["GPU_VIDEO_ENGINE_WORKLOAD"], tables["ENUM_VIDEO_ENGINE_TYPE"], "engineType", name)
+        enum_filter(tables["GPU_VIDEO_ENGINE_WORKLOAD"], tables["ENUM_VIDEO_ENGINE_TYPE"], "engineType", name, keys)
         .select(*keys, "start", "end", F.lit(kind).alias("engine")) for name, kind in sm.VIDEO_ENGINES.items()
     ]
     copies = [
-        enum_filter(tables["CUPTI_ACTIVITY_KIND_MEMCPY"], tables["ENUM_CUDA_MEMCPY_OPER"], "copyKind", name)
+        enum_filter(tables["CUPTI_ACTIVITY_KIND_MEMCPY"], tables["ENUM_CUDA_MEMCPY_OPER"], "copyKind", name, keys)
         .select(*keys, "start", "end", "bytes", F.lit(kind).alias("direction")) for name, kind in sm.COPY_KINDS.items()
     ]
     moved = copies[0].unionByName(copies[1]).unionByName(copies[2])
-    return trace_findings(
+    findings = trace_findings(
         windows.drop("window_error"), tables["CUPTI_ACTIVITY_KIND_KERNEL"], engines[0].unionByName(engines[1]), moved, keys, width, frames)
+    return join_on(state.select(*keys, "window_error"), findings, keys, "left")
 
 
 def decode_tensors(df: DataFrame, content: str, length: Column, expected_elements: Column, out: str = "values") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import statistics
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import scalars as sc
@@ -9,6 +10,7 @@ from fleetgauge.functions import rules as R
 from fleetgauge.operators import search as sr
 from fleetgauge.operators import sequence as sq
 from fleetgauge.operators import stats as st
+from fleetgauge.operators import segments as sg
 from fleetgauge.operators.quantiles import exact_quantiles
 from fleetgauge.operators.segments import by_width, previous_row, row_numbers, running, trailing_mean
 
@@ -19,14 +21,44 @@ def one(spark, column):
 
 def test_exact_quantiles_match_numpy(spark):
     rng = random.Random(5)
-    rows = [("hot", rng.lognormvariate(0, 3)) for _ in range(700)] + [("flat", 2.5)] * 30 + [("few", float(v)) for v in (3, 1, 2, 10)] + [("one", 7.0), ("one", None)]
+    rows = [("hot", rng.lognormvariate(0, 3)) for _ in range(700)] + [("flat", 2.5)] * 30 + [("few", float(v)) for v in (3, 1, 2, 10)]
+    rows += [("one", 7.0), ("one", None), ("nulls", None), (None, 4.0), (None, 5.0), ("outlier", 1e300)] + [("outlier", rng.uniform(-1, 1)) for _ in range(501)]
+    rows += [("signs", v) for v in (-1e-310, 0.0, -0.0, 1e-310, -5.0, 5.0)]
     df = spark.createDataFrame(rows, "k string, v double")
-    for bin_rows in (1, 13, 10_000):
-        got = {r.k: r for r in exact_quantiles(df, ["k"], {"m": ("v", 0.5), "p": ("v", 0.99), "lo": ("v", 0.0), "hi": ("v", 1.0)}, bin_rows).collect()}
-        for key in ("hot", "flat", "few", "one"):
-            values = [v for k, v in rows if k == key and v is not None]
-            for name, q in (("m", 50), ("p", 99), ("lo", 0), ("hi", 100)):
-                assert np.isclose(got[key][name], np.percentile(values, q), rtol=1e-12)
+    wanted = {"m": ("v", 0.5), "p": ("v", 0.99), "lo": ("v", 0.0), "hi": ("v", 1.0)}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], wanted, {"n": "v"}).collect()}
+    assert set(got) == {k for k, _ in rows}
+    for key in got:
+        values = [v for k, v in rows if k == key and v is not None]
+        assert got[key].n == len(values)
+        for name, q in (("m", 50), ("p", 99), ("lo", 0), ("hi", 100)):
+            assert got[key][name] is None if not values else np.isclose(got[key][name], np.percentile(values, q), rtol=1e-12)
+
+
+def test_quantiles_of_a_million_equal_values(spark):
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), F.when(F.col("id") == 3, 9.0).otherwise(2.5).alias("v"))
+    assert tuple(exact_quantiles(df, ["k"], {"m": ("v", 0.5), "hi": ("v", 1.0)}).first()) == ("k", 2.5, 9.0)
+
+
+def test_one_median_reads_its_input_twice_at_most(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = st.suite_statistics(df, ["l_suppkey"], "l_quantity")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2
+
+
+def test_ordered_operators_match_plain_windows_with_nulls(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(50)]), n, rng.choice([None, 1.0, 2.0])) for n in range(300)]
+    df = spark.createDataFrame(rows, "k string, at long, id long, v double")
+    segment = sg.by_width(F.col("at"), 7)
+    order = Window.partitionBy("k").orderBy("at", "id")
+    want = df.select("id", F.lag(F.struct("v")).over(order).alias("x"), F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.row_number().over(order).alias("n"))
+    got = sg.previous_row(df, ["k"], ["at", "id"], ["v"], segment, "x").select("id", "x")
+    got = got.join(sg.running(df, ["k"], ["at", "id"], segment, s=("sum", "v")).select("id", "s"), "id")
+    got = got.join(sg.row_numbers(df, ["k"], ["at", "id"], segment, "n").select("id", "n"), "id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    means = sg.trailing_mean(spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", None, 9.0), (None, 1, 5.0)], "k string, i long, v double"), ["k"], "i", "v", 2)
+    assert {(r.k, r.i, r.moving_mean) for r in means.collect()} == {("a", 1, 1.0), ("a", 2, 2.0), ("a", None, None), (None, 1, 5.0)}
 
 
 def test_suite_statistics(spark):
