@@ -187,26 +187,26 @@ def report_identity_check(reports: DataFrame, comparisons: DataFrame, key: str)
 
     ``reports`` carries ``expected_candidates`` (sorted array); ``comparisons`` has one row per
     report and implementation.  Report expectations of null are skipped, candidate ones are not.
-    The comparisons are reduced to one row per report before the join.
+    Candidates are compared by counts per report and implementation, so no list is gathered.
     """
     c = F.col
     per_candidate = R.drift(
         [(label, c(f), c(f"expected_{f}")) for label, f in COMPARISON_FIELDS.items()]
     )
-    found = comparisons.withColumn("_wrong", per_candidate).groupBy(key).agg(
-        F.array_sort(F.collect_set("implementation")).alias("_names"),
-        F.count("*").alias("_rows"),
-        F.sum(F.size("_wrong")).alias("candidate_changes"),
+    wanted = reports.select(key, F.explode("expected_candidates").alias("implementation")).distinct().withColumn("_wanted", F.lit(1))
+    held = comparisons.withColumn("_wrong", per_candidate).groupBy(key, "implementation").agg(
+        F.count("*").alias("_k"), F.sum(F.size("_wrong")).alias("_changes"))
+    found = held.join(wanted, [key, "implementation"], "full").groupBy(key).agg(
+        F.count_if(F.col("_k").isNull() | F.col("_wanted").isNull()).alias("_odd"),
+        F.sum("_k").alias("_rows"), F.sum("_changes").alias("candidate_changes"),
     )
     own = [(f"changed {label}", R.differs(c(f), c(f"expected_{f}"), True)) for label, f in REPORT_FIELDS.items()]
-    whole = R.differs(c("_names"), c("expected_candidates")) | R.differs(
-        c("_rows"), F.size("expected_candidates").cast("long")
-    )
+    whole = (F.coalesce("_odd", F.lit(0)) > 0) | R.differs(c("_rows"), F.size("expected_candidates").cast("long"))
     return (
         reports.join(found, key, "left")
         .withColumn("errors", R.labels([*own, ("comparison set changed", whole)]))
         .withColumn("candidate_changes", F.coalesce("candidate_changes", F.lit(0)))
-        .drop("_names", "_rows")
+        .drop("_odd", "_rows")
     )
 
 

@@ -85,11 +85,16 @@ def inference_parity(reference: DataFrame, candidates: DataFrame, ref_tensors: D
     """One row per candidate: identity drift, tensor set, input hashes and the output gate.
 
     Tensors: report, stage, frame_index, shape, sha256, values; candidate tensors also carry
-    implementation.  Inputs must be hash-equal; outputs must pass the gate.
+    implementation.  Inputs must be hash-equal; outputs must pass the gate.  Outputs of different
+    shape or size are shape errors and are not compared.
     """
     c = F.col
-    pairs = _paired(ref_tensors, cand_tensors, report)
-    scored = pairs.withColumn("m", tensor_compare(c("r.values"), c("c.values")))
+    # Inputs are judged by their hashes, so only output values travel.
+    outputs = lambda df: df.withColumn("values", F.when(c("stage") != "input", c("values")))
+    pairs = _paired(outputs(ref_tensors), outputs(cand_tensors), report)
+    sizes_differ = R.differs(F.size("r.values"), F.size("c.values"))
+    pairs = pairs.withColumn("shape_differs", c("shape_differs") | sizes_differ)
+    scored = pairs.withColumn("m", F.when(~c("shape_differs"), tensor_compare(c("r.values"), c("c.values"))))
     same = c("r.sha256").eqNullSafe(c("c.sha256"))
     gate = ck.tensor_gate(c("m.finite"), c("m.exact"), c("m.p99_abs"), c("m.rmse"), c("m.psnr_db"), limits)
     bad = F.when(c("stage") == "input", ~same).otherwise(F.size(gate) > 0)

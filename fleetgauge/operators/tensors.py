@@ -19,7 +19,6 @@ from fleetgauge.functions.scalars import (
 )
 
 COMPARE = "elements long, finite boolean, exact boolean, mae double, rmse double, p99_abs double, max_abs double, psnr_db double"
-SUMMARY = "elements long, finite boolean, min double, max double, below_zero_fraction double, above_one_fraction double, outside_unit_interval_fraction double"
 DRIFT = "max_abs double, mean_abs double, rmse double, relative_l2 double, psnr_db double"
 
 
@@ -28,7 +27,7 @@ def _rows(schema: str, one: Callable[..., tuple]) -> Callable:
 
     @F.pandas_udf(schema)
     def reduce(*columns: pd.Series) -> pd.DataFrame:
-        found = [one(*[np.asarray(v, dtype=np.float32) for v in row]) for row in zip(*columns)]
+        found = [one(*[np.asarray([] if v is None else v, dtype=np.float32) for v in row]) for row in zip(*columns)]
         return pd.DataFrame(found, columns=names).astype({n: "object" for n in names})
 
     return reduce
@@ -36,8 +35,9 @@ def _rows(schema: str, one: Callable[..., tuple]) -> Callable:
 
 def _compare(reference: np.ndarray, candidate: np.ndarray) -> tuple:
     count = int(reference.size)
-    if not (np.isfinite(reference).all() and np.isfinite(candidate).all()):
-        return (count, False, False, None, None, None, None, None)
+    finite = bool(np.isfinite(reference).all() and np.isfinite(candidate).all())
+    if not finite or reference.size != candidate.size or not count:
+        return (count, finite, False, None, None, None, None, None)
     # The difference is taken in single precision, sums in double precision.
     error = np.abs(reference - candidate)
     mse = float(np.mean(np.square(error, dtype=np.float64)))
@@ -46,16 +46,9 @@ def _compare(reference: np.ndarray, candidate: np.ndarray) -> tuple:
             float(np.percentile(error, 99)), float(error.max()), psnr)
 
 
-def _summary(values: np.ndarray) -> tuple:
-    count = int(values.size)
-    if not np.isfinite(values).all():
-        return (count, False, None, None, None, None, None)
-    below, above = values < 0.0, values > 1.0
-    return (count, True, float(values.min()), float(values.max()), float(below.mean()), float(above.mean()),
-            float((below | above).mean()))
-
-
 def _drift(reference: np.ndarray, candidate: np.ndarray) -> tuple:
+    if reference.size != candidate.size or not reference.size:
+        return (None, None, None, None, None)
     delta = (candidate - reference).astype(np.float64)
     size = float(np.sqrt(np.sum(np.square(reference, dtype=np.float64))))
     gone = float(np.sqrt(np.sum(np.square(delta))))
@@ -65,17 +58,25 @@ def _drift(reference: np.ndarray, candidate: np.ndarray) -> tuple:
 
 
 def tensor_compare(reference: Column, candidate: Column) -> Column:
-    """Struct of error metrics of two equally long float32 arrays (peak 1.0)."""
+    """Struct of error metrics of two float32 arrays (peak 1.0); null where sizes differ or are zero."""
     return _rows(COMPARE, _compare)(reference, candidate)
 
 
 def tensor_summary(values: Column) -> Column:
-    """Struct of range facts of one float32 array."""
-    return _rows(SUMMARY, _summary)(values)
+    """Struct of range facts of one float32 array, in the JVM; an empty array has a count only."""
+    infinite = float("inf")
+    finite = F.coalesce(F.forall(values, lambda x: ~F.isnan(x) & (F.abs(x) < infinite)), F.lit(False))
+    count = F.size(values).cast("long")
+    usable = finite & (count > 0)
+    part = lambda bad: F.when(usable, F.size(F.filter(values, bad)) / count)
+    return F.struct(
+        count.alias("elements"), finite.alias("finite"), F.when(usable, F.array_min(values).cast("double")).alias("min"),
+        F.when(usable, F.array_max(values).cast("double")).alias("max"), part(lambda x: x < 0.0).alias("below_zero_fraction"),
+        part(lambda x: x > 1.0).alias("above_one_fraction"), part(lambda x: (x < 0.0) | (x > 1.0)).alias("outside_unit_interval_fraction"))
 
 
 def output_drift(reference: Column, candidate: Column) -> Column:
-    """Struct of drift metrics; an exact match has 200 dB."""
+    """Struct of drift metrics; an exact match has 200 dB, arrays of different or zero size have none."""
     return _rows(DRIFT, _drift)(reference, candidate)
 
 

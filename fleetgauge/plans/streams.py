@@ -21,31 +21,27 @@ def us(name):
     return F.unix_micros(name).alias(name)
 
 
-# What a watermark one hour behind the newest event has closed.
-CLOSED = "mark AS (SELECT epoch_ms(max(ts)) * 1000 - 3600000000 AS w FROM events)"
-
-
-@query("X01_stream_telemetry_rollup", f"""WITH {CLOSED}, g AS (SELECT user_id AS run_id, epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS samples, sum(CAST(round(value * 100) AS BIGINT)) / count(*) / 100 AS mean, max(value) AS peak FROM events GROUP BY 1, 2)
-SELECT run_id, window_start, samples, round(mean, 6) AS mean, peak FROM g, mark WHERE window_start + 86400000000 <= w""")
+@query("X01_stream_telemetry_rollup", f"""WITH g AS (SELECT user_id AS run_id, epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS samples, sum(CAST(round(value * 100) AS BIGINT)) / count(*) / 100 AS mean, max(value) AS peak FROM events GROUP BY 1, 2)
+SELECT run_id, window_start, samples, round(mean, 6) AS mean, peak FROM g""")
 def _x01(t):
     rolled = live.stream_telemetry_rollup(stream(t, "events").withColumnRenamed("user_id", "run_id"), ["run_id"], "ts", "value", "1 day", "1 hour")
-    out = live.run_once(rolled, "rollup")
+    out = live.run_once(rolled, "rollup", "update", ["run_id", "window_start"])
     return out.select("run_id", us("window_start"), "samples", F.round("mean", 6).alias("mean"), "peak")
 
 
-@query("X02_stream_sliding_rate", f"""WITH {CLOSED}, e AS (SELECT event_type, unnest([epoch_us(date_trunc('day', ts)), epoch_us(date_trunc('day', ts)) - 86400000000]) AS window_start FROM events),
-g AS (SELECT event_type, window_start, count(*) AS frames FROM e GROUP BY 1, 2) SELECT event_type, window_start, frames, round(frames / 172800.0, 9) AS fps FROM g, mark WHERE window_start + 172800000000 <= w""")
+@query("X02_stream_sliding_rate", f"""WITH e AS (SELECT event_type, unnest([epoch_us(date_trunc('day', ts)), epoch_us(date_trunc('day', ts)) - 86400000000]) AS window_start FROM events),
+g AS (SELECT event_type, window_start, count(*) AS frames FROM e GROUP BY 1, 2) SELECT event_type, window_start, frames, round(frames / 172800.0, 9) AS fps FROM g""")
 def _x02(t):
     rated = live.stream_sliding_rate(stream(t, "events"), ["event_type"], "ts", "2 days", "1 day", 172_800.0, "1 hour")
-    return live.run_once(rated, "rate").select("event_type", us("window_start"), "frames", F.round("fps", 9).alias("fps"))
+    return live.run_once(rated, "rate", "update", ["event_type", "window_start"]).select("event_type", us("window_start"), "frames", F.round("fps", 9).alias("fps"))
 
 
-@query("X03_stream_idle_sessions", f"""WITH {CLOSED}, l AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
+@query("X03_stream_idle_sessions", f"""WITH l AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
 s AS (SELECT user_id, us, sum(CASE WHEN prev IS NULL OR us - prev >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS n FROM l),
-g AS (SELECT user_id, min(us) AS session_start, max(us) + 43200000000 AS session_end, count(*) AS events FROM s GROUP BY user_id, n) SELECT user_id, session_start, session_end, events FROM g, mark WHERE session_end <= w""")
+g AS (SELECT user_id, min(us) AS session_start, max(us) + 43200000000 AS session_end, count(*) AS events FROM s GROUP BY user_id, n) SELECT user_id, session_start, session_end, events FROM g""")
 def _x03(t):
     split = live.stream_idle_sessions(stream(t, "events"), ["user_id"], "ts", "12 hours", "1 hour")
-    return live.run_once(split, "sessions").select("user_id", us("session_start"), us("session_end"), "events")
+    return live.run_once(split, "sessions", "complete").select("user_id", us("session_start"), us("session_end"), "events")
 
 
 @query("X04_stream_first_last_marker", "SELECT user_id AS run_id, min(epoch_us(ts)) AS first_frame, max(epoch_us(ts)) AS last_frame, count(*) AS frames FROM events GROUP BY 1")

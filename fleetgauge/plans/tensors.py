@@ -87,7 +87,7 @@ CAPTURES = """
 cap AS (SELECT pair // 8 AS report_id, pair % 8 AS frame_index, CASE WHEN pair % 2 = 0 THEN 'input' ELSE 'output' END AS stage, label, pair, elements, mse, p99, rmse, pair % 10 = 0 OR pair % 2 = 0 AND pair // 8 % 3 > 0 AS same, label % 5 = 4 AS shaped, pair % 31 = 30 AS lost FROM met),
 ids AS (SELECT DISTINCT report_id, report_id % 4 = 3 AS drift FROM cap),
 agg AS (SELECT report_id, count(*) FILTER (NOT lost) AS tensors, count(*) FILTER (lost) AS diff, count(*) FILTER (NOT lost AND shaped) AS shapes,
-  count(*) FILTER (NOT lost AND NOT shaped AND CASE WHEN stage = 'input' THEN NOT same ELSE p99 > 0.3 OR rmse > 0.16 OR (mse > 0 AND 10 * log10(1.0 / mse) < 16) END) AS bad, max(rmse) FILTER (NOT lost AND stage = 'output') AS rm FROM cap GROUP BY 1)"""
+  count(*) FILTER (NOT lost AND NOT shaped AND CASE WHEN stage = 'input' THEN NOT same ELSE p99 > 0.3 OR rmse > 0.16 OR (mse > 0 AND 10 * log10(1.0 / mse) < 16) END) AS bad, max(rmse) FILTER (NOT lost AND NOT shaped AND stage = 'output') AS rm FROM cap GROUP BY 1)"""
 
 
 def captures(t):

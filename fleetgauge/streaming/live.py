@@ -118,8 +118,9 @@ def stream_extension_trigger(runs: DataFrame, keys: Sequence[str], index: str, v
 def run_once(stream: DataFrame, label: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Process what is available, then return the written result as a batch DataFrame.
 
-    Append results go to a Parquet sink.  In update mode every batch is written under its own
-    number (a repeated batch overwrites itself) and the newest row per key is returned.
+    Append results go to a Parquet sink; what the watermark has not closed is left out.  In update
+    and complete mode every batch is written under its own number (a repeated batch overwrites
+    itself) and the newest row per key, or the last batch, is returned, open windows included.
     """
     spark: SparkSession = stream.sparkSession
     out, state = new_folder(spark, f"{label}-out"), new_folder(spark, f"{label}-state")
@@ -132,6 +133,10 @@ def run_once(stream: DataFrame, label: str, mode: str = "append", keys: Sequence
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
 
     writer.foreachBatch(save).start().awaitTermination()
+    if mode == "complete":
+        numbered = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", out).parquet(out)
+        last = numbered.agg(F.max("batch").alias("_last"))
+        return numbered.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("batch", "_last")
     rest = [n for n in stream.columns if n not in keys]
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", out).parquet(out)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")

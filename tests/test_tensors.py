@@ -86,3 +86,13 @@ def test_tensor_files(spark, tmp_path):
     out = {r.path.rsplit("/", 1)[1]: r for r in rd.read_frame_tensors(spark, f"{tmp_path}/*.f32", F.lit(12)).collect()}
     assert np.array_equal(np.array(out["good.f32"]["values"], dtype="<f4"), values) and out["good.f32"].size_error is None
     assert out["short.f32"]["values"] is None and out["short.f32"].size_error
+
+
+def test_metrics_of_unequal_and_empty_arrays(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], [1.0]), (2, [], []), (3, None, [1.0]), (4, [0.5, 2.0], [0.5, 2.0]), (5, [float("nan")], [1.0])], "k int, a array<float>, b array<float>")
+    rows = {r.k: r for r in df.select("k", tn.tensor_compare(F.col("a"), F.col("b")).alias("m"), tn.output_drift(F.col("a"), F.col("b")).alias("d"), tn.tensor_summary(F.col("a")).alias("s")).collect()}
+    for k in (1, 2, 3):
+        assert rows[k].m.exact is False and rows[k].m.rmse is None and rows[k].d.rmse is None
+    assert rows[4].m.exact and rows[4].d.psnr_db == 200.0
+    assert (rows[2].s.elements, rows[2].s.min) == (0, None) and rows[5].s.finite is False and rows[5].s.max is None
+    assert (rows[4].s.min, rows[4].s.max, rows[4].s.above_one_fraction) == (0.5, 2.0, 0.5)
