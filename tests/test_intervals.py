@@ -54,25 +54,26 @@ def test_random_sets_against_brute_force(spark):
     assert again == got
 
 
-def test_mini_trace(spark, tmp_path):
-    one = lambda rows, schema: spark.createDataFrame([("t", *r) for r in rows], "trace_id string, " + schema)
+def test_traces_with_dictionaries_of_their_own(spark, tmp_path):
+    """The same trace twice under different ids, and one without a complete loop."""
+    each = lambda make, schema: spark.createDataFrame([(k, *r) for k, shift in (("t", 0), ("u", 1), ("broken", 0)) for r in make(k, shift)], "trace_id string, " + schema)
     tables = {
-        "StringIds": spark.createDataFrame([(1, "pipeline.frame_loop")], "id long, value string"),
-        "NVTX_EVENTS": one([(100, 1100, None, 1), (0, 50, "warm-up", None)], "start long, end long, text string, textId long"),
-        "CUPTI_ACTIVITY_KIND_KERNEL": one([(100, 400), (300, 700), (900, 1100)], "start long, end long"),
-        "CUPTI_ACTIVITY_KIND_MEMCPY": one([(10, 20, 1024, 1), (200, 250, 2048, 8)], "start long, end long, bytes long, copyKind int"),
-        "ENUM_CUDA_MEMCPY_OPER": spark.createDataFrame(
-            [(1, "CUDA_MEMCPY_KIND_HTOD"), (2, "CUDA_MEMCPY_KIND_DTOH"), (8, "CUDA_MEMCPY_KIND_DTOD")], "id int, name string"),
-        "ENUM_VIDEO_ENGINE_TYPE": spark.createDataFrame([(1, "NVDEC"), (2, "NVENC")], "id int, name string"),
-        "GPU_VIDEO_ENGINE_WORKLOAD": one([(150, 250, 1), (750, 1000, 2)], "start long, end long, engineType int"),
+        "StringIds": each(lambda k, d: [(1 + d, "pipeline.frame_loop"), (2 - d, "other")], "id long, value string"),
+        "NVTX_EVENTS": each(lambda k, d: [(100, 1100 if k != "broken" else None, None, 1 + d), (0, 50, "warm-up", None)], "start long, end long, text string, textId long"),
+        "CUPTI_ACTIVITY_KIND_KERNEL": each(lambda k, d: [(100, 400), (300, 700), (900, 1100)], "start long, end long"),
+        "CUPTI_ACTIVITY_KIND_MEMCPY": each(lambda k, d: [(10, 20, 1024, 1 + d), (200, 250, 2048, 8 + d)], "start long, end long, bytes long, copyKind int"),
+        "ENUM_CUDA_MEMCPY_OPER": each(lambda k, d: [(1 + d, "CUDA_MEMCPY_KIND_HTOD"), (2 + d, "CUDA_MEMCPY_KIND_DTOH"), (8 + d, "CUDA_MEMCPY_KIND_DTOD")], "id int, name string"),
+        "ENUM_VIDEO_ENGINE_TYPE": each(lambda k, d: [(1 + d, "NVDEC"), (2 - 2 * d, "NVENC")], "id int, name string"),
+        "GPU_VIDEO_ENGINE_WORKLOAD": each(lambda k, d: [(150, 250, 1 + d), (750, 1000, 2 - 2 * d)], "start long, end long, engineType int"),
     }
     for name, table in tables.items():
         table.write.parquet(f"{tmp_path}/{name}")
-    found = rd.analyse_trace(rd.read_trace_tables(spark, str(tmp_path)), ["trace_id"], "pipeline.frame_loop", 100, F.lit(2)).collect()
-    assert len(found) == 1
-    r = found[0]
-    assert (r.kernel_coverage_percent, r.decode_overlap_percent, r.encode_overlap_percent) == (80.0, 100.0, 40.0)
-    assert (r.startup_h2d_copies, r.loop_d2d_copies, r.loop_h2d_copies, r.loop_host_copies) == (1, 1, 0, False)
+    found = {r.trace_id: r for r in rd.analyse_trace(rd.read_trace_tables(spark, str(tmp_path)), ["trace_id"], "pipeline.frame_loop", 100, F.lit(2)).collect()}
+    assert set(found) == {"t", "u", "broken"}
+    for r in (found["t"], found["u"]):
+        assert (r.kernel_coverage_percent, r.decode_overlap_percent, r.encode_overlap_percent) == (80.0, 100.0, 40.0)
+        assert (r.startup_h2d_copies, r.loop_d2d_copies, r.loop_h2d_copies, r.loop_host_copies, r.window_error) == (1, 1, 0, False, None)
+    assert found["broken"].window_error == "lacks one complete window" and found["broken"].kernel_coverage_percent is None
 
 
 def test_missing_trace_tables_are_named(spark, tmp_path):

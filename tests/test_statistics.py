@@ -77,7 +77,7 @@ def test_stability_verdicts(spark):
     out = {r.k: r for r in st.stability(spark.createDataFrame(rows, "k string, r int, v double"), ["k"], "r", "v", 0.05).collect()}
     assert out["two"].stability == "incomplete" and out["two"].full_spread is None
     assert {k: r.stability for k, r in out.items()} == {
-        "stable": "stable", "extra": "needs-extra-runs", "outlier": "stable-with-one-outlier", "unstable": "unstable", "tie": "unstable"}
+        "stable": "stable", "extra": "needs-extra-runs", "outlier": "stable-with-one-outlier", "unstable": "unstable", "tie": "unstable", "two": "incomplete"}
     assert out["outlier"].outlier_round == 3
 
 
