@@ -25,6 +25,7 @@ _SLOTS2, _SLOTS1 = 4096, 2048     # table sizes of the contexts, per block
 _CONTEXTS = 32
 _RATE = 5
 _U = np.uint64
+_ALL = slice(None)                # every block at once
 _FULL = _U(2 ** 32 - 1)           # largest range that may move up by a word
 
 
@@ -125,16 +126,16 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     table = table.reshape(lanes, -1)
     model, coder = _Model(lanes), _Encoder(lanes, steps)
     marks = _rebuild_steps(steps)
-    every = np.arange(lanes)
+    by_step = np.ascontiguousarray(table.T)
     for t in range(steps):
         if t in marks:
             model.rebuild(table[:, :t])
-        now = table[:, t]
+        now = by_step[t]
         a, b = model.predict()
-        hit2, hit1 = model.use2 & (now == model.g2), model.use1 & (now == model.g1)
-        hit1 &= ~hit2
+        hit2 = model.use2 & (now == model.g2)
+        hit1 = model.use1 & (now == model.g1) & ~hit2
         low = np.where(hit2, 0, np.where(hit1, a, b))
-        coder.put(every, low, np.where(hit2, a, np.where(hit1, b, _ONE)) - low)
+        coder.put(_ALL, low, np.where(hit2, a, np.where(hit1, b, _ONE)) - low)
         miss = np.flatnonzero(~(hit2 | hit1))
         if len(miss):
             want = miss * (_ONE << 1) + now[miss]
@@ -178,7 +179,7 @@ class _Encoder:
             span = np.where(tight, (_U(0) - low) & _U(_ONE - 1), span)
         out = np.flatnonzero(settled | tight)
         if len(out):
-            who = lane[out]
+            who = out if lane is _ALL else lane[out]
             if self.count[who].max() >= self.words.shape[1]:
                 self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
             self.words[who, self.count[who]] = (low[out] >> _U(32)).astype(np.uint32)
@@ -230,25 +231,25 @@ def decode(data: bytes) -> np.ndarray:
             sp = np.where(tight, (_U(0) - lo) & _U(_ONE - 1), sp)
         out = np.flatnonzero(settled | tight)
         if len(out):
-            who = lane[out]
+            who = out if lane is _ALL else lane[out]
             lo[out] <<= _U(32)
             sp[out] = np.minimum(sp[out], _FULL) << _U(32)
             code[who] = (code[who] << _U(32)) | words[who, np.minimum(place[who], longest - 1)]
             place[who] += 1
         low[lane], span[lane] = lo, sp
 
-    table = np.zeros((lanes, steps), np.int64)
-    model, every = _Model(lanes), np.arange(lanes)
+    by_step = np.zeros((steps, lanes), np.int64)
+    model = _Model(lanes)
     marks = _rebuild_steps(steps)
     for t in range(steps):
         if t in marks:
-            model.rebuild(table[:, :t])
+            model.rebuild(np.ascontiguousarray(by_step[:t].T))
         a, b = model.predict()
-        value, unit = target(every)
+        value, unit = target(_ALL)
         hit2 = value < a
         hit1 = ~hit2 & (value < b)
         start = np.where(hit2, 0, np.where(hit1, a, b))
-        take(every, unit, start, np.where(hit2, a, np.where(hit1, b, _ONE)) - start)
+        take(_ALL, unit, start, np.where(hit2, a, np.where(hit1, b, _ONE)) - start)
         now = np.where(hit2, model.g2, model.g1)
         miss = np.flatnonzero(~(hit2 | hit1))
         if len(miss):
@@ -264,8 +265,9 @@ def decode(data: bytes) -> np.ndarray:
                 value, unit = target(new)
                 take(new, unit, value, np.ones(len(new), np.int64))
                 now[new] = value
-        table[:, t] = now
+        by_step[t] = now
         model.learn(now)
+    table = np.ascontiguousarray(by_step.T)
     for n in range(lanes):
         if zlib.crc32(table[n, :sizes[n]].astype("<u4").tobytes()) != checks[n]:
             raise ValueError(f"block {n} is damaged")

@@ -19,18 +19,20 @@ from pyspark.sql import functions as F
 
 from fleetgauge.llm.rangecoder import decode, encode
 from fleetgauge.llm.storage import saved
+from fleetgauge.llm.words import EXACT_VALUES, NOT_SPACE, mix64, row_groups, utf8, words
 
 END_ID = 2
 SEGMENT_IDS = 1 << 22
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 class Tokenizer:
-    """Ids of texts by the ``tokenizers`` library, each distinct space-led chunk encoded once.
+    """Ids of texts by the ``tokenizers`` library, each distinct word with its separator encoded once.
 
-    Byte-level BPE never merges across its pre-tokens, and a space between two characters that
-    are not white space always starts one; so a text without other runs around its spaces is the
-    concatenation of its chunks.  Texts with such runs go to the library whole.
+    Byte-level BPE never merges across its pre-tokens, and a single space or line end between two
+    characters that are not white space always starts one.  A text with no other white space is
+    thus the concatenation of its words, each with the separator before it.  All other texts
+    go to the library whole.  Words are known by 64-bit hashes.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,62 +42,97 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.chunks: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks: many at once, with line ends between them that become tokens of their own."""
-        single = [c for c in chunks if len(c.split()) == 1 and not c[-1].isspace() and (c[0] == " " or not c[0].isspace())]
-        for at in range(0, len(single), JOINED):
-            part = single[at:at + JOINED]
-            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_end)
-            if len(cuts) == len(part) - 1:
-                self.chunks.update(zip(part, (x.tobytes() for x in _between(ids, cuts))))
-        rest = [c for c in chunks if c not in self.chunks]
-        if rest:
-            self.chunks.update(zip(rest, self._whole(rest)))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        odd = [n for n, text in enumerate(texts) if not self._plain(text)]
-        pieces = [text.split(" ") for text in texts]
-        fresh: dict[str, None] = {}
-        for n in set(range(len(texts))).difference(odd):
-            first, *others = pieces[n]
-            pieces[n] = [first, *[" " + piece for piece in others]]
-            fresh.update(dict.fromkeys(c for c in pieces[n] if c not in self.chunks))
+        self.line_end = self._whole(["\n"])[0]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of words without white space inside: many at once, with line ends between them as tokens of their own."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), JOINED):
+            part = texts[at:at + JOINED]
+            ids = self._whole(["\n".join(part)])[0]
+            cuts = np.flatnonzero(ids == self.line_end[0])
+            out += [ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])] if len(cuts) == len(part) - 1 else self._whole(part)
+        return out
+
+    def _learn(self, keys: list[int], words_: list[str], separators: np.ndarray) -> None:
+        found = self._words([" " + w if s == 0x20 else w for w, s in zip(words_, separators)])
+        found = [np.concatenate([self.line_end, ids]) if s == 0x0A else ids for ids, s in zip(found, separators)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        self.slots.update(zip(keys, range(len(self.sizes), len(self.sizes) + len(keys))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, *found])
+
+    def _odd_rows(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows with white space other than single spaces and line ends between words, or with a special token."""
+        count = len(offsets) - 1
+        odd = np.zeros(count, bool)
+        inner = rows[1:] == rows[:-1]
+        odd[rows[1:][inner & (starts[1:] - ends[:-1] != 1)]] = True
+        gap = data[ends[:-1][inner]]
+        odd[rows[1:][inner][(gap != 0x20) & (gap != 0x0A)]] = True
+        # Words must cover the row but for one separator between each two.
+        size = np.bincount(rows, weights=ends - starts, minlength=count) + np.maximum(np.bincount(rows, minlength=count) - 1, 0)
+        odd |= size != np.diff(offsets)
+        piece = data[offsets[0]:offsets[-1]]
+        lead = np.flatnonzero((piece >= 0x1C) & (piece <= 0x1F) | (piece == 0xC2) | (piece >= 0xE1) & (piece <= 0xE3))
+        if len(lead):
+            b0, b1, b2 = (np.where(lead + k < len(piece), piece[np.minimum(lead + k, len(piece) - 1)], 0) for k in range(3))
+            wide = (b0 < 0x20) | (b0 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0)) | (b0 == 0xE1) & (b1 == 0x9A) & (b2 == 0x80)
+            wide |= (b0 == 0xE2) & ((b1 == 0x80) & ((b2 <= 0x8A) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF)) | (b1 == 0x81) & (b2 == 0x9F))
+            wide |= (b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80)
+            odd[np.searchsorted(offsets, lead[wide] + offsets[0], "right") - 1] = True
+        raw = piece.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at + offsets[0], "right") - 1] = True
+                at = raw.find(token, at + 1)
+        return odd
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row of UTF-8 ``data``."""
+        if len(self.slots) > CACHE_WORDS:
+            self._forget()
+        rows, starts, ends, hashes = words(data, offsets, NOT_SPACE, EXACT_VALUES)
+        count = len(offsets) - 1
+        odd = self._odd_rows(data, offsets, rows, starts, ends) if len(rows) else np.diff(offsets) > 0
+        plain = ~odd[rows]
+        rows, starts, ends, hashes = rows[plain], starts[plain], ends[plain], hashes[plain]
+        separators = np.where(starts == offsets[rows], 0, data[np.maximum(starts, 1) - 1])
+        keys, first, place = np.unique(hashes ^ mix64(separators.astype(np.uint64)), return_index=True, return_inverse=True)
+        named = keys.tolist()
+        fresh = [n for n, key in enumerate(named) if key not in self.slots]
         if fresh:
-            self._learn(list(fresh))
-        whole = dict(zip(odd, self._whole([texts[n] for n in odd]))) if odd else {}
-        get = self.chunks.__getitem__
-        return [whole[n] if n in whole else b"".join(map(get, pieces[n])) for n in range(len(texts))]
+            at = first[fresh]
+            self._learn([named[n] for n in fresh], [data[a:b].tobytes().decode() for a, b in zip(starts[at], ends[at])], separators[at])
+        slot = np.array([self.slots[key] for key in named], np.int64)[place] if len(place) else np.zeros(0, np.int64)
+        sizes = self.sizes[slot]
+        borders = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[slot] - borders + sizes, sizes) + np.arange(int(sizes.sum()))]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(rows, weights=sizes, minlength=count).astype(np.int64))])
+        out = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
+        which = np.flatnonzero(odd)
+        for row, found in zip(which, self._whole([data[offsets[r]:offsets[r + 1]].tobytes().decode() for r in which]) if len(which) else []):
+            out[row] = found
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return self.rows(*utf8(pa.array(texts, pa.string())))
 
-    def _plain(self, text: str) -> bool:
-        """True when every space stands between two characters that are not white space, and no special token occurs."""
-        if not text.isascii() and any(c in text for c in _WIDE_SPACES):
-            return False
-        return not (text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text for c in _ODD)) and "<|endoftext|>" not in text
 
-
-# Pairs of a space and other white space, and white space beyond ASCII.
-_ODD = tuple(p for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for p in (f" {c}", f"{c} "))
-_WIDE_SPACES = "\x85\xa0                　"
-
-GROUP_CHARS = 4 << 20
 JOINED = 2000
 
 
-def _between(ids: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-    """The stretches of ``ids`` before, between and after the positions ``cuts``."""
-    return [ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])]
-
-
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
                      segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Write all texts as segments; returns the stored table part, segment, n_ids, data, doc_ids, counts.
@@ -107,17 +144,17 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     kind = docs.schema[doc_id].dataType
     ordered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("_h", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, segment = Tokenizer(path), TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         names: list = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            counts = [len(h) // 4 for h in held]
-            data = encode(np.frombuffer(b"".join(held), "<u4"))
+            counts = [len(h) for h in held]
+            data = encode(np.concatenate(held))
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([sum(counts)], pa.int64()),
                 pa.array([data], pa.binary()), pa.array([names], pa.list_(names_type)), pa.array([counts], pa.list_(pa.int64()))],
@@ -125,21 +162,15 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 
         for batch in batches:
             names_type = batch.schema.field("doc_id").type
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            at = 0
-            while at < len(ids):
-                group, chars = [], 0
-                while at + len(group) < len(ids) and (not group or chars < GROUP_CHARS):
-                    group.append(texts[at + len(group)].as_py() or "")
-                    chars += len(group[-1])
-                for name, raw in zip(ids[at:at + len(group)], tokenizer.ids(group)):
-                    held.append(raw + end)
+            ids, (data, offsets) = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
+            for first, last in row_groups(offsets):
+                for name, row in zip(ids[first:last], tokenizer.rows(data, offsets[first:last + 1])):
+                    held.append(np.concatenate([row, end]))
                     names.append(name)
-                    size += len(held[-1]) // 4
+                    size += len(held[-1])
                     if size >= segment_ids:
                         yield flush()
                         held, names, size, segment = [], [], 0, segment + 1
-                at += len(group)
         if held:
             yield flush()
 

@@ -227,7 +227,7 @@ def test_tokens(spark, odd):
     library, ours = Tokenizer.from_file(path), tokens.Tokenizer(path)
     texts = ["", " ", "a  b", " lead", "trail ", "a \n b", "x y", "it's o'clock's  12 3", "a\nb c", "<|endoftext|> a", "don't ' s 's",
              "tab\t x", "x\t", "\n", "é ü\u3000 z", "a\x85b c", "日本 語", "a\r\n b", "1 2,3 4"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in ours.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     segments = tokens.encode_documents(odd, path, segment_ids=1000)
     rows = tokens.read_documents(segments).orderBy("start").collect()
     assert len(rows) == 12 and [r.doc_id for r in rows] == sorted([r.doc_id for r in odd.collect()], key=lambda x: (x is not None, x or 0))
