@@ -145,6 +145,19 @@ def _y03(t):
     return out.select("vec_id", F.size("output").cast("long").alias("elements"), F.round(total, 4).alias("total"))
 
 
+# 8x8 NV12 frames: luma codes from the vector, chroma from its first half; then per pixel the RGB codes.
+CODES = """
+cd AS (SELECT vec_id, label, [greatest(16, least(235, CAST(round_even((x::DOUBLE + 0.5) * 220 + 16, 0) AS INTEGER))) FOR x IN embedding] AS code,
+  label % 3 > 0 AS lim, CASE WHEN label % 2 = 0 THEN 0.2126 ELSE 0.299 END::DOUBLE AS kr, CASE WHEN label % 2 = 0 THEN 0.0722 ELSE 0.114 END::DOUBLE AS kb FROM embeddings)"""
+PIXELS = CODES + """,
+px AS (SELECT vec_id, lim, kr, kb, i, i // 16 * 4 + i % 8 // 2 AS k, code[i + 1]::DOUBLE AS y0, code[2 * (i // 16 * 4 + i % 8 // 2) + 1]::DOUBLE AS u0, code[2 * (i // 16 * 4 + i % 8 // 2) + 2]::DOUBLE AS v0 FROM cd, unnest(range(64)) AS r(i)),
+fu AS (SELECT vec_id, lim, kr, kb, i, k, CASE WHEN lim THEN greatest(0.0, least(255.0, round_even((y0 - 16.0) * 255.0 / 219.0, 0))) ELSE y0 END AS y,
+  CASE WHEN lim THEN greatest(0.0, least(255.0, round_even(u0 * (255.0::DOUBLE / 224.0) + 128.0 * (1.0 - 255.0::DOUBLE / 224.0), 0))) ELSE u0 END - 128.0 AS u,
+  CASE WHEN lim THEN greatest(0.0, least(255.0, round_even(v0 * (255.0::DOUBLE / 224.0) + 128.0 * (1.0 - 255.0::DOUBLE / 224.0), 0))) ELSE v0 END - 128.0 AS v FROM px),
+rb AS (SELECT *, y + 2 * (1 - kr) * v AS r0, y + 2 * (1 - kb) * u AS b0 FROM fu),
+rgb AS (SELECT vec_id, lim, kr, kb, i, k, greatest(0.0, least(255.0, round_even(r0, 0))) AS r, greatest(0.0, least(255.0, round_even((y - kr * r0 - kb * b0) / (1 - kr - kb), 0))) AS g, greatest(0.0, least(255.0, round_even(b0, 0))) AS b FROM rb)"""
+
+
 def codes(t):
     """8x8 NV12 frames: luma from the vector, chroma from its first half."""
     code = F.transform("embedding", lambda x: F.greatest(F.lit(16), F.least(F.lit(235), F.bround((x.cast("double") + 0.5) * 220 + 16, 0).cast("int"))))
@@ -153,23 +166,50 @@ def codes(t):
         (c("label") % 3 > 0).alias("limited"), F.concat(code, F.slice(code, 1, 32)).alias("codes"))
 
 
-@query("Y04_preprocess_frames")
-def _y04(t):
-    out = tn.preprocess_frames(codes(t), "codes")
-    return out.select("vec_id", F.size("rgb").alias("elements"), F.round(F.array_min("rgb"), 6).alias("low"), F.round(F.array_max("rgb"), 6).alias("high"))
+def total(column, first, size, scale):
+    """Sum of a part of an array, as whole codes."""
+    part = F.aggregate(F.slice(column, first, size), F.lit(0.0), lambda s, x: s + F.round(x.cast("double") * scale))
+    return part.cast("long")
 
 
-@query("Y05_postprocess_frames")
+@query("Y04_preprocess_frames", f"""WITH {PIXELS}
+SELECT vec_id, count(*) * 3 AS elements, round(min(least(r, g, b)) / 255.0, 6) AS low, round(max(greatest(r, g, b)) / 255.0, 6) AS high, sum(r)::BIGINT AS red, sum(g)::BIGINT AS green, sum(b)::BIGINT AS blue FROM rgb GROUP BY 1""")
+def _y04(t):
+    out = tn.preprocess_frames(codes(t), "codes")
+    return out.select(
+        "vec_id", F.size("rgb").cast("long").alias("elements"), F.round(F.array_min("rgb").cast("double"), 6).alias("low"), F.round(F.array_max("rgb").cast("double"), 6).alias("high"),
+        *[total("rgb", 64 * n + 1, 64, 255.0).alias(name) for n, name in enumerate(("red", "green", "blue"))])
+
+
+@query("Y05_postprocess_frames", f"""WITH {PIXELS},
+yy AS (SELECT *, kr * r + (1 - kr - kb) * g + kb * b AS y FROM rgb),
+lu AS (SELECT vec_id, sum(CASE WHEN lim THEN greatest(0.0, least(255.0, round_even(greatest(0.0, least(255.0, round_even(y, 0))) * 219.0 / 255.0 + 16.0, 0))) ELSE greatest(0.0, least(255.0, round_even(y, 0))) END)::BIGINT AS luma FROM yy GROUP BY 1),
+ch AS (SELECT vec_id, lim, k, unnest([avg((b - y) / (2 * (1 - kb))), avg((r - y) / (2 * (1 - kr)))]) AS m FROM yy GROUP BY 1, 2, 3),
+cc AS (SELECT vec_id, lim, greatest(0.0, least(255.0, round_even(m + 128.0, 0))) AS x FROM ch),
+cs AS (SELECT vec_id, count(*) AS n, sum(CASE WHEN lim THEN greatest(0.0, least(255.0, round_even(x * (224.0::DOUBLE / 255.0) + 128.0 * (1.0 - 224.0::DOUBLE / 255.0), 0))) ELSE x END)::BIGINT AS chroma FROM cc GROUP BY 1)
+SELECT vec_id, 64 + n AS elements, luma, chroma FROM lu JOIN cs USING (vec_id)""")
 def _y05(t):
     out = tn.postprocess_frames(tn.preprocess_frames(codes(t), "codes"), "rgb")
-    return out.select("vec_id", F.size("nv12").alias("elements"), F.array_min("nv12").alias("low"), F.array_max("nv12").alias("high"))
-
-
-@query("Y06_frame_quality")
+    return out.select("vec_id", F.size("nv12").cast("long").alias("elements"), total("nv12", 1, 64, 1.0).alias("luma"), total("nv12", 65, 32, 1.0).alias("chroma"))
+
+
+# 16x16 luma (the codes four times) and two 8x8 chroma planes; windows of 8x8 at every fourth pixel.
+@query("Y06_frame_quality", f"""WITH {CODES},
+pr AS (SELECT a.vec_id // 2 AS pair, a.code AS p, b.code AS q FROM cd a JOIN cd b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1),
+el AS (SELECT pair, 'y' AS plane, i % 16 AS x, i // 16 AS y, p[i % 64 + 1]::DOUBLE AS a, q[i % 64 + 1]::DOUBLE AS b FROM pr, unnest(range(256)) AS r(i)
+  UNION ALL SELECT pair, 'u', i % 8, i // 8, p[i + 1], q[i + 1] FROM pr, unnest(range(64)) AS r(i)
+  UNION ALL SELECT pair, 'v', i % 8, i // 8, p[64 - i], q[64 - i] FROM pr, unnest(range(64)) AS r(i)),
+w AS (SELECT pair, plane, wx, wy, sum(a) AS s1, sum(b) AS s2, sum(a * a + b * b) AS ss, sum(a * b) AS s12 FROM el, unnest(range(3)) AS v(wx), unnest(range(3)) AS u(wy)
+  WHERE x // 4 IN (wx, wx + 1) AND y // 4 IN (wy, wy + 1) AND (plane = 'y' OR wx = 0 AND wy = 0) GROUP BY 1, 2, 3, 4),
+sp AS (SELECT pair, plane, avg((2 * s1 * s2 + 416.0) * (2 * (s12 * 64 - s1 * s2) + 235963.0) / ((s1 * s1 + s2 * s2 + 416.0) * (ss * 64 - s1 * s1 - s2 * s2 + 235963.0))) AS s FROM w GROUP BY 1, 2),
+sm AS (SELECT pair, sum(s * CASE plane WHEN 'y' THEN 256 ELSE 64 END) / 384 AS ssim FROM sp GROUP BY 1),
+er AS (SELECT pair, avg((a - b) * (a - b)) AS mse FROM el GROUP BY 1)
+SELECT pair, mse = 0 AS exact, round(CASE WHEN mse > 0 THEN 10 * log10(65025.0 / mse) END, 6) AS psnr_db, round(ssim, 6) AS ssim FROM er JOIN sm USING (pair)""")
 def _y06(t):
-    base = codes(t).withColumn("pair", F.floor(c("vec_id") / 2).cast("long"))
-    luma = F.slice("codes", 1, 64)
-    ref = base.filter("vec_id % 2 = 0").select("pair", "height", "width", luma.alias("ref"))
-    cand = base.filter("vec_id % 2 = 1").select("pair", luma.alias("cand"))
+    code = F.slice("codes", 1, 64)
+    planes = F.concat(code, code, code, code, code, F.reverse(code))
+    base = codes(t).select(F.floor(c("vec_id") / 2).cast("long").alias("pair"), (c("vec_id") % 2).alias("side"), F.lit(16).alias("height"), F.lit(16).alias("width"), planes.alias("planes"))
+    ref = base.filter("side = 0").select("pair", "height", "width", c("planes").alias("ref"))
+    cand = base.filter("side = 1").select("pair", c("planes").alias("cand"))
     out = tn.frame_quality(ref.join(cand, "pair"), "ref", "cand")
     return out.select("pair", "exact", F.round("psnr_db", 6).alias("psnr_db"), F.round("ssim", 6).alias("ssim"))
