@@ -271,12 +271,15 @@ def manifest_rule_errors(workloads: DataFrame) -> DataFrame:
         ),
     )
     outside = F.exists(crops, lambda k: (k["x"] + k["width"] > 1) | (k["y"] + k["height"] > 1))
-    source, target = sc.rational(c("clip.temporal_sampling.source_fps")), sc.rational(c("clip.fps"))
+    # Values that several rules need are computed once per row.
+    held = {
+        "_source": sc.rational(c("clip.temporal_sampling.source_fps")), "_target": sc.rational(c("clip.fps")),
+        "_models": F.transform("model.variants", lambda v: v["name"]), "_clips": F.transform("clip.variants", lambda v: v["name"]),
+        "_bad_crop": bad_crop,
+    }
+    source, target = c("_source"), c("_target")
     sampled = c("clip.temporal_sampling").isNotNull()
-    names = lambda path: F.transform(c(path), lambda v: v["name"])
-    bad_names = lambda path: F.exists(c(path), lambda v: R.blank(v["name"])) | (
-        F.size(F.array_distinct(names(path))) != F.size(c(path))
-    )
+    bad_names = lambda names: F.exists(names, R.blank) | (F.size(F.array_distinct(names)) != F.size(names))
     bad_size = lambda path, *fields: F.exists(
         c(path), lambda v: ~(R.positive(v[fields[0]]) & R.positive(v[fields[1]]))
     )
@@ -305,23 +308,23 @@ def manifest_rule_errors(workloads: DataFrame) -> DataFrame:
         *_frame_rules("quality.product_output.frame_indices", c("quality.product_output.frame_indices"), c("clip.frames")),
         ("psnr_min_db must be positive", ~R.positive(psnr_min)),
         ("ssim_min must be in (0, 1]", ~R.when_present((ssim_min > 0) & (ssim_min <= 1))),
-        ("crop is invalid", bad_crop),
-        ("crop exceeds the output frame", ~bad_crop & outside),
+        ("crop is invalid", c("_bad_crop")),
+        ("crop exceeds the output frame", ~c("_bad_crop") & outside),
         ("clip.fps must be positive", ~R.positive(target["num"])),
         ("temporal_sampling.source_fps must be positive", sampled & ~R.positive(source["num"])),
         ("temporal_sampling cannot raise the rate", sampled & (source["value"] < target["value"])),
         ("temporal_sampling.method must be drop", sampled & R.differs(c("clip.temporal_sampling.method"), F.lit("drop"))),
         ("temporal_sampling.round must be near", sampled & R.differs(c("clip.temporal_sampling.round"), F.lit("near"))),
         ("clip.encode.b_frames must not be negative", ~R.when_present(c("clip.encode.b_frames") >= 0)),
-        ("model variant names must be unique", bad_names("model.variants")),
+        ("model variant names must be unique", bad_names(c("_models"))),
         ("model variant has invalid size", bad_size("model.variants", "input_width", "input_height")),
-        ("clip variant names must be unique", bad_names("clip.variants")),
+        ("clip variant names must be unique", bad_names(c("_clips"))),
         ("clip variant has invalid size", bad_size("clip.variants", "width", "height")),
         ("clip variant has invalid bitrate", F.exists(c("clip.variants"), lambda v: ~R.positive(v["bitrate_mbps"]))),
         ("model and clip variants differ",
-         R.differs(F.array_sort(names("model.variants")), F.array_sort(names("clip.variants")))),
+         R.differs(F.array_sort("_models"), F.array_sort("_clips"))),
     ]
-    return workloads.withColumn("errors", R.labels(rules))
+    return workloads.withColumns(held).withColumn("errors", R.labels(rules)).drop(*held)
 
 
 def resolve_parameters(df: DataFrame) -> DataFrame:

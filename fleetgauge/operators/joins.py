@@ -174,8 +174,8 @@ def set_equal(a: DataFrame, b: DataFrame, group: Sequence[str], keys: Sequence[s
 
 
 def missing_from(required: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Required keys that were not found, sorted."""
-    return required.select(*keys).subtract(found.select(*keys)).orderBy(*keys)
+    """Required keys that were not found, each once."""
+    return required.select(*keys).subtract(found.select(*keys))
 
 
 def unexpected_artifacts(found: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -198,10 +198,10 @@ def union_evidence(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def upsert_rejections(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rejections merged by candidate, the newer one wins, sorted by candidate."""
+    """Rejections merged by candidate, the newer one wins."""
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
     rest = [n for n in old.columns if n != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_age", *rest)).alias("_kept")).select(key, "_kept.*").orderBy(key)
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_age", *rest)).alias("_kept")).select(key, "_kept.*")
 
 
 # --- order ------------------------------------------------------------------------------

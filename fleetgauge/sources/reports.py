@@ -35,7 +35,7 @@ def summary_sink_rows(df: DataFrame) -> DataFrame:
 
 
 def sweep_series(candidates: DataFrame, winners: DataFrame) -> DataFrame:
-    """Eligible points with automatic threads and no graph, flagged when they won, in plot order."""
+    """Eligible points with automatic threads and no graph, flagged when they won."""
     flags = winners.select("implementation", "candidate_id").distinct().withColumn("_won", F.lit(True))
     points = candidates.filter(
         (F.col("status") == "eligible") & (F.col("threads") == "auto") & ~F.col("cuda_graph")
@@ -44,7 +44,6 @@ def sweep_series(candidates: DataFrame, winners: DataFrame) -> DataFrame:
         points.join(flags, ["implementation", "candidate_id"], "left")
         .select("implementation", "candidate_id", F.col("num_streams").alias("streams"), F.col("median_fps").alias("fps"),
                 F.coalesce("_won", F.lit(False)).alias("winner"))
-        .orderBy("implementation", "streams", "candidate_id")
     )
 
 
