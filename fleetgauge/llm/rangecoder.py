@@ -3,8 +3,8 @@
 A stream of ids is cut into blocks; each starts from an empty model, so any block can be decoded
 alone, and carries a checksum.  Per id three predictions are mixed: the id last seen after the
 two ids before (order 2), after the one before (order 1), and the frequencies so far (order 0).
-Adaptive probabilities, chosen by how often orders 2 and 1 were right lately, say how the code
-range is shared among them; ids not seen in the block yet are escaped and written as 16 bits.
+Adaptive shares, chosen by whether orders 2 and 1 were right the last time, say how the code
+range is divided among them; ids not seen in the block yet are escaped and written as 16 bits.
 
 All blocks of a segment advance together, one id per block and step, so every operation is a
 numpy operation over the blocks.
@@ -22,8 +22,9 @@ MAGIC = b"CMRC1\n"
 _SCALE = 16                       # probabilities are shares of 1 << 16
 _ONE = 1 << _SCALE
 _SLOTS2, _SLOTS1 = 4096, 2048     # table sizes of the contexts, per block
-_CONTEXTS = 32
+_CONTEXTS = 8
 _RATE = 5
+_LEAST, _MOST = 128, 4096         # limits of adaptive shares
 _U = np.uint64
 _ALL = slice(None)                # every block at once
 _FULL = _U(2 ** 32 - 1)           # largest range that may move up by a word
@@ -38,50 +39,49 @@ def _rebuild_steps(length: int) -> set[int]:
 
 
 class _Model:
-    """Predictions and adaptive shares of ``lanes`` blocks side by side."""
+    """Predictions and adaptive shares of ``lanes`` blocks side by side.
+
+    A context of order 2 or 1 holds twice the id seen last after it, plus 1 if that id had been
+    foretold.  The two such bits and whether both guess the same choose among eight pairs of
+    adaptive shares per block.
+    """
 
     def __init__(self, lanes: int) -> None:
         self.lanes = lanes
         self.row = np.arange(lanes)
-        # A context holds its guessed id times 4 plus how sure it is (0 to 3; 0: no guess).
-        self.table2, self.table1 = np.zeros(lanes * _SLOTS2, np.int32), np.zeros(lanes * _SLOTS1, np.int32)
         self.row2, self.row1, self.rows = self.row * _SLOTS2, self.row * _SLOTS1, self.row * _CONTEXTS
-        self.share2 = np.full(lanes * _CONTEXTS, _ONE // 2, np.int32)
-        self.share1 = np.full(lanes * _CONTEXTS, _ONE // 2, np.int32)
+        self.table2, self.table1 = np.zeros(lanes * _SLOTS2, np.int32), np.zeros(lanes * _SLOTS1, np.int32)
+        self.share2 = np.full(lanes * _CONTEXTS, _ONE // 4, np.int64)
+        self.share1 = np.full(lanes * _CONTEXTS, _ONE // 4, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.known = np.zeros(0, np.int64)       # lane * 2**17 + id of ids in the order-0 table, sorted
-        self.edge = np.arange(lanes, dtype=np.int64) * (_ONE << 1)  # lane * 2**17 + cumulative frequency
+        self.edge = self.row * (_ONE << 1)       # lane * 2**17 + cumulative frequency
         self.first = np.arange(lanes + 1, dtype=np.int64)  # where a lane's entries begin in ``edge``
 
     def predict(self):
-        """Slots, guesses and the two interval borders: [0, a) order 2, [a, b) order 1, [b, 2**16) order 0."""
+        """Guesses and the two interval borders: [0, a) order 2, [a, b) order 1, [b, 2**16) order 0."""
         self.slot2 = self.row2 + (((self.before * 40503 + self.last * 10007) >> 3) & (_SLOTS2 - 1))
         self.slot1 = self.row1 + (self.last & (_SLOTS1 - 1))
-        self.held2, self.held1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
-        self.g2, self.g1 = self.held2 >> 2, self.held1 >> 2
-        s2, s1 = self.held2 & 3, self.held1 & 3
-        same = self.g1 == self.g2
-        self.context = self.rows + (s2 * 8 + s1 * 2 + same)
-        self.use2 = s2 > 0
-        self.use1 = (s1 > 0) & ~(same & self.use2)
-        self.p2, self.p1 = self.share2.take(self.context), self.share1.take(self.context)
-        self.a = self.p2 * self.use2
-        width = (((_ONE - self.a) >> 1) * (self.p1 >> 1)) >> (_SCALE - 2)
-        self.use1 &= width > 0  # too little room left: order 1 makes no guess
-        self.b = self.a + width * self.use1
+        held2, held1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
+        self.g2, self.g1 = held2 >> 1, held1 >> 1
+        self.apart = self.g1 != self.g2
+        self.context = self.rows + ((held2 & 1) * 4 + (held1 & 1) * 2 + self.apart)
+        self.a, self.p1 = self.share2.take(self.context), self.share1.take(self.context)
+        # Shares stay within [_LEAST, _ONE - _MOST], so no interval is empty.
+        self.b = self.a + (((_ONE - self.a) * self.p1) >> _SCALE) * self.apart
         return self.a, self.b
 
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit2 = ids == self.g2
+        return hit2, (ids == self.g1) & self.apart & ~hit2
+
     def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.use2 & (ids == self.g2), self.use1 & (ids == self.g1)
-        # Where a guess was not tried its share stays: its step is multiplied by 0.
-        self.share2[self.context] = self.p2 + ((hit2 * (_ONE - 128) + 64 - self.p2) >> _RATE) * self.use2
-        self.share1[self.context] = self.p1 + ((hit1 * (_ONE - 128) + 64 - self.p1) >> _RATE) * (self.use1 & ~hit2)
-        fresh = ids * 4 + 1
-        for table, slot, held in ((self.table2, self.slot2, self.held2), (self.table1, self.slot1, self.held1)):
-            sure = held & 3
-            right = ((held >> 2) == ids) & (sure > 0)
-            # Right: surer, up to 3.  Wrong: less sure, and replaced when it was barely sure.
-            table[slot] = np.where(right, held + (sure < 3), np.where(sure > 1, held - 1, fresh))
+        hit2, hit1 = ids == self.g2, ids == self.g1
+        self.share2[self.context] = self.a + ((hit2 * (_ONE - _MOST) + _LEAST - self.a) >> _RATE)
+        self.share1[self.context] = self.p1 + ((hit1 * (_ONE - _MOST) + _LEAST - self.p1) >> _RATE) * (self.apart & ~hit2)
+        twice = ids * 2
+        self.table2[self.slot2] = twice + hit2
+        self.table1[self.slot1] = twice + hit1
         self.before, self.last = self.last, ids
 
     def rebuild(self, seen: np.ndarray) -> None:
@@ -132,8 +132,7 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
             model.rebuild(table[:, :t])
         now = by_step[t]
         a, b = model.predict()
-        hit2 = model.use2 & (now == model.g2)
-        hit1 = model.use1 & (now == model.g1) & ~hit2
+        hit2, hit1 = model.hits(now)
         low = np.where(hit2, 0, np.where(hit1, a, b))
         coder.put(_ALL, low, np.where(hit2, a, np.where(hit1, b, _ONE)) - low)
         miss = np.flatnonzero(~(hit2 | hit1))
