@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.storage import free, saved
+from fleetgauge.llm.storage import saved
 from fleetgauge.llm.words import EXACT_VALUES, NOT_SPACE, PIECE_BYTES, mix64, row_groups, utf8, windows, words
 
 WINDOW_WORDS = 8
@@ -213,6 +213,54 @@ def _step(rows: DataFrame, models: DataFrame) -> DataFrame:
     return sums.mapInPandas(estimate, "grp string, centre array<double>, white array<double>")
 
 
+def _label(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def fit(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g2, grp) of every language and source (``g1``, ``g2``), and (grp, centre, white) of every estimate.
+
+    ``counted`` has the columns of ``text_counts``, base_failed, g1 and g2; it is read several
+    times.  No estimate is made from fewer than ``GROUP_ROWS`` documents in all.
+    """
+    good = counted.filter(~F.col("base_failed"))
+    sizes = good.groupBy("g1", "g2").agg(F.count("*").alias("k")).withColumn("k1", F.sum("k").over(Window.partitionBy("g1")))
+    group = F.when(F.col("k") >= GROUP_ROWS, F.col("g2")).when(F.col("k1") >= GROUP_ROWS, F.col("g1")).otherwise(F.lit("all"))
+    groups = saved(sizes.select("g2", group.alias("grp")), "groups")
+    rows = _on_group(good.select("g2", *[x.alias(f"x{i}") for i, x in enumerate(_features())]), groups)
+    models = _start(rows)
+    if good.limit(GROUP_ROWS).count() < GROUP_ROWS:
+        return groups, models.limit(0)
+    models = saved(models, "mcd")
+    for _ in range(STEPS):
+        models = saved(_step(rows, models), "mcd")
+    return groups, models
+
+
+def _on_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    few = groups.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
+    return rows.join(F.broadcast(groups) if few else groups, "g2", "left")
+
+
+def judge(counted: DataFrame, groups: DataFrame, models: DataFrame) -> DataFrame:
+    """Add distance (null without an estimate) and kept."""
+    rows = counted.withColumns({f"x{i}": x for i, x in enumerate(_features())})
+    rows = _with_model(_on_group(rows, groups), models).withColumn("distance", _distance())
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
+    return rows.withColumn("kept", kept).drop("g2", "grp", "centre", "white", *[f"x{i}" for i in range(len(FEATURES))])
+
+
+def _counted(docs: DataFrame, keep: list[str], text: str, lang: str, source: str) -> DataFrame:
+    """``keep`` columns under the names c0, c1, ..., the counts, base_failed, g1 and g2."""
+    needed = list(dict.fromkeys([*keep, text, lang, source]))
+    name = {c: f"c{n}" for n, c in enumerate(needed)}
+    plain = docs.select(*[docs[c].alias(name[c]) for c in needed])
+    held = [name[c] for c in needed if c in keep or c in (lang, source)]
+    counted = text_counts(plain, name[text], held).withColumn("base_failed", base_failed())
+    return counted.withColumns({"g1": _label(name[lang]), "g2": _label(name[lang], name[source])}).drop(
+        *[name[c] for c in (lang, source) if c not in keep])
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, the counts, base_failed, distance and kept for every row.
 
@@ -223,40 +271,17 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     without ``GROUP_ROWS`` rows in all nothing is rejected by distance.  Rows with equal texts
     in one group get one verdict; repeated rows stay.
     """
-    lang_, source_ = free(docs, "l", "s")
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias(lang_), F.col(source).alias(source_))
-    counted = text_counts(named, "text", ["doc_id", lang_, source_]).withColumn("base_failed", base_failed())
-    label = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    counted = saved(counted.select("doc_id", *COUNTS, "base_failed", label(lang_, source_).alias("g2"), label(lang_).alias("g1"),
-                                   *[x.alias(f"x{i}") for i, x in enumerate(_features())]), "counts")
-    good = counted.filter(~F.col("base_failed"))
-    sizes = good.groupBy("g1", "g2").agg(F.count("*").alias("k")).withColumn("k1", F.sum("k").over(Window.partitionBy("g1")))
-    total = good.count()
-    group = F.when(F.col("k") >= GROUP_ROWS, F.col("g2")).when(F.col("k1") >= GROUP_ROWS, F.col("g1")).otherwise(F.lit("all"))
-    groups = saved(sizes.select(F.col("g2").alias("key"), group.alias("grp")), "groups")
-    few = groups.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
-    rows = counted.join(F.broadcast(groups) if few else groups, F.col("g2") == F.col("key"), "left").drop("key", "g1", "g2")
-    fit = rows.filter(~F.col("base_failed")).select("grp", *[f"x{i}" for i in range(len(FEATURES))])
-    if total >= GROUP_ROWS:
-        models = saved(_start(fit), "mcd")
-        for _ in range(STEPS):
-            models = saved(_step(fit, models), "mcd")
-        rows = _with_model(rows, models).withColumn("distance", _distance())
-    else:
-        rows = rows.withColumn("distance", F.lit(None).cast("double"))
-    return rows.select("doc_id", *COUNTS, "base_failed", "distance",
-                       (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)).alias("kept"))
-
-
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    counted = saved(_counted(docs, [doc_id], text, lang, source), "counts")
+    judged = judge(counted, *fit(counted))
+    return judged.select(F.col("c0").alias("doc_id"), *COUNTS, "base_failed", "distance", "kept")
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Rows of ``docs`` that ``score_documents`` keeps, with all their columns.
 
-    Rows are told apart by id, text digest, language and source; rows equal in all four share
-    one verdict.
+    Texts are counted once for the estimates and once more as they pass the verdict, which needs
+    no shuffle and no row key.
     """
-    key, verdict = free(docs, "row_key", "row_kept")
-    keys = F.struct(F.col(doc_id), F.md5(F.col(text)), F.col(lang), F.col(source))
-    keyed = docs.withColumn(key, F.sha2(F.to_json(keys, {"ignoreNullFields": "false"}), 256))
-    scored = score_documents(keyed, key, text, lang, source)
-    dropped = scored.filter(~F.col("kept")).select(F.col("doc_id").alias(verdict)).distinct()
-    return keyed.join(dropped, F.col(key) == F.col(verdict), "left_anti").select(*docs.columns)
+    found = fit(saved(_counted(docs, [], text, lang, source), "counts"))
+    judged = judge(_counted(docs, docs.columns, text, lang, source), *found)
+    return judged.filter("kept").select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])
