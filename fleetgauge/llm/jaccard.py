@@ -14,6 +14,7 @@ between different components.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from fleetgauge.llm.words import mix64, row_groups, shingles, utf8, words
 
 SHINGLE_WORDS = 4
 PERCENT = 85
-COUNTERS = 1 << 21
-CHUNK = 1 << 14
+COUNTERS = 1 << 23
+CHUNK = 1 << 15
 MAP_LONGS = 16
 LEADERS = 8
 BLOCK = 256
@@ -50,36 +51,37 @@ def _counter(values: np.ndarray) -> np.ndarray:
 
 
 def frequency_levels(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Rough frequency class of every token counter, from all texts: 0 for common load, then one per doubling.
+    """Rough frequency class of every token counter, from all texts: two classes per doubling.
 
-    A fixed number of counters (2 MB of classes), summed chunk by chunk on the executors.
+    A fixed number of counters (8 MB of classes), summed chunk by chunk on the executors.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for _, _, _, values in _sets(batch, text, size):
-                total += np.bincount(_counter(values), minlength=COUNTERS).astype(np.uint32)
+                place, times = np.unique(_counter(values).astype(np.uint32), return_counts=True)
+                total[place] += times.astype(np.uint32)
         for at in range(0, COUNTERS, CHUNK):
             part = total[at:at + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([at // CHUNK], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([at // CHUNK], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
                 totals.setdefault(chunk, np.zeros(CHUNK, np.uint64))
-                totals[chunk] += np.frombuffer(counts, np.uint32)
+                totals[chunk] += np.frombuffer(zlib.decompress(counts), np.uint32)
         for chunk, counts in totals.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+            classes = np.floor(2 * np.log2(counts + 1.0)).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([classes.tobytes()], pa.binary())})
 
     parts = docs.select(text).mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
-    total = np.zeros(COUNTERS, np.uint64)
-    for row in parts.toLocalIterator():  # COUNTERS / CHUNK rows
-        total[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint64)
-    usual = np.ceil(np.log2(max(total.mean(), 1.0))) + 2
-    return np.maximum(np.ceil(np.log2(np.maximum(total, 1))) - usual, 0).astype(np.uint8)
+    levels = np.zeros(COUNTERS, np.uint8)
+    for row in parts.collect():  # COUNTERS / CHUNK rows, one byte per counter
+        levels[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint8)
+    return levels
 
 
 def _lists(values: np.ndarray, borders: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -110,10 +112,7 @@ def profiles(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -
                     if a == b:
                         continue
                     rank = ranks[a:b]
-                    if rank[rank == 0].size >= k:
-                        mine = np.flatnonzero(rank == 0)[:k]
-                    else:
-                        mine = np.argsort(rank, kind="stable")[:k]
+                    mine = np.argsort(rank, kind="stable")[:k]
                     first[edges[row]:edges[row + 1]] = values[a:b][mine]
                     # The second order: frequency class again, then another hash.
                     key = (rank.astype(np.uint64) << np.uint64(56)) | (other[a:b] >> np.uint64(8))
@@ -147,15 +146,17 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """Those of the candidate pairs (a, b) that are links; filters first, whole sets last."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = saved(table.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "second", "parity"), "looked-up")
-    side = lambda s: known.select(*[F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in known.columns])
+    def filtered(some: DataFrame, column: str, passes) -> DataFrame:
+        """``some`` pairs where ``passes`` holds; only sets in a pair are looked up, one column at a time."""
+        wanted = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        known = saved(table.select("id", "n", column).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "looked-up")
+        side = lambda s: known.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col(column).alias(f"{column}_{s}"))
+        return saved(some.join(side("a"), "a").join(side("b"), "b").filter(passes).select("a", "b"), "near-pairs")
+
     differing = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     n, m = F.col("n_a"), F.col("n_b")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        _sizes_fit(n, m, percent) & F.arrays_overlap("second_a", "second_b")
-        & (n + m - differing >= 2 * _least_overlap(n, m, percent))).select("a", "b")
-    near = saved(near, "near-pairs")
+    near = filtered(pairs, "parity", _sizes_fit(n, m, percent) & (n + m - differing >= 2 * _least_overlap(n, m, percent)))
+    near = filtered(near, "second", F.arrays_overlap("second_a", "second_b"))
     # Whole sets only of one document per set that takes part in a remaining pair.
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     chosen = saved(table.select("id", "doc_id").filter("doc_id IS NOT NULL").join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "chosen")
@@ -169,7 +170,8 @@ def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, doc_id: str,
                 ids = [mix64(np.array([mix64(values[a:b]).sum() ^ np.uint64(b - a)], np.uint64)).view(np.int64)[0] for a, b in zip(borders[:-1], borders[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(values.view(np.int64), borders, pa.int64())], names=["id", "tokens"])
 
-    sets = saved(texts.mapInArrow(whole, "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
+    # Not stored: both joins below take their side from one shuffle by id.
+    sets = texts.mapInArrow(whole, "id long, tokens array<long>").dropDuplicates(["id"])
     common = F.size(F.array_intersect("s", "t"))
     return near.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b").filter(
@@ -202,6 +204,7 @@ def _compare_blocks(percent: int):
         def settle(table: pa.Table) -> pa.RecordBatch:
             keys = [table.column(c).to_numpy() for c in ("token", "left", "right")]
             ids, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
+            tokens = table.column("tokens").combine_chunks()
             parity = table.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MAP_LONGS)
             change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
             found_a, found_b = [], []
@@ -214,6 +217,10 @@ def _compare_blocks(percent: int):
                     apart = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1)
                     least = np.ceil((n[j] + n[i]) * percent / (100 + percent) - 1e-9)
                     j = j[n[j] + n[i] - apart >= 2 * least]
+                    if len(j):
+                        # A pair is reported in the first of the buckets it shares only.
+                        earlier = tokens[i].values.to_numpy()
+                        j = np.array([x for x in j if not len(np.intersect1d(earlier, tokens[int(x)].values.to_numpy(), True))], np.int64)
                     found_a.append(np.full(len(j), ids[i]))
                     found_b.append(ids[j])
             a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
@@ -253,9 +260,13 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     labels = near_labels(links, 3)
     open_buckets = leads.filter(F.col("k") - 1 > F.size("leads")).select("token")
     rest = members.join(open_buckets, "token").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    blocks = _spread_blocks(saved(rest.select("token", "id", "n", "label"), "rest"))
-    maps = table.filter("n > 0").join(rest.select("id").distinct(), "id", "left_semi").select("id", "parity").dropDuplicates(["id"])
-    dealt = blocks.join(maps, "id").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
+    rest = saved(rest.select("token", "id", "n", "label"), "rest")
+    blocks = _spread_blocks(rest)
+    held = rest.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # no more than the prefix of one set
+    maps = table.select("id", "parity").join(held, "id").dropDuplicates(["id"])
+    # Of the tokens only those before the row's own can hold a pair that was reported earlier.
+    dealt = blocks.join(maps, "id").withColumn("tokens", F.filter("tokens", lambda x: x < F.col("token")))
+    dealt = dealt.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
     late = dealt.mapInArrow(_compare_blocks(percent), "x long, y long")
     late = saved(_pairs(late).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
     if not late.isEmpty():
@@ -270,7 +281,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shingles, with fewer words the whole sequence.  Null, empty and blank texts have the empty
     set, link with nothing and are components of their own.  Equal sets share a component;
     repeated rows stay.  Rows with a null id have a component too; its number is the smallest
-    id that is not null (null where there is none).
+    id that is not null (null where there is none).  A set that only rows with null ids have is
+    compared with no other set, since no text can be looked up for it.
     """
     rows, links = similar_sets(docs, doc_id, text, size, percent)
     found = connected_components(links)

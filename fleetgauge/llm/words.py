@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
-GROUP_BYTES = 4 << 20
+PIECE_BYTES = 1 << 19
+GROUP_BYTES = 1 << 21
 
 # [^\x20\x09-\x0D]+ : everything but ASCII white space.
 NOT_SPACE = np.ones(256, bool)
