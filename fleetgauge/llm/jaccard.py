@@ -144,11 +144,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    """Distinct ids of pairs (a, b), each side reduced before the two meet."""
+    return pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+
+
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """Those of the candidate pairs (a, b) that are links; filters first, whole sets last."""
     def filtered(some: DataFrame, column: str, passes) -> DataFrame:
         """``some`` pairs where ``passes`` holds; only sets in a pair are looked up, one column at a time."""
-        wanted = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = _members(some)
         known = saved(table.select("id", "n", column).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "looked-up")
         side = lambda s: known.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col(column).alias(f"{column}_{s}"))
         return saved(some.join(side("a"), "a").join(side("b"), "b").filter(passes).select("a", "b"), "near-pairs")
@@ -158,7 +163,7 @@ def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, doc_id: str,
     near = filtered(pairs, "parity", _sizes_fit(n, m, percent) & (n + m - differing >= 2 * _least_overlap(n, m, percent)))
     near = filtered(near, "second", F.arrays_overlap("second_a", "second_b"))
     # Whole sets only of one document per set that takes part in a remaining pair.
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = _members(near)
     chosen = saved(table.select("id", "doc_id").filter("doc_id IS NOT NULL").join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "chosen")
     small = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     picked = chosen.select("doc_id")
