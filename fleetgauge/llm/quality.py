@@ -1,9 +1,9 @@
 """Quality rules and robust multivariate outliers.
 
 Counts per document come from one vectorised pass over whole texts.  Six of their ratios form a
-vector per document; per language and source the minimum-covariance-determinant estimate of its
-centre and spread is found by concentration steps, each one aggregation over all documents, and
-documents with a large Mahalanobis distance are rejected.
+vector per document; per language and source, per language and over all documents the
+minimum-covariance-determinant estimate of its centre and spread is found by concentration steps,
+each one aggregation over all documents, and documents with a large Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "upper", "loops")
 # Smallest spread that counts, in units of the transformed features: below it ratios say nothing.
 FLOORS = (0.25, 0.06, 0.30, 0.30, 0.10, 0.10)
 BROADCAST_MODELS = 10_000
+PARTS = 16            # tasks among which rows of one estimate are dealt where models are not broadcast
 
 _SYMBOLS = np.zeros(256, np.uint8)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -144,8 +145,12 @@ CUTOFF = _chi2_quantile(TAIL, len(FEATURES))
 
 
 def _with_model(rows: DataFrame, models: DataFrame) -> DataFrame:
-    few = models.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
-    return rows.join(F.broadcast(models) if few else models, "grp", "left")
+    if models.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS:
+        return rows.join(F.broadcast(models), "grp", "left")
+    # The estimate of a language or of all has far more rows than that of a source.
+    dealt = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    copies = models.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("part", F.col("part").cast("long"))
+    return dealt.join(copies, ["grp", "part"], "left").drop("part")
 
 
 def _distance() -> Column:
@@ -221,15 +226,22 @@ def fit(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(g2, grp) of every language and source (``g1``, ``g2``), and (grp, centre, white) of every estimate.
 
     ``counted`` has the columns of ``text_counts``, base_failed, g1 and g2; it is read several
-    times.  No estimate is made from fewer than ``GROUP_ROWS`` documents in all.
+    times.  Every estimate is made from all good documents of its source, of its language or of the
+    whole input, and none from fewer than ``GROUP_ROWS``; those that no group takes are left out.
     """
     good = counted.filter(~F.col("base_failed"))
-    sizes = good.groupBy("g1", "g2").agg(F.count("*").alias("k")).withColumn("k1", F.sum("k").over(Window.partitionBy("g1")))
-    group = F.when(F.col("k") >= GROUP_ROWS, F.col("g2")).when(F.col("k1") >= GROUP_ROWS, F.col("g1")).otherwise(F.lit("all"))
-    groups = saved(sizes.select("g2", group.alias("grp")), "groups")
-    rows = _on_group(good.select("g2", *[x.alias(f"x{i}") for i, x in enumerate(_features())]), groups)
-    models = _start(rows)
-    if good.limit(GROUP_ROWS).count() < GROUP_ROWS:
+    language = Window.partitionBy("g1")
+    sizes = good.groupBy("g1", "g2").agg(F.count("*").alias("k")).withColumns({"k1": F.sum("k").over(language), "least": F.min("k").over(language)})
+    sizes = saved(sizes, "sizes")
+    total, least = sizes.agg(F.sum("k"), F.min("k1")).first()
+    own, shared = F.col("k") >= GROUP_ROWS, F.col("k1") >= GROUP_ROWS
+    fitted = F.array_compact(F.array(
+        F.when(own, F.col("g2")), F.when(shared & (F.col("least") < GROUP_ROWS), F.col("g1")), F.when(F.lit((least or 0) < GROUP_ROWS), F.lit("all"))))
+    groups = saved(sizes.select("g2", F.when(own, F.col("g2")).when(shared, F.col("g1")).otherwise(F.lit("all")).alias("grp"), fitted.alias("fitted")), "groups")
+    features = good.select("g2", *[x.alias(f"x{i}") for i, x in enumerate(_features())])
+    rows = _on_group(features, groups.select("g2", "fitted")).withColumn("grp", F.explode("fitted")).drop("fitted")
+    groups, models = groups.drop("fitted"), _start(rows)
+    if (total or 0) < GROUP_ROWS:
         return groups, models.limit(0)
     models = saved(models, "mcd")
     for _ in range(STEPS):
@@ -267,8 +279,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept`` is false for documents that fail the base rules (null, empty and short texts do) and
     for those whose squared distance exceeds ``CUTOFF``.  Estimates are made from documents that
     pass the base rules, per language and source (null is a value of its own); groups below
-    ``GROUP_ROWS`` rows share the estimate of their language, small languages that of all, and
-    without ``GROUP_ROWS`` rows in all nothing is rejected by distance.  Rows with equal texts
+    ``GROUP_ROWS`` rows take the estimate of all documents of their language, small languages that
+    of all documents, and without ``GROUP_ROWS`` rows in all nothing is rejected by distance.  Rows with equal texts
     in one group get one verdict; repeated rows stay.
     """
     counted = saved(_counted(docs, [doc_id], text, lang, source), "counts")
