@@ -4,7 +4,8 @@ The standard library's parser streams events; every block of text becomes a line
 characters and tags.  Ratios along the page are smoothed with a Gaussian and split in two
 clusters, and the container that holds most of the text of the upper cluster is the content region.
 All blocks of that region are the main text, short ones too, without what elements or class
-names mark as page furniture.
+names mark as page furniture.  A class name marks nothing that holds the text of the upper
+cluster itself.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,42 +44,72 @@ MARKS = frozenset(
     "related recommended recommendations widget widgets contentinfo complementary".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HEADERS = frozenset(("header", "masthead"))
+# Elements that hold articles: class words say how they look, not what they are.
+_HOLDERS = frozenset("html body main article".split())
 
 
-def _furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in FURNITURE:
-        return True
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
+
+def _mark_words(attrs: list[tuple[str, str | None]]) -> tuple[set[str], bool]:
+    """Furniture words of the attributes, and whether one stands alone as a class, id or role."""
+    found, alone = set(), False
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_SPLIT.split(value.lower())):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name in ("class", "id", "role") and value:
+            low = value.lower()
+            found |= MARKS.intersection(_SPLIT.split(low))
+            alone = alone or not MARKS.isdisjoint(low.split())
+    return found, alone
+
+
+class Open(NamedTuple):
+    tag: str
+    container: int
+    hard: bool                           # inside an element that is furniture by its tag
+    mark: int                            # innermost element marked by words, -1 for none
+    outside: tuple[bool, int] | None     # hard and mark of headings in a header
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    container: int
+    hard: bool
+    mark: int
+    links: int                           # characters inside links
+    heading: str
+    title: tuple[bool, int] | None       # hard and mark if this heading of a page header is the title
 
 
 class LineParser(HTMLParser):
-    """Lines of a page: (text, tags, container number, furniture), containers as (parent, tag)."""
+    """Lines of a page, containers as (parent, tag), marked elements as (parent, alone, named container)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[Line] = []
         self.parents, self.kinds = [-1], ["page"]
-        self.open: list[tuple[str, int, bool]] = []  # tag, container, furniture
+        self.named = [0]  # innermost article or main element around a container and itself, 0 for none
+        self.marks: list[tuple[int, bool, int]] = []
+        self.open: list[Open] = []
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.links = self.anchors = 0
 
-    def _state(self) -> tuple[int, bool]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (0, False)
+    def _state(self) -> Open:
+        return self.open[-1] if self.open else Open("", 0, False, -1, None)
 
     def _end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             self.text.clear()
             if text:
-                container, furniture = self._state()
-                if not (self.open and self.open[-1][0] in RAW):
-                    self.lines.append((text, self.tags, container, furniture))
-        self.tags = 0
+                at = self._state()
+                heading = at.tag if at.tag in _HEADINGS else ""
+                if at.tag not in RAW:
+                    title = at.outside if heading == "h1" and not self._in_article() else None
+                    self.lines.append(Line(text, self.tags, at.container, at.hard, at.mark, self.links, heading, title))
+        self.tags = self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -88,33 +120,44 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        furniture_tag = tag in FURNITURE
-        if tag not in BLOCKS and not furniture_tag and not attrs:
+        if tag == "a":
+            self.anchors += 1
+        hard = tag in FURNITURE or tag == "header"
+        if tag not in BLOCKS and not hard and not attrs:
             return  # inline markup without attributes changes nothing
-        container, furniture = self._state()
-        marked = _furniture(tag, attrs) if attrs else furniture_tag
-        if tag not in BLOCKS and not marked:
+        words, alone = _mark_words(attrs) if attrs and tag not in _HOLDERS else (None, False)
+        hard = hard or bool(attrs) and _hidden(attrs)
+        if tag not in BLOCKS and not hard and not words:
             return
-        if tag == "header" and not furniture:
-            # An article's own header keeps its headings only.
-            marked = True
-        elif tag in _HEADINGS and self.open and self.open[-1][0] == "header" and self._in_article():
-            furniture, marked = False, False
+        if tag not in BLOCKS:
+            self._end_line()
+        at = self._state()
+        container, mark, outside = at.container, at.mark, at.outside
+        if tag == "header" or words and words <= _HEADERS:
+            # A header keeps the headings of its article.
+            outside = outside or (at.hard, at.mark)
+        elif hard or words:
+            outside = None
+        if words:
+            self.marks.append((mark, alone, self.named[container]))
+            mark = len(self.marks) - 1
+        hard = hard or at.hard
+        if tag in _HEADINGS and outside and not words and self._in_article():
+            hard, mark = outside
         if tag in CONTAINERS:
             self.parents.append(container)
             self.kinds.append(tag)
+            self.named.append(len(self.named) if tag in ("article", "main") else self.named[container])
             container = len(self.kinds) - 1
-        if tag not in BLOCKS:
-            self._end_line()
-        self.open.append((tag, container, furniture or marked))
+        self.open.append(Open(tag, container, hard, mark, outside))
 
     def _in_article(self) -> bool:
-        return any(t in ("article", "main") for t, _, _ in self.open)
+        return self.named[self._state().container] > 0
 
     def _close_implied(self, tag: str) -> None:
         if not self.open:
             return
-        last = self.open[-1][0]
+        last = self.open[-1].tag
         if last == "p" or last == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option") or last in ("dt", "dd") and tag in ("dt", "dd"):
             self.open.pop()
 
@@ -125,18 +168,22 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self._end_line()
+        elif tag == "a":
+            self.anchors = max(self.anchors - 1, 0)
         for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
+            if self.open[at].tag == tag:
                 if tag not in BLOCKS:
                     self._end_line()
                 del self.open[at:]
                 break
             # An end tag cannot reach across the container it stands in.
-            if self.open[at][0] in ("article", "body") and tag not in ("html", "body"):
+            if self.open[at].tag in ("article", "body") and tag not in ("html", "body"):
                 break
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.anchors:
+            self.links += len(data.strip())
 
     def finish(self) -> None:
         self.close()
@@ -164,6 +211,51 @@ def _upper_cluster(values: np.ndarray) -> np.ndarray:
     return values > (lo + hi) / 2
 
 
+def _up(sums: list[int], parents: list[int]) -> list[int]:
+    """Sums with those of everything inside; parents come first."""
+    for at in range(len(sums) - 1, -1, -1):
+        if parents[at] >= 0:
+            sums[parents[at]] += sums[at]
+    return sums
+
+
+def _furniture_marks(parser: LineParser, core: np.ndarray) -> list[bool]:
+    """Whether each marked element is furniture: it holds no more of the core than what is not furniture around it.
+
+    Around it is its article, or the page outside articles.  The largest element is judged first,
+    and what is not furniture counts for the next ones.
+    """
+    marks = parser.marks
+    direct, named, scopes = [0] * len(marks), [0] * len(marks), {m[2] for m in marks} | {0}
+    plain, names = dict.fromkeys(scopes, 0), 0
+    around = [[n] if n in scopes else [] for n in range(len(parser.kinds))]
+    for n in range(1, len(around)):
+        around[n] = around[n] + around[parser.parents[n]]
+    for line, chosen in zip(parser.lines, core):
+        if line.hard:
+            continue
+        in_article = len(line.text) if parser.named[line.container] else 0
+        names += in_article
+        if line.mark >= 0:
+            direct[line.mark] += len(line.text) if chosen else 0
+            named[line.mark] += in_article
+        elif chosen:
+            for n in around[line.container]:
+                plain[n] += len(line.text)
+    parents = [m[0] for m in marks]
+    total, named = _up(direct.copy(), parents), _up(named, parents)
+    furniture = [True] * len(marks)
+    for n in sorted(range(len(marks)), key=lambda n: (-total[n], n)):
+        parent, alone, scope = marks[n]
+        if parent >= 0 and furniture[parent] or alone and not scope and names and not named[n]:
+            continue
+        if total[n] > plain[scope]:
+            furniture[n] = False
+            for at in around[scope]:
+                plain[at] += direct[n]
+    return furniture
+
+
 def main_text(html: str) -> str:
     """Main text of a page: blocks in page order joined by a line end; empty where there is none."""
     if not html or html.isspace():
@@ -172,17 +264,21 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.finish()
     lines = parser.lines
-    if not any(not furniture for _, _, _, furniture in lines):
+    if all(line.hard for line in lines):
         return ""
-    ratio = np.array([0.0 if furniture else len(text) / max(tags, 1) for text, tags, _, furniture in lines])
+    ratio = np.array([0.0 if line.hard else len(line.text) / max(line.tags, 1) for line in lines])
     core = _upper_cluster(_smooth(np.log1p(ratio), SIGMA))
+    furniture = _furniture_marks(parser, core)
+    good = lambda hard, mark: not hard and (mark < 0 or not furniture[mark])
+    kept = [good(line.hard, line.mark) for line in lines]
+    if not any(kept):
+        kept = [not line.hard for line in lines]
     # Text of the core in every container, with what lies inside it.
     weight = [0] * len(parser.kinds)
-    for (text, _, container, furniture), chosen in zip(lines, core):
-        if chosen and not furniture:
-            weight[container] += len(text)
-    for at in range(len(weight) - 1, 0, -1):
-        weight[parser.parents[at]] += weight[at]
+    for line, k, chosen in zip(lines, kept, core):
+        if chosen and k:
+            weight[line.container] += len(line.text)
+    weight = _up(weight, parser.parents)
     if not weight[0]:
         weight = [1] * len(weight)
     named = [n for n, kind in enumerate(parser.kinds) if kind in ("article", "main") and weight[n] * 2 >= weight[0]]
@@ -199,8 +295,8 @@ def main_text(html: str) -> str:
                     break
     inside = [n == region for n in range(len(weight))]
     for n in range(1, len(weight)):
-        inside[n] = inside[n] or parser.parents[n] >= 0 and inside[parser.parents[n]]
-    return "\n".join(text for text, _, container, furniture in lines if inside[container] and not furniture)
+        inside[n] = inside[n] or inside[parser.parents[n]]
+    return "\n".join(line.text for line, k in zip(lines, kept) if inside[line.container] and k)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
