@@ -2,10 +2,10 @@
 
 The standard library's parser streams events; every block of text becomes a line with its
 characters and tags.  Ratios along the page are smoothed with a Gaussian and split in two
-clusters, and the container that holds most of the text of the upper cluster is the content region.
-All blocks of that region are the main text, short ones too, without what elements or class
-names mark as page furniture.  A class name marks nothing that holds the text of the upper
-cluster itself.
+clusters, and the innermost container that holds all text of the upper cluster is the content
+region.  All blocks of that region are the main text, short ones too, with the text outside it that
+is not made of links, and without what elements or class names mark as page furniture.  A class
+name marks nothing that holds the text of the upper cluster itself.
 """
 
 from __future__ import annotations
@@ -273,30 +273,20 @@ def main_text(html: str) -> str:
     kept = [good(line.hard, line.mark) for line in lines]
     if not any(kept):
         kept = [not line.hard for line in lines]
-    # Text of the core in every container, with what lies inside it.
-    weight = [0] * len(parser.kinds)
-    for line, k, chosen in zip(lines, kept, core):
-        if chosen and k:
-            weight[line.container] += len(line.text)
-    weight = _up(weight, parser.parents)
-    if not weight[0]:
-        weight = [1] * len(weight)
-    named = [n for n, kind in enumerate(parser.kinds) if kind in ("article", "main") and weight[n] * 2 >= weight[0]]
-    if named:
-        region = named[-1]
-    else:
-        # Walk down while one inner container holds nearly all of the core.
-        region, moved = 0, True
-        while moved:
-            moved = False
-            for n in range(region + 1, len(weight)):
-                if parser.parents[n] == region and weight[n] * 10 >= weight[0] * 9:
-                    region, moved = n, True
-                    break
-    inside = [n == region for n in range(len(weight))]
-    for n in range(1, len(weight)):
+    if not any(k and line.heading == "h1" for k, line in zip(kept, lines)) and not {"article", "main"} & set(parser.kinds):
+        kept = [k or line.title is not None and good(*line.title) for k, line in zip(kept, lines)]
+    chosen = [n for n, k in enumerate(kept) if k and core[n]] or [n for n, k in enumerate(kept) if k]
+    # Innermost container of all of the core.
+    counts = [0] * len(parser.kinds)
+    for n in chosen:
+        counts[lines[n].container] += 1
+    region = max(n for n, count in enumerate(_up(counts, parser.parents)) if count == len(chosen))
+    inside = [n == region for n in range(len(counts))]
+    for n in range(1, len(counts)):
         inside[n] = inside[n] or inside[parser.parents[n]]
-    return "\n".join(line.text for line, k in zip(lines, kept) if inside[line.container] and k)
+    return "\n".join(
+        line.text for n, (line, k) in enumerate(zip(lines, kept))
+        if k and (inside[line.container] or line.links * 2 <= len(line.text) or line.heading and n < chosen[-1]))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
