@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                 found.append((start, 0, m.end()))
                 last = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
