@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import chat, decontamination, html, jaccard, mixing, pii, quality, sharding, tokens, urls
+from fleetgauge.llm import alignment, centroids, chat, decontamination, html, jaccard, mixing, neighbours, pii, quality, sharding, tokens, urls
 from fleetgauge.session import use_utc
 
 # Fixed values of the contract.
@@ -76,10 +76,26 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(
+        _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_vectors(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontamination, op2_sharding, op3_url_filters, op4_jaccard_join, op5_mixing, op6_token_output,
-        op7_chat_formatting, op8_pii, op9_html_extraction, op10_quality_rules)}
+        op7_chat_formatting, op8_pii, op9_html_extraction, op10_quality_rules,
+        op11_tokenizer_alignment, op12_nearest_neighbours, op13_centroid_clustering)}
 
 
 _NORMAL = "[^\\x{0}-\\x{2F}\\x{3A}-\\x{60}\\x{7B}-\\x{7F}]+"
@@ -146,5 +162,29 @@ FROM marked GROUP BY conv_id
 """
 
 
+def _rounds_sql(rounds: int = 3) -> str:
+    """Integer k-means of 16 centroids with its rounds written out."""
+    steps = ["""kept AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", """long AS MATERIALIZED (
+  SELECT r, d, list_extract(v, d) AS x FROM kept, (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS d))""", """start AS MATERIALIZED (
+  SELECT v, row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c FROM (SELECT v, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM kept)
+  ORDER BY c LIMIT 16)""", "cent0 AS MATERIALIZED (SELECT c, d, list_extract(v, d) AS x FROM start, (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS d))"]
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT r, min(dist) AS dist, arg_min(c, (dist, c)) AS c FROM (
+    SELECT r, c, CAST(sum((l.x - t.x) * (l.x - t.x)) AS BIGINT) AS dist FROM long l JOIN cent{n} t USING (d) GROUP BY r, c) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""cent{n + 1} AS MATERIALIZED (
+  SELECT c, d, coalesce(m.x, t.x) AS x FROM cent{n} t LEFT JOIN (
+    SELECT c, d, CAST(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*) AS BIGINT) // count(*) AS x FROM near{n} JOIN long USING (r) GROUP BY c, d) m USING (c, d))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, dist AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dist) OVER () AS BIGINT) AS inertia, s AS centroid_sha256
+FROM near{rounds} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS s FROM cent{rounds} GROUP BY c) USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_url_filters": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_url_filters": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op7_chat_formatting": OP7_SQL,
+            "op13_centroid_clustering": _rounds_sql()}
