@@ -54,6 +54,12 @@ class Geometry:
     def query(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([x / self.largest, np.zeros(len(x))])
 
+    def scaled(self, score: np.ndarray) -> np.ndarray:
+        """Scores of original vectors as scores of scaled ones; what is no number leaves nothing out."""
+        with np.errstate(all="ignore"):
+            out = score / self.largest / self.largest
+        return np.where(np.isfinite(score), out, -np.inf)
+
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2.0 * (x @ y.T), 0.0))
@@ -154,9 +160,7 @@ class Shard:
         asked = geometry.query(queries)
         norms = np.sqrt((asked * asked).sum(1))
         margin = 1e-11 * norms * geometry.norm
-        square = float(geometry.largest) ** 2
-        with np.errstate(all="ignore"):
-            start = np.where(np.isfinite(floor), floor / square, -np.inf)
+        start = geometry.scaled(floor)
         best = np.repeat(start[:, None], count, 1)
         bound = self.tree.bounds(asked)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -311,7 +315,7 @@ def nearest_vectors(df: DataFrame, is_query: Column, k: int = 20, vec_id: str =
                     few = part.slice(at, QUERY_BATCH)
                     x = _vectors(few.column("v"))
                     floor = few.column("floor").to_numpy(zero_copy_only=False).astype(float)
-                    rows_, found, score = shard.search(x, np.where(np.isnan(floor), -np.inf, floor), reach, factor)
+                    rows_, found, score = shard.search(x, floor, reach, factor)
                     yield pa.RecordBatch.from_arrays([
                         few.column("qid").take(pa.array(rows_)), pa.array(score), pa.array((x[rows_] == shard.vectors[found]).all(1)),
                         ids.take(pa.array(found))], names=["qid", "score", "same", "ids"])
@@ -337,8 +341,7 @@ def nearest_vectors(df: DataFrame, is_query: Column, k: int = 20, vec_id: str =
                     at = np.flatnonzero(sizes == size)
                     x = geometry.query(_vectors(batch.column("v").take(pa.array(at))))
                     with np.errstate(all="ignore"):
-                        score = np.where(np.isfinite(floor[at]), floor[at] / geometry.largest ** 2, -np.inf)
-                        limit = np.sqrt(np.maximum((x * x).sum(1) + geometry.norm ** 2 - 2.0 * score, 0.0))
+                        limit = np.sqrt(np.maximum((x * x).sum(1) + geometry.norm ** 2 - 2.0 * geometry.scaled(floor[at]), 0.0))
                     open_ = trees[int(size)].bounds(x) <= factor * limit[:, None] + geometry.slack
                     open_[np.arange(len(at)), own[at]] = False
                     who, where = np.nonzero(open_)

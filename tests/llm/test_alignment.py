@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import accumulate
 
 import public_tokenizers
 import pytest
@@ -29,10 +30,11 @@ def plain(aligner, text):
     a_bytes, b_bytes = [aligner.a_bytes[i] for i in a], [aligner.b_bytes[i] for i in b]
     if not b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
         return (0, 0, 0, 0), "", Counter()
-    ends = [[sum(map(len, parts[:n + 1])) for n in range(len(parts))] for parts in (a_bytes, b_bytes)]
+    ends = [list(accumulate(map(len, parts))) for parts in (a_bytes, b_bytes)]
+    places = [{end: n + 1 for n, end in enumerate(e)} for e in ends]
     groups, links, i, j = [], Counter(), 0, 0
     for end in sorted(set(ends[0]) & set(ends[1])):
-        m, n = ends[0].index(end) + 1, ends[1].index(end) + 1
+        m, n = places[0][end], places[1][end]
         groups.append(",".join(map(str, a[i:m])) + "|" + ",".join(map(str, b[j:n])))
         links[a[m - 1], b[n - 1]] += 1
         i, j = m, n
@@ -67,18 +69,13 @@ def test_odd_rows(spark, aligner, head):
     docs = spark.createDataFrame([(i, t, 1, "r", 2) for i, t in zip(ids, texts)], "doc_id long, text string, n_a int, row string, code int").repartition(3)
     got = align_documents(docs, A, B, head_pairs=head)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    want = Counter(zip(ids, expected(aligner, texts[:-1] + [""])))
-    rows = [tuple(r) for r in got.collect()]
-    # The long text is checked by its counts: comparing it whole would take the plain version minutes.
-    long = next(r for r in rows if r[1] > 50_000)
-    assert len(rows) == len(texts) and long[3] == long[4] > 50_000 and long[6] > long[4]
-    assert {r[0]: r[1:5] for r in rows if r[0] == ids[-3]} == {i: w[:4] for i, w in want if i == ids[-3]}
+    assert Counter(tuple(r) for r in got.collect()) == Counter((i, *w) for i, w in zip(ids, expected(aligner, texts)))
     assert align_documents(docs.limit(0), A, B).count() == 0
 
 
 def test_query_against_plain_version(spark, aligner):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
-    want = dict(zip([d.doc_id for d in docs], expected(aligner, [d.text if len(d.text) < 20_000 else d.text for d in docs])))
+    want = dict(zip([d.doc_id for d in docs], expected(aligner, [d.text for d in docs])))
     got = {r.doc_id: tuple(r)[1:] for r in queries.op11_tokenizer_alignment(spark, folder).collect()}
     assert got == want
