@@ -1,29 +1,31 @@
 """Decisions over measured scheduling points.
 
-A search has at most one point per setting, and settings are a declared integer range, so a
-group is bounded by that range.  Inputs must already hold one row per (group, setting).
+A search has at most one point per setting; inputs must already hold one row per (group,
+setting).  A search of any length is cut into segments of its settings, so none is sorted whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
+from fleetgauge.operators.segments import best_rows, by_width, running, trailing
 
+# Settings of one search that one task orders.
+SEGMENT_SETTINGS = 100_000
 
-def confirmed_decline(points: DataFrame, keys: Sequence[str], margin: float, patience: int,
-                      setting: str = "num_streams", fps: str = "median_fps") -> DataFrame:
+
+def confirmed_decline(points: DataFrame, keys: Sequence[str], margin: float, patience: int, setting: str = "num_streams",
+                      fps: str = "median_fps", segment_settings: int = SEGMENT_SETTINGS) -> DataFrame:
     """At every prefix of a search: more than ``patience`` points, the last ones all below the best."""
-    order = Window.partitionBy(*keys).orderBy(setting)
-    best = F.max(fps).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    recent = F.max(fps).over(order.rowsBetween(-(patience - 1), 0))
-    position = F.row_number().over(order)
-    return points.withColumns({
-        "position": position, "declined": (position > patience) & (recent < best * (1 - margin)),
-    })
+    ordered = running(points.withColumn("_one", F.lit(1)), keys, [setting], by_width(F.col(setting), segment_settings),
+                      position=("count", "_one"), _best=("max", fps)).drop("_one")
+    recent = trailing(ordered, keys, "position", fps, patience, segment_settings, "_recent", "max")
+    return recent.withColumn("position", F.col("position").cast("int")).withColumn(
+        "declined", (F.col("position") > patience) & (F.col("_recent") < F.col("_best") * (1 - margin))).drop("_best", "_recent")
 
 
 def sentinel_recovers(points: DataFrame, keys: Sequence[str], sentinel: Column, margin: float, fps: str = "median_fps") -> DataFrame:
@@ -48,8 +50,7 @@ def upper_boundary_open(points: DataFrame, keys: Sequence[str], margin: float,
 def shortlist(points: DataFrame, keys: Sequence[str], size: int,
               setting: str = "num_streams", fps: str = "median_fps", candidate: str = "candidate_id") -> DataFrame:
     """The strongest points per group: rate down, then fewer streams, then id."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(fps), setting, candidate)
-    return points.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    return best_rows(points, keys, [F.desc(fps), F.col(setting), F.col(candidate)], size)
 
 
 def peak_equivalent(points: DataFrame, keys: Sequence[str], margin: float, fps: str = "median_fps",
@@ -118,19 +119,27 @@ def search_completion(
     c = F.col
     tagged = points.join(states.select(*keys, "early_stop"), list(keys))
     # The regular part of a search: everything but a sentinel that was measured after an early stop.
-    regular = tagged.filter(c("early_stop").isNull() | (c(setting) != high))
-    last = confirmed_decline(regular, keys, margin, patience, setting, fps).groupBy(*keys).agg(
-        F.max_by("declined", setting).alias("_declined"))
-    recovery = sentinel_recovers(points, keys, c(setting) == high, margin, fps).select(*keys, c("recovers").alias("_recovers"))
-    border = upper_boundary_open(points, keys, margin, setting, fps).select(*keys, c("open").alias("_open"))
-    shape = tagged.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.count_distinct(setting).alias("_d"), F.min(setting).alias("_lo"), F.max(setting).alias("_hi"),
-        F.count_if(c(setting) <= c("early_stop")).alias("_before"), F.max(F.when(c(setting) < high, c(setting))).alias("_top"),
-        F.count_if(c(setting) == high).alias("_sentinel"),
-    )
+    regular = c("early_stop").isNull() | (c(setting) != high)
+    rate = lambda where: F.max(F.when(where, c(fps)))
+    # First scan: a row per setting, then a row per search.
+    settings = tagged.groupBy(*keys, setting, "early_stop").agg(F.count("*").alias("_rows"), F.max(fps).alias(fps))
+    shape = settings.groupBy(*keys).agg(
+        F.sum("_rows").alias("_n"), F.count("*").alias("_d"), F.min(setting).alias("_lo"), F.max(setting).alias("_hi"),
+        F.sum(F.when(c(setting) <= c("early_stop"), c("_rows")).otherwise(0)).alias("_before"),
+        F.sum(F.when(c(setting) == high, c("_rows")).otherwise(0)).alias("_sentinel"),
+        F.sum(F.when(regular, c("_rows")).otherwise(0)).alias("_regular"), rate(regular).alias("_best"),
+        rate(c(setting) == high).alias("_last"), rate(c(setting) != high).alias("_others"), F.max_by(fps, setting).alias("_top_fps"))
+    # Second scan: the best rate below the largest setting.  Third scan: the best of the last regular points.
+    lower = points.join(shape.select(*keys, "_hi"), list(keys)).filter(c(setting) < c("_hi")).groupBy(*keys).agg(F.max(fps).alias("_lower"))
+    recent = best_rows(tagged.filter(regular).select(*keys, setting, fps), keys, [F.desc(setting)], patience).groupBy(*keys).agg(F.max(fps).alias("_recent"))
     joined = states
-    for part in (shape, last, recovery, border):
+    for part in (shape, lower, recent):
         joined = joined.join(part, list(keys), "left")
+    joined = joined.withColumns({
+        "_declined": (c("_regular") > patience) & (c("_recent") < c("_best") * (1 - margin)),
+        "_recovers": F.coalesce(c("_last") > c("_others") * (1 + margin), F.lit(False)),
+        "_open": (c("_n") < 2) | F.coalesce(c("_top_fps") > c("_lower") * (1 + margin), F.lit(True)),
+    })
     reason = c("completion_reason")
     dense = lambda first, final: (c("_n") == final - first + 1) & (c("_lo") == first) & (c("_hi") == final)
     full = dense(F.lit(low), F.lit(high))

@@ -142,7 +142,7 @@ def row_numbers(
     return numbered.drop("_one")
 
 
-def trailing_mean(
+def trailing(
     df: DataFrame,
     keys: Sequence[str],
     index: str,
@@ -150,19 +150,60 @@ def trailing_mean(
     size: int,
     segment_rows: int = 100_000,
     out: str = "moving_mean",
+    kind: str = "mean",
 ) -> DataFrame:
-    """Mean of the last ``size`` rows by a dense 1-based ``index``.
+    """Mean or ``max`` of the last ``size`` rows by a dense 1-based ``index``.
 
     Each segment takes a copy of the ``size - 1`` rows before it, so no group is sorted whole.  A
-    row without an index has no mean.
+    row without an index has no value.
     """
+    reduce = {"mean": F.avg, "max": F.max}[kind]
     rows = max(segment_rows, size)
     own = F.floor((F.col(index) - 1) / rows).cast("long")
     later = F.floor((F.col(index) - 1 + size - 1) / rows).cast("long")
     copies = df.withColumn("_own", own).withColumn(SEGMENT, F.explode_outer(F.sequence(own, later)))
     window = Window.partitionBy(*keys, SEGMENT).orderBy(index).rowsBetween(-(size - 1), 0)
     return (
-        spread(copies, keys).withColumn(out, F.when(F.col("_own").isNotNull(), F.avg(value).over(window)))
+        spread(copies, keys).withColumn(out, F.when(F.col("_own").isNotNull(), reduce(value).over(window)))
         .filter(F.col("_own").eqNullSafe(F.col(SEGMENT)))
         .drop("_own", SEGMENT)
     )
+
+
+def first_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    count: int,
+    segment: Column,
+) -> DataFrame:
+    """The first ``count`` rows of each group, for any ``count``.
+
+    Row counts per segment say which segments the first rows reach into; the others are left out
+    before anything is sorted, and each segment that stays is numbered on its own.
+    """
+    data = segmented(df, segment)
+    sizes = data.groupBy(*keys, SEGMENT).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    reached = sizes.select(*keys, SEGMENT, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")).filter(F.col("_before") < count)
+    local = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+    placed = spread(join_on(data, reached, [*keys, SEGMENT]), keys).withColumn("_place", F.col("_before") + F.row_number().over(local))
+    return placed.filter(F.col("_place") <= count).drop(SEGMENT, "_before", "_place")
+
+
+SALTS = 64
+
+
+def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], count: int, out: str = "rank") -> DataFrame:
+    """The ``count`` best rows of each group, numbered from 1, for counts that one task can sort ``SALTS`` times over.
+
+    Each group is first dealt into ``SALTS`` parts by a hash of its rows, every part keeps its
+    own best, and only those meet.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if "map" not in dict(df.dtypes)[c]]), F.lit(SALTS))
+    dealt = df.withColumn(SEGMENT, part)
+    local = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+    kept = spread(dealt, keys).withColumn(out, F.row_number().over(local)).filter(F.col(out) <= count).drop(out, SEGMENT)
+    # Stated, so that the parts meet by key and are not taken as they lie.
+    met = kept.repartition(*keys) if keys else kept
+    return met.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= count)

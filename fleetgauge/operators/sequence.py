@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
-from fleetgauge.operators.segments import SEGMENT, by_width, previous_row, row_numbers, spread, trailing_mean
+from fleetgauge.operators.segments import SEGMENT, by_width, first_rows, previous_row, row_numbers, spread, trailing
 
 # Rows of one group that a single task may have to order.
 SEGMENT_ROWS = 100_000
@@ -104,7 +104,7 @@ def phase_intervals(
 
 def moving_rate(df: DataFrame, keys: Sequence[str], index: str, seconds: str, size: int) -> DataFrame:
     """Mean of the last ``size`` frame times and its rate, at the first and every ``size``-th frame."""
-    means = trailing_mean(df, keys, index, seconds, size, SEGMENT_ROWS, "mean_seconds")
+    means = trailing(df, keys, index, seconds, size, SEGMENT_ROWS, "mean_seconds")
     return means.filter((F.col(index) % size == 0) | (F.col(index) == 1)).withColumn(
         "fps", F.when(F.col("mean_seconds") > 0, 1.0 / F.col("mean_seconds")).otherwise(0.0)
     )
@@ -159,9 +159,8 @@ def resample_drop(df: DataFrame, keys: Sequence[str], seconds: Column, source_fp
     )
 
 
-def limit_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
-    """First ``count`` frames per file, all when ``count`` is 0."""
+def limit_frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """First ``count`` frames per file, all when ``count`` is 0; the first of ``order`` is a number."""
     if count <= 0:
         return df
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= count).drop("_n")
+    return first_rows(df, keys, order, count, by_width(F.col(order[0]), segment_rows))

@@ -7,27 +7,33 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fleetgauge.plans.manifests import MANIFEST_SQL, errors_sql, joined, manifests
-from fleetgauge.plans.registry import Tables, query, rounded
+from fleetgauge.plans.registry import query, rounded
 from fleetgauge.plans.telemetry import SAMPLES, runs_and_samples
 from fleetgauge.plans.trace import WIDTH, spans, windows
 from fleetgauge.session import new_folder
 from fleetgauge.sources import readers as rd
 from fleetgauge.sources import schemas as sm
 from fleetgauge.sources import sinks as sk
+from fleetgauge.sources.files import write_files
 
 c = F.col
 
 
-@query("S01_read_run_manifests", f"""WITH {MANIFEST_SQL} SELECT k, status, product AS implementation, CAST(run_index AS INTEGER) AS round, workload_id, frames, warmup_frames, input_sha256, image_id, publishable FROM m""")
+@query("S01_read_run_manifests", f"""WITH {MANIFEST_SQL} SELECT k, status, product AS implementation, CAST(run_index AS INTEGER) AS round, workload_id, frames, warmup_frames, input_sha256, image_id, publishable, CAST(NULL AS VARCHAR) AS read_error FROM m
+UNION ALL SELECT NULL, NULL, product, CAST(run_index AS INTEGER), NULL, NULL, NULL, NULL, NULL, NULL, 'empty file' FROM m WHERE k % 97 = 0""")
 def _s01(t):
     folder = new_folder(t.spark, "manifests")
     rows = manifests(t).withColumns({"implementation": c("product"), "round": c("run_index")})
     rows.write.partitionBy("implementation", "round").json(folder)
+    # Runs that crashed before their manifest had content.
+    crashed = rows.filter(c("k") % 97 == 0).select(
+        F.concat(F.lit("implementation="), "implementation", F.lit("/round="), "round", F.lit("/crashed-"), "k", F.lit(".json")).alias("name"), F.lit("").alias("content"))
+    write_files(crashed, folder)
     back = rd.read_run_manifests(
         t.spark, f"{folder}/*/*/*.json", schema=f"k long, {sm.MANIFEST}", multi_line=False, layout=r"implementation=([^/]+)/round=(\d+)/")
     return back.select(
         "k", "status", "implementation", "round", "workload_id", c("parameters.frames").alias("frames"), c("parameters.warmup_frames").alias("warmup_frames"),
-        c("assets.input.sha256").alias("input_sha256"), c("environment.image.id").alias("image_id"), c("reproducibility.publishable").alias("publishable"))
+        c("assets.input.sha256").alias("input_sha256"), c("environment.image.id").alias("image_id"), c("reproducibility.publishable").alias("publishable"), "read_error")
 
 
 EVENT_SQL = """
@@ -115,19 +121,23 @@ def _s04(t):
     return rounded(rd.analyse_trace(tables, ["trace_id"], "pipeline.frame_loop", WIDTH, F.lit(120)))
 
 
-@query("S06_decode_frame_tensors", """WITH el AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings), s AS (SELECT vec_id, count(*) AS n, min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi FROM el GROUP BY 1)
-SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'size does not match float32 shape' END AS size_error, CASE WHEN vec_id % 7 > 0 THEN n END AS elements, CASE WHEN vec_id % 7 > 0 THEN lo END AS low, CASE WHEN vec_id % 7 > 0 THEN hi END AS high FROM s""")
+@query("S06_decode_frame_tensors", """WITH el AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings), s AS (SELECT vec_id, count(*) AS n, min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi, vec_id % 7 > 0 AND vec_id % 11 > 0 AS good FROM el GROUP BY 1)
+SELECT vec_id, CASE WHEN NOT good THEN 'size does not match float32 shape' END AS size_error, CASE WHEN vec_id % 11 = 0 THEN 0 ELSE 4 * n END AS length, CASE WHEN good THEN n END AS elements, CASE WHEN good THEN lo END AS low, CASE WHEN good THEN hi END AS high FROM s""")
 def _s06(t):
     @F.pandas_udf("binary")
     def packed(values: pd.Series) -> pd.Series:
         return values.map(lambda v: np.asarray(v, dtype="<f4").tobytes())
 
-    files = t.embeddings.select("vec_id", packed("embedding").alias("content"))
-    expected = F.when(c("vec_id") % 7 == 0, 63).otherwise(64)
-    back = rd.decode_tensors(files, "content", F.length("content"), expected)
+    folder, v = new_folder(t.spark, "tensors"), c("vec_id")
+    # Every eleventh capture broke off before its tensor had content.
+    write_files(t.embeddings.select(
+        F.concat_ws("/", F.floor(v / 64).cast("string"), F.concat(v.cast("string"), F.lit(".f32"))).alias("name"),
+        F.when(v % 11 > 0, packed("embedding")).alias("content")), folder)
+    number = F.regexp_extract("path", r"(\d+)\.f32$", 1).cast("long")
+    back = rd.read_frame_tensors(t.spark, f"{folder}/*/*.f32", F.when(number % 7 == 0, 63).otherwise(64)).withColumn("vec_id", number)
     good = c("values").isNotNull()
     return back.select(
-        "vec_id", "size_error", F.when(good, F.size("values")).cast("long").alias("elements"),
+        "vec_id", "size_error", "length", F.when(good, F.size("values")).cast("long").alias("elements"),
         F.array_min("values").cast("double").alias("low"), F.array_max("values").cast("double").alias("high"))
 
 
@@ -168,7 +178,19 @@ def _s12(t):
     return t.spark.read.parquet(folder).withColumn("refused", F.lit(refused))
 
 
-@query("S13_file_digests")
-def _s13(t: Tables):
-    return rd.file_digests(t.spark, f"{t.folder}/*.parquet").select(
-        F.substring_index("path", "/", -1).alias("file"), "sha256", "size_bytes")
+@query("S13_file_digests", """WITH l AS (SELECT s_nationkey, s_suppkey, s_suppkey || '|' || s_name || chr(10) AS line FROM supplier),
+n AS (SELECT 'nation=' || s_nationkey AS file, string_agg(line, '' ORDER BY s_suppkey) AS content FROM l GROUP BY s_nationkey
+  UNION ALL SELECT ['', '_', '.'][r_regionkey % 3 + 1] || r_name || '.bin', CASE WHEN r_regionkey = 4 THEN '' ELSE repeat(r_name, 300000) END FROM region UNION ALL SELECT '_SUCCESS', '')
+SELECT file, sha256(content) AS sha256, strlen(content) AS size_bytes, substr(file, 1, 1) IN ('_', '.') AS hidden, CAST(NULL AS VARCHAR) AS read_error FROM n""")
+def _s13(t):
+    folder, key = new_folder(t.spark, "artifacts"), c("r_regionkey")
+    # One text file per nation by Spark, and files of odd names, no content and more than one chunk.
+    lines = t.supplier.select(c("s_nationkey").alias("nation"), "s_suppkey", F.concat_ws("|", c("s_suppkey").cast("string"), "s_name").alias("line"))
+    lines.repartition("nation").sortWithinPartitions("nation", "s_suppkey").select("nation", "line").write.partitionBy("nation").text(folder)
+    mark = F.element_at(F.array(F.lit(""), F.lit("_"), F.lit(".")), (key % 3 + 1).cast("int"))
+    write_files(t.region.select(F.concat(mark, "r_name", F.lit(".bin")).alias("name"), F.when(key != 4, F.repeat("r_name", F.lit(300_000))).alias("content")), folder)
+    steps = F.split("path", "/")
+    name, above = F.element_at(steps, -1), F.element_at(steps, -2)
+    # Checksum files of a local file system are not part of the set.
+    found = rd.file_digests(t.spark, folder).filter(~c("path").endswith(".crc"))
+    return found.select(F.when(above.startswith("nation="), above).otherwise(name).alias("file"), "sha256", "size_bytes", "hidden", "read_error")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +12,10 @@ from fleetgauge.functions.scalars import utc_timestamp
 from fleetgauge.operators.intervals import enum_filter, resolve_names, single_window, trace_findings
 from fleetgauge.operators.segments import join_on
 from fleetgauge.sources import schemas as sm
+from fleetgauge.sources.files import read_files
 
 # Layout ``<implementation>/round-NN/run-01/manifest.json``.
 MANIFEST_PATH = r"([^/]+)/round-(\d+)/run-\d+/manifest\.json$"
-CHUNK = 1024 * 1024
 
 
 def read_run_manifests(spark: SparkSession, paths: str, schema: str = sm.MANIFEST, multi_line: bool = True,
@@ -26,7 +23,8 @@ def read_run_manifests(spark: SparkSession, paths: str, schema: str = sm.MANIFES
     """Run manifests with ``implementation`` and ``round`` taken from the path.
 
     A document that is not a JSON object keeps its text in ``_corrupt_record`` and is marked
-    in ``read_error``; its other columns are null.
+    in ``read_error``; its other columns are null.  Files that Spark's scan passes over, those
+    without content and those with a hidden name, come back as marked rows too.
     """
     raw = (
         spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", multi_line)
@@ -34,10 +32,12 @@ def read_run_manifests(spark: SparkSession, paths: str, schema: str = sm.MANIFES
     )
     # The metadata path is a URL; a plus sign in it stands for itself.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return raw.select(
-        "*", path.alias("path"), F.regexp_extract(path, layout, 1).alias("implementation"),
-        F.regexp_extract(path, layout, 2).try_cast("int").alias("round"),
-    ).withColumn("read_error", F.when(F.col("_corrupt_record").isNotNull(), "not a JSON object"))
+    read = raw.select("*", path.alias("path")).withColumn("read_error", F.when(F.col("_corrupt_record").isNotNull(), "not a JSON object"))
+    passed = read_files(spark, paths).filter((F.col("path").rlike(layout)) & (F.col("hidden") | (F.col("size_bytes") == 0))).select(
+        F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.when(F.col("hidden"), "hidden file").otherwise("empty file").alias("read_error"))
+    every = read.unionByName(passed, allowMissingColumns=True)
+    return every.withColumns({
+        "implementation": F.regexp_extract("path", layout, 1), "round": F.regexp_extract("path", layout, 2).try_cast("int")})
 
 
 def event_shape_errors(df: DataFrame) -> DataFrame:
@@ -120,39 +120,18 @@ def decode_tensors(df: DataFrame, content: str, length: Column, expected_element
 
 
 def read_frame_tensors(spark: SparkSession, paths: str, elements: Column) -> DataFrame:
-    """Raw float32 CHW files, one per row, checked against the expected number of elements."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "length", "content")
+    """Raw float32 CHW files, one per row, checked against the expected number of elements.
+
+    Files without content come back with an error; ``elements`` may use ``path``.
+    """
+    files = read_files(spark, paths, "content").select("path", F.col("size_bytes").alias("length"), "content")
     return decode_tensors(files, "content", F.col("length"), elements)
 
 
-def file_digests(spark: SparkSession, paths: str, inline_bytes: int = 256 * CHUNK) -> DataFrame:
-    """Path, SHA-256 and size of artifacts.
+def file_digests(spark: SparkSession, paths: str, shares: int = 1) -> DataFrame:
+    """Path, SHA-256, size and hidden mark of every artifact, empty and hidden ones included.
 
-    Files up to ``inline_bytes`` are hashed from the row; larger ones are read in chunks by the
-    task, because a row cannot hold them.  Spark's file scan leaves out files without content.
+    All sizes are hashed in one way, as they stream by; a file that cannot be read has a
+    ``read_error`` and no digest.  ``shares`` deals the files of each folder to that many tasks.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    small = listed.filter(F.col("length") <= inline_bytes).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
-    large = listed.filter(F.col("length") > inline_bytes).select("path", F.col("length").alias("size_bytes"))
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import quote
-
-        from pyarrow import fs
-
-        for batch in batches:
-            digests = []
-            for uri in batch["path"]:
-                scheme, _, rest = uri.rpartition(":/")
-                if scheme in ("", "file"):
-                    store, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-                else:
-                    store, name = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
-                state = hashlib.sha256()
-                with store.open_input_stream(name) as stream:
-                    while chunk := stream.read(CHUNK):
-                        state.update(chunk)
-                digests.append(state.hexdigest())
-            yield pd.DataFrame({"path": batch["path"], "sha256": digests, "size_bytes": batch["size_bytes"]})
-
-    return small.unionByName(large.mapInPandas(hashed, "path string, sha256 string, size_bytes long"))
+    return read_files(spark, paths, "sha256", shares).select("path", "sha256", "size_bytes", "hidden", "read_error")
