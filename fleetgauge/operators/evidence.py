@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions import rules as R
 from fleetgauge.operators import checks as ck
 from fleetgauge.operators.joins import missing_and_unexpected, pair_frames
-from fleetgauge.operators.tensors import tensor_compare, tensor_summary
+from fleetgauge.operators.tensors import compare_tensor_files
 
 
 def quality_rollup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,18 +84,17 @@ def inference_parity(reference: DataFrame, candidates: DataFrame, ref_tensors: D
                      limits: dict[str, float], report: str = "report_id") -> DataFrame:
     """One row per candidate: identity drift, tensor set, input hashes and the output gate.
 
-    Tensors: report, stage, frame_index, shape, sha256, values; candidate tensors also carry
-    implementation.  Inputs must be hash-equal; outputs must pass the gate.  Outputs of different
-    shape or size are shape errors and are not compared.
+    Tensors: report, stage, frame_index, shape, sha256, path; candidate tensors also carry
+    implementation.  Inputs must be hash-equal and are never loaded; outputs are loaded by path
+    after pairing and must pass the gate.  Outputs of different shape or size are shape errors
+    and are not judged; a file that cannot be read fails the gate.
     """
     c = F.col
-    # Inputs are judged by their hashes, so only output values travel.
-    outputs = lambda df: df.withColumn("values", F.when(c("stage") != "input", c("values")))
-    pairs = _paired(outputs(ref_tensors), outputs(cand_tensors), report)
-    sizes_differ = R.differs(F.size("r.values"), F.size("c.values"))
-    pairs = pairs.withColumn("shape_differs", c("shape_differs") | sizes_differ)
-    scored = pairs.withColumn("m", F.when(~c("shape_differs"), tensor_compare(c("r.values"), c("c.values"))))
+    pairs = _paired(ref_tensors, cand_tensors, report)
     same = c("r.sha256").eqNullSafe(c("c.sha256"))
+    wanted = lambda side: F.when((c("stage") != "input") & ~c("shape_differs"), c(f"{side}.path"))
+    scored = pairs.withColumn("m", compare_tensor_files(wanted("r"), wanted("c"), same))
+    scored = scored.withColumn("shape_differs", c("shape_differs") | F.coalesce(c("m.sizes_differ"), F.lit(False)))
     gate = ck.tensor_gate(c("m.finite"), c("m.exact"), c("m.p99_abs"), c("m.rmse"), c("m.psnr_db"), limits)
     bad = F.when(c("stage") == "input", ~same).otherwise(F.size(gate) > 0)
     per = scored.withColumn("_bad", bad).groupBy(report, c("c.implementation").alias("implementation")).agg(
@@ -118,20 +117,20 @@ def inference_parity(reference: DataFrame, candidates: DataFrame, ref_tensors: D
 
 def preprocessing_diagnostic(reference: DataFrame, candidates: DataFrame, ref_tensors: DataFrame, cand_tensors: DataFrame,
                              report: str = "report_id") -> DataFrame:
-    """Input tensors only, with range facts of both sides; values never gate, identity does."""
+    """Input tensors only, with range facts of both sides; values never gate, identity does.
+
+    Tensors: report, stage, frame_index, shape, sha256, path.  Pairs are loaded by path, those of equal hash once.
+    """
     c = F.col
     inputs = lambda df: df.filter(c("stage") == "input")
     pairs = _paired(inputs(ref_tensors), inputs(cand_tensors), report).filter(~c("shape_differs"))
-    facts = pairs.select(
-        report, c("c.implementation").alias("implementation"),
-        tensor_compare(c("r.values"), c("c.values")).alias("m"),
-        tensor_summary(c("r.values")).alias("r"), tensor_summary(c("c.values")).alias("s"),
-    )
+    loaded = compare_tensor_files(c("r.path"), c("c.path"), c("r.sha256").eqNullSafe(c("c.sha256")))
+    facts = pairs.select(report, c("c.implementation").alias("implementation"), loaded.alias("m"))
     per = facts.groupBy(report, "implementation").agg(
         F.count("*").alias("tensors"), F.max("m.p99_abs").alias("max_p99_abs"), F.max("m.rmse").alias("max_rmse"),
-        F.min("r.min").alias("reference_min"), F.max("r.max").alias("reference_max"),
-        F.min("s.min").alias("candidate_min"), F.max("s.max").alias("candidate_max"),
-        F.max("s.outside_unit_interval_fraction").alias("max_outside_fraction"),
+        F.min("m.reference_min").alias("reference_min"), F.max("m.reference_max").alias("reference_max"),
+        F.min("m.candidate_min").alias("candidate_min"), F.max("m.candidate_max").alias("candidate_max"),
+        F.max("m.candidate_outside").alias("max_outside_fraction"),
     )
     keys = [report, "implementation"]
     joined = _identity(reference, candidates, report, {}).join(

@@ -15,7 +15,10 @@ from fleetgauge.functions import rules as R
 
 
 def pair_frames(reference: DataFrame, candidate: DataFrame, keys: Sequence[str], shape: str = "shape") -> DataFrame:
-    """Reference and candidate rows of the same key as ``r`` and ``c``; unequal shapes are marked."""
+    """Reference and candidate rows of the same key as ``r`` and ``c``; unequal shapes are marked.
+
+    Rows carry the facts of a tensor and its path, not its values, so the join moves names only.
+    """
     left = reference.select(*keys, F.struct(*[n for n in reference.columns if n not in keys]).alias("r"))
     right = candidate.select(*keys, F.struct(*[n for n in candidate.columns if n not in keys]).alias("c"))
     return left.join(right, list(keys)).withColumn("shape_differs", R.differs(F.col(f"r.{shape}"), F.col(f"c.{shape}")))

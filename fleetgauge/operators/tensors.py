@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.scalars import (
     CHROMA_CENTRE, CHROMA_RANGE, CODE_MAX, LUMA_MIN, LUMA_RANGE,
 )
+from fleetgauge.sources.files import open_store
 
 COMPARE = "elements long, finite boolean, exact boolean, mae double, rmse double, p99_abs double, max_abs double, psnr_db double"
 DRIFT = "max_abs double, mean_abs double, rmse double, relative_l2 double, psnr_db double"
@@ -62,6 +63,51 @@ def tensor_compare(reference: Column, candidate: Column) -> Column:
     return _rows(COMPARE, _compare)(reference, candidate)
 
 
+def _load(path: str) -> np.ndarray:
+    store, name, _ = open_store(path)
+    with store.open_input_stream(name) as stream:
+        content = stream.read()
+    if len(content) % 4:
+        raise ValueError(f"{path} is not a float32 file")
+    return np.frombuffer(content, dtype="<f4")
+
+
+def _range(values: np.ndarray) -> tuple:
+    if not values.size or not np.isfinite(values).all():
+        return (None, None, None)
+    return (float(values.min()), float(values.max()), float(np.mean((values < 0) | (values > 1))))
+
+
+FILE_FACTS = (f"{COMPARE}, sizes_differ boolean, reference_min double, reference_max double, reference_outside double, "
+              "candidate_min double, candidate_max double, candidate_outside double, read_error string")
+
+
+def compare_tensor_files(reference: Column, candidate: Column, equal: Column) -> Column:
+    """Struct of error metrics and range facts of two float32 files, loaded by path inside the task.
+
+    Only paths reach Python, and two tensors are held at a time.  Files known to be ``equal`` by
+    their hashes are loaded once.  A null path gives null facts, a file that cannot be read a
+    ``read_error``.
+    """
+    names = [part.split()[0] for part in FILE_FACTS.split(", ")]
+
+    def one(left: str | None, right: str | None, same: bool | None) -> tuple:
+        if left is None or right is None:
+            return (None,) * len(names)
+        try:
+            a = _load(left)
+            b = a if same else _load(right)
+        except (OSError, ValueError) as error:
+            return (*(None,) * (len(names) - 1), str(error))
+        return (*_compare(a, b), a.size != b.size, *_range(a), *_range(b), None)
+
+    @F.pandas_udf(FILE_FACTS)
+    def facts(left: pd.Series, right: pd.Series, same: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*row) for row in zip(left, right, same)], columns=names).astype({n: "object" for n in names})
+
+    return facts(reference, candidate, equal)
+
+
 def tensor_summary(values: Column) -> Column:
     """Struct of range facts of one float32 array, in the JVM; an empty array has a count only."""
     infinite = float("inf")

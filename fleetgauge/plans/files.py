@@ -175,7 +175,7 @@ def _s12(t):
         refused = False
     except sk.PublicationError:
         refused = True
-    return t.spark.read.parquet(folder).withColumn("refused", F.lit(refused))
+    return sk.read_published(t.spark, folder).withColumn("refused", F.lit(refused))
 
 
 @query("S13_file_digests", """WITH l AS (SELECT s_nationkey, s_suppkey, s_suppkey || '|' || s_name || chr(10) AS line FROM supplier),

@@ -20,7 +20,7 @@ SELECT r.frame_index, r.label AS reference_label, x.label AS candidate_label, r.
 def _j01(t):
     e = t.embeddings.select(
         F.floor(c("vec_id") / 2).cast("long").alias("frame_index"), (c("vec_id") % 2).alias("side"), "label",
-        F.array(F.lit(3), c("label") % 3).alias("shape"))
+        F.array(F.lit(3), c("label") % 3).alias("shape"), F.concat(c("vec_id").cast("string"), F.lit(".f32")).alias("path"))
     pairs = jn.pair_frames(e.filter("side = 0").drop("side"), e.filter("side = 1").drop("side"), ["frame_index"])
     return pairs.select("frame_index", c("r.label").alias("reference_label"), c("c.label").alias("candidate_label"), "shape_differs")
 

@@ -40,14 +40,17 @@ def _x02(t):
 s AS (SELECT user_id, us, sum(CASE WHEN prev IS NULL OR us - prev >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS n FROM l),
 g AS (SELECT user_id, min(us) AS session_start, max(us) + 43200000000 AS session_end, count(*) AS events FROM s GROUP BY user_id, n) SELECT user_id, session_start, session_end, events FROM g""")
 def _x03(t):
-    split = live.stream_idle_sessions(stream(t, "events"), ["user_id"], "ts", "12 hours", "1 hour")
-    return live.run_once(split, "sessions", "complete").select("user_id", us("session_start"), us("session_end"), "events")
+    # Sessions leave the state as the watermark closes them; the last open ones are closed at the end.
+    closing = live.Closing(stream(t, "events").select("user_id", "ts"), "ts")
+    split = live.stream_idle_sessions(closing.events, ["user_id"], "ts", "12 hours", "1 hour")
+    return live.run_once(split, "sessions", "append", closing=closing).select("user_id", us("session_start"), us("session_end"), "events")
 
 
 @query("X04_stream_first_last_marker", "SELECT user_id AS run_id, min(epoch_us(ts)) AS first_frame, max(epoch_us(ts)) AS last_frame, count(*) AS frames FROM events GROUP BY 1")
 def _x04(t):
-    source = stream(t, "events").select(c("user_id").alias("run_id"), F.unix_micros("ts").alias("us"))
-    return live.run_once(live.stream_first_last_marker(source, ["run_id"], "us"), "markers", "update", ["run_id"])
+    source = stream(t, "events").select(c("user_id").alias("run_id"), F.unix_micros("ts").alias("us"), "ts")
+    parts = live.stream_first_last_marker(source, ["run_id"], "us", "ts", "7 days", "1 hour")
+    return live.merge_markers(live.run_once(parts, "markers", "update", ["run_id", "part_start"]), ["run_id"])
 
 
 @query("X05_stream_sequence_guard", """SELECT CAST(conv_id AS VARCHAR) AS key, count(*) AS attempts, min(turn) + conv_id % 3 = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AS contiguous,
@@ -55,7 +58,9 @@ def _x04(t):
 def _x05(t):
     source = stream(t, "conversations").withColumn("attempt", c("turn") + 1 + c("conv_id") % 3)
     expected = c("role") == F.when(c("turn") % 2 == 0, "user").otherwise("assistant")
-    return live.run_once(live.stream_sequence_guard(source, "conv_id", "attempt", expected), "guard", "update", ["key"])
+    # Two indexes to a range, so that campaigns of more are kept by several states.
+    parts = live.run_once(live.stream_sequence_guard(source, "conv_id", "attempt", expected, 2), "guard", "update", ["key", "part"])
+    return live.merge_guard(parts)
 
 
 @query("X06_stream_throttle_alerts", "SELECT event_id, 'hw_slowdown' AS invalid_reasons FROM events WHERE event_type = 'signup'")
@@ -78,7 +83,7 @@ def _x07(t):
 @query("X08_stream_extension_trigger", """WITH r AS (SELECT o_custkey, o_orderkey % 5 + 1 AS i, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), g AS (SELECT o_custkey, count(v) FILTER (i <= 3) AS runs, CASE WHEN count(v) FILTER (i <= 3) = 3 THEN (max(v) FILTER (i <= 3) - min(v) FILTER (i <= 3)) / median(v) FILTER (i <= 3) END AS s FROM r GROUP BY 1)
 SELECT o_custkey, runs, round(s, 8) AS relative_spread, coalesce(s > 0.5, false) AS extend FROM g""")
 def _x08(t):
-    source = stream(t, "orders").withColumn("run_index", c("o_orderkey") % 5 + 1)
-    flagged = live.stream_extension_trigger(source, ["o_custkey"], "run_index", "o_totalprice", 3, 0.5)
-    out = live.run_once(flagged, "trigger", "update", ["o_custkey"])
+    source = stream(t, "orders").select("o_custkey", (c("o_orderkey") % 5 + 1).alias("run_index"), "o_totalprice", c("o_orderdate").cast("timestamp").alias("ts"))
+    parts = live.stream_extension_trigger(source, ["o_custkey"], "run_index", "o_totalprice", 3, "ts", "365 days", "1 day")
+    out = live.extension_verdict(live.run_once(parts, "trigger", "update", ["o_custkey", "part_start"]), ["o_custkey"], 3, 0.5)
     return out.withColumn("relative_spread", F.round("relative_spread", 8))

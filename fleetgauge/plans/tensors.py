@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import checks as ck
@@ -11,6 +12,8 @@ from fleetgauge.operators import joins as jn
 from fleetgauge.operators import tensors as tn
 from fleetgauge.plans.manifests import errors_sql, joined
 from fleetgauge.plans.registry import query, rounded
+from fleetgauge.session import new_folder
+from fleetgauge.sources.files import write_files
 
 c = F.col
 LIMITS = {"p99_abs": 0.3, "rmse": 0.16, "min_psnr_db": 16.0}
@@ -90,17 +93,28 @@ agg AS (SELECT report_id, count(*) FILTER (NOT lost) AS tensors, count(*) FILTER
   count(*) FILTER (NOT lost AND NOT shaped AND CASE WHEN stage = 'input' THEN NOT same ELSE p99 > 0.3 OR rmse > 0.16 OR (mse > 0 AND 10 * log10(1.0 / mse) < 16) END) AS bad, max(rmse) FILTER (NOT lost AND NOT shaped AND stage = 'output') AS rm FROM cap GROUP BY 1)"""
 
 
+@F.pandas_udf("binary")
+def packed(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: np.asarray(v, dtype="<f4").tobytes())
+
+
 def captures(t):
-    """(reference ids, candidate ids, reference tensors, candidate tensors)."""
-    data = pairs(t).withColumn("report_id", F.floor(c("pair") / 8).cast("long"))
+    """(reference ids, candidate ids, reference tensors, candidate tensors); tensors are files of their own."""
+    folder = new_folder(t.spark, "captures")
+    name = lambda number: F.concat_ws("/", F.floor(number / 64).cast("string"), F.concat(number.cast("string"), F.lit(".f32")))
+    write_files(t.embeddings.select(name(c("vec_id")).alias("name"), packed("embedding").alias("content")), folder)
+    e = t.embeddings.select(F.floor(c("vec_id") / 2).cast("long").alias("pair"), (c("vec_id") % 2).alias("side"), "label")
+    data = e.filter("side = 0").select("pair", "label").join(e.filter("side = 1").select("pair"), "pair")
+    data = data.withColumn("report_id", F.floor(c("pair") / 8).cast("long"))
     report, pair = c("report_id"), c("pair")
+    # Equal hashes name the same file.
     same = (pair % 10 == 0) | ((pair % 2 == 0) & (report % 3 > 0))
     key = [report, F.when(pair % 2 == 0, "input").otherwise("output").alias("stage"), (pair % 8).alias("frame_index")]
-    sha = F.sha2(pair.cast("string"), 256)
-    ref = data.select(*key, F.array(F.lit(3), F.lit(1)).alias("shape"), sha.alias("sha256"), c("a").alias("values"))
+    stored = lambda number: [F.sha2(number.cast("string"), 256).alias("sha256"), F.concat(F.lit(f"{folder}/"), name(number)).alias("path")]
+    ref = data.select(*key, F.array(F.lit(3), F.lit(1)).alias("shape"), *stored(2 * pair))
     cand = data.filter(pair % 31 != 30).select(
         *key, F.lit("other").alias("implementation"), F.when(c("label") % 5 == 4, F.array(F.lit(3), F.lit(2))).otherwise(F.array(F.lit(3), F.lit(1))).alias("shape"),
-        F.when(same, sha).otherwise("differs").alias("sha256"), c("b").alias("values"))
+        *stored(F.when(same, 2 * pair).otherwise(2 * pair + 1)))
     ids = data.select("report_id").distinct()
     shared = [F.lit("x").alias(n) for n in ("workload_id", "input_sha256", "onnx_sha256", "repository_revision", "execution_profile", "canonical_input_sha256")]
     reference = ids.select("report_id", *shared, F.lit("720p").alias("variant"))
@@ -122,8 +136,8 @@ def _a49b(t):
     return ev.report_status(per, "session", "valid")
 
 
-@query("A50_preprocessing_diagnostic", WITH + f""", {CAPTURES}, b AS (SELECT pair, min(a)::DOUBLE AS ra, max(a)::DOUBLE AS rb, min(b)::DOUBLE AS ca, max(b)::DOUBLE AS cb, avg(CASE WHEN b < 0 OR b > 1 THEN 1.0 ELSE 0 END) AS out FROM el GROUP BY 1),
-g AS (SELECT report_id, count(*) FILTER (lost) AS diff, count(*) FILTER (NOT lost AND NOT shaped) AS tensors, max(rmse) FILTER (NOT lost AND NOT shaped) AS rm, min(ra) FILTER (NOT lost AND NOT shaped) AS r0, max(rb) FILTER (NOT lost AND NOT shaped) AS r1,
+@query("A50_preprocessing_diagnostic", WITH + f""", {CAPTURES}, b AS (SELECT pair, min(a)::DOUBLE AS ra, max(a)::DOUBLE AS rb, min(CASE WHEN same THEN a ELSE b END)::DOUBLE AS ca, max(CASE WHEN same THEN a ELSE b END)::DOUBLE AS cb, avg(CASE WHEN CASE WHEN same THEN a ELSE b END BETWEEN 0 AND 1 THEN 0.0 ELSE 1.0 END) AS out FROM el JOIN (SELECT pair, same FROM cap) USING (pair) GROUP BY 1),
+g AS (SELECT report_id, count(*) FILTER (lost) AS diff, count(*) FILTER (NOT lost AND NOT shaped) AS tensors, max(CASE WHEN same THEN 0 ELSE rmse END) FILTER (NOT lost AND NOT shaped) AS rm, min(ra) FILTER (NOT lost AND NOT shaped) AS r0, max(rb) FILTER (NOT lost AND NOT shaped) AS r1,
  min(ca) FILTER (NOT lost AND NOT shaped) AS c0, max(cb) FILTER (NOT lost AND NOT shaped) AS c1, max(out) FILTER (NOT lost AND NOT shaped) AS o FROM cap JOIN b USING (pair) WHERE stage = 'input' GROUP BY 1)
 SELECT report_id, tensors, diff AS set_difference, round(rm, 6) AS max_rmse, r0 AS reference_min, r1 AS reference_max, c0 AS candidate_min, c1 AS candidate_max, round(o, 9) AS max_outside_fraction, CASE WHEN drift OR diff > 0 THEN 'invalid' ELSE 'complete' END AS status FROM g JOIN ids USING (report_id)""")
 def _a50(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,27 +42,64 @@ def create_exclusive(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def publish_atomically(df: DataFrame, path: str, checks: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> None:
-    """Write next to the target, check what was written, then swap by renaming.
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of, of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    A check returns the offending rows.  On a failed check the target is untouched and the
-    staged output stays for inspection; after a swap the former target is kept beside it as
-    ``<path>.previous-<id>``.
+
+def _pointers(spark: SparkSession, target: str) -> list[tuple[int, str]]:
+    """Numbers of all publications and their pointer files, the newest first."""
+    of, fs = _hadoop(spark, target)
+    folder = of(f"{target}/{POINTERS}")
+    found = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(((int(p.getName()), p.toString()) for p in found if p.getName().isdigit()), reverse=True)
+
+
+VERSIONS, POINTERS = "_versions", "_pointers"
+
+
+def publish_atomically(df: DataFrame, path: str, checks: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> int:
+    """Write a new version below ``path``, check what was written, then point to it; returns its number.
+
+    A check returns the offending rows.  Versions are folders of their own and never change; a
+    publication becomes visible through one small file named by its number, which the store
+    creates only if no other writer has.  So a reader always finds a whole version, and of two
+    writers one wins and the other raises ``PublicationError``; its version, like one that
+    failed a check, stays for inspection.  Readers use ``read_published``.
     """
     spark: SparkSession = df.sparkSession
-    target, mark = path.rstrip("/"), uuid.uuid4().hex
-    staging = f"{target}.staging-{mark}"
-    df.write.mode("errorifexists").parquet(staging)
-    staged = spark.read.parquet(staging)
+    target = path.rstrip("/")
+    number = max((n for n, _ in _pointers(spark, target)), default=0) + 1
+    version = f"{VERSIONS}/{number:012d}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{target}/{version}")
+    staged = spark.read.parquet(f"{target}/{version}")
     failed = [label for label, offending in checks if not offending(staged).isEmpty()]
     if failed:
         raise PublicationError(f"staged output failed: {', '.join(failed)}")
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path_of(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    previous = f"{target}.previous-{mark}"
-    if fs.exists(path_of(target)) and not fs.rename(path_of(target), path_of(previous)):
-        raise PublicationError(f"cannot move the former output of {target}")
-    if not fs.rename(path_of(staging), path_of(target)):
-        if fs.exists(path_of(previous)):
-            fs.rename(path_of(previous), path_of(target))
-        raise PublicationError(f"cannot move staged output to {target}")
+    of, fs = _hadoop(spark, target)
+    pointer = of(f"{target}/{POINTERS}/{number:012d}")
+    try:
+        stream = fs.create(pointer, False)
+    except Py4JJavaError as error:
+        raise PublicationError(f"another writer published number {number} of {target}") from error
+    try:
+        stream.write(bytearray(f"{version}\n".encode()))
+    finally:
+        stream.close()
+    return number
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole publication of ``path``; without one, ``FileNotFoundError``."""
+    target = path.rstrip("/")
+    of, fs = _hadoop(spark, target)
+    for _, pointer in _pointers(spark, target):
+        stream = fs.open(of(pointer))
+        try:
+            version = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        # A pointer that is still being written is not published yet.
+        if version.endswith("\n"):
+            return spark.read.parquet(f"{target}/{version.strip()}")
+    raise FileNotFoundError(f"nothing is published at {target}")

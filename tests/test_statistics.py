@@ -12,7 +12,7 @@ from fleetgauge.operators import sequence as sq
 from fleetgauge.operators import stats as st
 from fleetgauge.operators import segments as sg
 from fleetgauge.operators.quantiles import exact_quantiles
-from fleetgauge.operators.segments import by_width, previous_row, row_numbers, running, trailing_mean
+from fleetgauge.operators.segments import by_width, previous_row, row_numbers, running, trailing
 
 
 def one(spark, column):
@@ -57,7 +57,7 @@ def test_ordered_operators_match_plain_windows_with_nulls(spark):
     got = got.join(sg.running(df, ["k"], ["at", "id"], segment, s=("sum", "v")).select("id", "s"), "id")
     got = got.join(sg.row_numbers(df, ["k"], ["at", "id"], segment, "n").select("id", "n"), "id")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    means = sg.trailing_mean(spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", None, 9.0), (None, 1, 5.0)], "k string, i long, v double"), ["k"], "i", "v", 2)
+    means = sg.trailing(spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", None, 9.0), (None, 1, 5.0)], "k string, i long, v double"), ["k"], "i", "v", 2)
     assert {(r.k, r.i, r.moving_mean) for r in means.collect()} == {("a", 1, 1.0), ("a", 2, 2.0), ("a", None, None), (None, 1, 5.0)}
 
 
@@ -167,7 +167,7 @@ def test_segment_helpers_equal_plain_windows(spark):
 
 def test_trailing_mean_crosses_segments(spark):
     df = spark.createDataFrame([("k", i, float(i * i)) for i in range(1, 30)], "k string, i long, v double")
-    got = {r.i: r.m for r in trailing_mean(df, ["k"], "i", "v", 4, segment_rows=5, out="m").collect()}
+    got = {r.i: r.m for r in trailing(df, ["k"], "i", "v", 4, segment_rows=5, out="m").collect()}
     assert got == {i: statistics.mean([float(j * j) for j in range(max(1, i - 3), i + 1)]) for i in range(1, 30)}
 
 
@@ -203,3 +203,65 @@ def test_paths_stay_inside(spark):
     redact = lambda v: one(spark, R.redact_path(F.lit(v), "/srv/data"))
     assert redact("/srv/data/a/b.mp4") == "a/b.mp4" and redact("/srv/data/../etc/key") == "external/key"
     assert redact("/srv/database/x") == "external/x" and redact("-i") == "-i" and redact("/srv/data/") == "."
+
+
+def test_near_constant_values_are_refined(spark):
+    # A million distinct values between 99 and 100, and a group whose values differ in their last bits.
+    near = spark.range(1_000_000).select(F.lit("near").alias("k"), (99 + F.col("id") / 1_000_000).alias("v"))
+    base = np.float64(1.7e9)
+    bits = base + np.spacing(base) * np.arange(5000)
+    last = spark.createDataFrame([("bits", float(x)) for x in bits], "k string, v double")
+    wanted = {"lo": ("v", 0.001), "m": ("v", 0.5), "p": ("v", 0.99)}
+    out = {r.k: r for r in exact_quantiles(near.unionByName(last), ["k"], wanted).collect()}
+    values = {"near": 99 + np.arange(1_000_000) / 1_000_000, "bits": bits}
+    for key, found in values.items():
+        for name, (_, q) in wanted.items():
+            assert np.isclose(out[key][name], np.quantile(found, q), rtol=1e-15, atol=0)
+
+
+def test_no_value_is_shuffled(spark):
+    df = spark.range(200_000, numPartitions=4).select(F.lit(1).alias("k"), (99 + F.col("id") / 200_000).alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    spark.sparkContext.setJobGroup("radix", "radix")
+    exact_quantiles(df, ["k"], {"m": ("v", 0.5)}).collect()
+    spark.sparkContext.setJobGroup("", "")
+    stages = {s for j in tracker.getJobIdsForGroup("radix") if j not in before for s in tracker.getJobInfo(j).stageIds}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = []
+    for s in stages:
+        attempt = store.stageAttempt(s, 0, False, getattr(spark.sparkContext._jvm.java.util, "ArrayList")(), False, getattr(spark.sparkContext._gateway, "new_array")(spark.sparkContext._jvm.double, 0))._1()
+        moved.append(attempt.shuffleWriteRecords())
+    # Bucket counts only: at most one refinement per task, never the values.
+    assert 0 < max(moved) <= 4 * 4096
+
+
+def test_first_rows_of_any_count(spark):
+    rng = random.Random(3)
+    rows = [("hot", n, rng.randint(0, 5)) for n in rng.sample(range(20_000), 20_000)] + [("few", n, 0) for n in range(3)] + [(None, n, n) for n in (2, None, 1)]
+    df = spark.createDataFrame(rows, "k string, n long, v long").coalesce(1)
+    for count in (1, 5000):
+        kept = sq.limit_frames(df, ["k"], ["n"], count, 1000)
+        for key in ("hot", "few", None):
+            mine = sorted((n is not None, n or 0) for k, n, _ in rows if k == key)[:count]
+            assert sorted((r.n is not None, r.n or 0) for r in kept.collect() if r.k == key) == mine
+        best = sg.best_rows(df, ["k"], [F.desc("v"), F.col("n")], count)
+        got = {}
+        for r in best.collect():
+            got.setdefault(r.k, []).append((r["rank"], r.v, r.n))
+        for key in ("hot", "few"):
+            mine = sorted(((-v, n) for k, n, v in rows if k == key))[:count]
+            assert sorted(got[key]) == [(i + 1, -v, n) for i, (v, n) in enumerate(mine)]
+
+
+def test_decline_across_segments(spark):
+    rng = random.Random(9)
+    rates = [rng.choice([80.0, 99.5, 100.0, None]) for _ in range(60)]
+    rows = [("s", n + 1, v) for n, v in enumerate(rates)]
+    df = spark.createDataFrame(rows, "k string, num_streams int, median_fps double")
+    got = {r.num_streams: (r.position, r.declined) for r in sr.confirmed_decline(df, ["k"], 0.01, 3, segment_settings=7).collect()}
+    for n in range(60):
+        known = [v for v in rates[:n + 1] if v is not None]
+        recent = [v for v in rates[max(0, n - 2):n + 1] if v is not None]
+        declined = max(recent) < max(known) * 0.99 if known and recent else None
+        assert got[n + 1] == (n + 1, False if n < 3 else declined)

@@ -83,9 +83,39 @@ def test_tensor_files(spark, tmp_path):
     values = np.arange(12, dtype="<f4") / 7
     (tmp_path / "good.f32").write_bytes(values.tobytes())
     (tmp_path / "short.f32").write_bytes(values[:5].tobytes())
+    (tmp_path / "none.f32").write_bytes(b"")
     out = {r.path.rsplit("/", 1)[1]: r for r in rd.read_frame_tensors(spark, f"{tmp_path}/*.f32", F.lit(12)).collect()}
     assert np.array_equal(np.array(out["good.f32"]["values"], dtype="<f4"), values) and out["good.f32"].size_error is None
-    assert out["short.f32"]["values"] is None and out["short.f32"].size_error
+    assert all(out[n]["values"] is None and out[n].size_error for n in ("short.f32", "none.f32")) and out["none.f32"].length == 0
+
+
+def test_tensor_files_are_compared_by_path(spark, tmp_path):
+    a, b = np.linspace(-0.5, 1, 12, dtype="<f4"), np.linspace(0, 1.5, 12, dtype="<f4")
+    for name, content in (("a", a.tobytes()), ("b", b.tobytes()), ("short", a[:5].tobytes()), ("odd", b"123"), ("nan", np.array([np.nan] * 12, "<f4").tobytes())):
+        (tmp_path / name).write_bytes(content)
+    pairs = [("a", "b", False), ("a", "gone", True), ("a", "short", False), ("a", "odd", False), ("a", "gone", False), ("nan", "nan", True), (None, "a", False)]
+    df = spark.createDataFrame([(n, f"{tmp_path}/{x}" if x else None, f"{tmp_path}/{y}", e) for n, (x, y, e) in enumerate(pairs)], "k int, x string, y string, e boolean")
+    rows = {r.k: r.m for r in df.select("k", tn.compare_tensor_files(F.col("x"), F.col("y"), F.col("e")).alias("m")).collect()}
+    whole = pair(spark, a, b)
+    assert (rows[0].rmse, rows[0].p99_abs, rows[0].exact, rows[0].sizes_differ) == (whole.m.rmse, whole.m.p99_abs, False, False)
+    assert (rows[0].candidate_min, rows[0].candidate_max, rows[0].candidate_outside) == (whole.s.min, whole.s.max, whole.s.outside_unit_interval_fraction)
+    # Equal by hash: only the reference is loaded.
+    assert rows[1].exact and rows[1].candidate_max == 1.0 and rows[1].read_error is None
+    assert rows[2].sizes_differ and rows[2].rmse is None
+    assert rows[3].read_error and rows[4].read_error and rows[5].finite is False and rows[6].elements is None
+
+
+def test_no_values_travel(spark, tmp_path):
+    from fleetgauge.operators import evidence as ev
+    from fleetgauge.plans.registry import Tables
+    from fleetgauge.plans.tensors import LIMITS, captures
+
+    found = captures(Tables(spark, "/root/testdata/sf0.001"))
+    for df in (ev.inference_parity(*found, LIMITS), ev.preprocessing_diagnostic(*found)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and "array<float>" not in plan
+        for table in found[2:]:
+            assert not any(kind == "array<float>" for _, kind in table.dtypes)
 
 
 def test_metrics_of_unequal_and_empty_arrays(spark):
