@@ -4,10 +4,12 @@ A stream of ids is cut into blocks; each starts from an empty model, so any bloc
 alone, and carries a checksum.  Per id three predictions are mixed: the id last seen after the
 two ids before (order 2), after the one before (order 1), and the frequencies so far (order 0).
 Adaptive shares, chosen by whether orders 2 and 1 were right the last time, say how the code
-range is divided among them; ids not seen in the block yet are escaped and written as 16 bits.
+range is divided among them; ids not seen in the block yet are escaped and written as 16 bits,
+or as 32 in segments that hold an id of 65,536 or more.
 
 All blocks of a segment advance together, one id per block and step, so every operation is a
-numpy operation over the blocks.
+numpy operation over the blocks; a shorter last block ends at its own last id.  Checksums cover
+the headers and the coded bytes, so nothing of a damaged segment is decoded.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 2048
-MAGIC = b"CMRC1\n"
+MAGIC = b"CMRC2\n"
+_HEAD, _BLOCK = "<III", "<II"      # blocks, ids per block, width; ids, bytes
 _SCALE = 16                       # probabilities are shares of 1 << 16
 _ONE = 1 << _SCALE
 _SLOTS2, _SLOTS1 = 4096, 2048     # table sizes of the contexts, per block
 _CONTEXTS = 8
+_IDS = 1 << 33                    # more than any id: keeps the blocks apart in the order-0 table
 _RATE = 5
 _LEAST, _MOST = 128, 4096         # limits of adaptive shares
 _U = np.uint64
@@ -46,15 +50,16 @@ class _Model:
     adaptive shares per block.
     """
 
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, wide: bool) -> None:
+        kind = np.int64 if wide else np.int32
         self.lanes = lanes
         self.row = np.arange(lanes)
         self.row2, self.row1, self.rows = self.row * _SLOTS2, self.row * _SLOTS1, self.row * _CONTEXTS
-        self.table2, self.table1 = np.zeros(lanes * _SLOTS2, np.int32), np.zeros(lanes * _SLOTS1, np.int32)
+        self.table2, self.table1 = np.zeros(lanes * _SLOTS2, kind), np.zeros(lanes * _SLOTS1, kind)
         self.share2 = np.full(lanes * _CONTEXTS, _ONE // 4, np.int64)
         self.share1 = np.full(lanes * _CONTEXTS, _ONE // 4, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.known = np.zeros(0, np.int64)       # lane * 2**17 + id of ids in the order-0 table, sorted
+        self.known = np.zeros(0, np.int64)       # lane * _IDS + id of ids in the order-0 table, sorted
         self.edge = self.row * (_ONE << 1)       # lane * 2**17 + cumulative frequency
         self.first = np.arange(lanes + 1, dtype=np.int64)  # where a lane's entries begin in ``edge``
 
@@ -93,7 +98,7 @@ class _Model:
         lane, at = np.nonzero(new)
         counts = np.diff(np.append(lane * steps + at, self.lanes * steps))
         distinct = np.bincount(lane, minlength=self.lanes)
-        self.known = lane * (_ONE << 1) + ordered[lane, at]
+        self.known = lane * _IDS + ordered[lane, at]
         # Escape gets the share of distinct ids so far; every entry keeps at least 1.
         escape = np.maximum((distinct * _ONE) // (2 * (steps + distinct)), 1)
         room = _ONE - escape - distinct
@@ -107,37 +112,43 @@ class _Model:
         self.edge = total - np.repeat(total[self.first[:-1]], distinct + 1) + np.repeat(self.row * (_ONE << 1), distinct + 1)
 
 
-def _pack(block: np.ndarray, size: int, data: bytes) -> bytes:
-    return struct.pack("<III", size, len(data), zlib.crc32(block[:size].astype("<u4").tobytes())) + data
+def _pack(size: int, data: bytes) -> bytes:
+    facts = struct.pack(_BLOCK, size, len(data))
+    return facts + struct.pack("<I", zlib.crc32(data, zlib.crc32(facts))) + data
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
-    """One segment: blocks of ``block_ids`` ids below 2**16, each with its size and CRC-32."""
+    """One segment: blocks of ``block_ids`` ids below 2**32, each with its size and CRC-32."""
     ids = np.asarray(ids, np.int64)
-    if len(ids) and (ids.min() < 0 or ids.max() >= _ONE):
-        raise ValueError("ids must lie in [0, 65536)")
-    lanes = -(-len(ids) // block_ids)
-    head = MAGIC + struct.pack("<II", lanes, block_ids)
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError("ids must lie in [0, 2**32)")
+    lanes, wide = -(-len(ids) // block_ids), bool(len(ids) and ids.max() >= _ONE)
+    facts = struct.pack(_HEAD, lanes, block_ids, wide)
+    head = MAGIC + facts + struct.pack("<I", zlib.crc32(facts))
     if not lanes:
         return head
     steps = min(block_ids, len(ids))
+    tail = len(ids) - (lanes - 1) * block_ids
     table = np.zeros(lanes * block_ids if lanes > 1 else steps, np.int64)
     table[:len(ids)] = ids
     table = table.reshape(lanes, -1)
-    model, coder = _Model(lanes), _Encoder(lanes, steps)
+    model, coder = _Model(lanes, wide), _Encoder(lanes, steps)
     marks = _rebuild_steps(steps)
     by_step = np.ascontiguousarray(table.T)
+    live = _ALL
     for t in range(steps):
+        if t == tail:
+            live = slice(0, lanes - 1)
         if t in marks:
             model.rebuild(table[:, :t])
         now = by_step[t]
         a, b = model.predict()
         hit2, hit1 = model.hits(now)
         low = np.where(hit2, 0, np.where(hit1, a, b))
-        coder.put(_ALL, low, np.where(hit2, a, np.where(hit1, b, _ONE)) - low)
-        miss = np.flatnonzero(~(hit2 | hit1))
+        coder.put(live, low[live], (np.where(hit2, a, np.where(hit1, b, _ONE)) - low)[live])
+        miss = np.flatnonzero(~(hit2 | hit1)[live])
         if len(miss):
-            want = miss * (_ONE << 1) + now[miss]
+            want = miss * _IDS + now[miss]
             at = np.searchsorted(model.known, want)
             there = np.zeros(len(miss), bool)
             inside = at < len(model.known)
@@ -148,10 +159,12 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
             coder.put(miss, start, end - start)
             new = miss[~there]
             if len(new):
-                coder.put(new, now[new], np.ones(len(new), np.int64))
+                if wide:
+                    coder.put(new, now[new] >> _SCALE, np.ones(len(new), np.int64))
+                coder.put(new, now[new] & (_ONE - 1), np.ones(len(new), np.int64))
         model.learn(now)
-    sizes = [min(block_ids, len(ids) - n * block_ids) for n in range(lanes)]
-    return head + b"".join(_pack(block, size, data) for block, size, data in zip(table, sizes, coder.finish()))
+    sizes = [block_ids] * (lanes - 1) + [tail]
+    return head + b"".join(_pack(size, data) for size, data in zip(sizes, coder.finish()))
 
 
 def _entry_end(model: _Model, lane: np.ndarray, entry: np.ndarray) -> np.ndarray:
@@ -178,7 +191,7 @@ class _Encoder:
             span = np.where(tight, (_U(0) - low) & _U(_ONE - 1), span)
         out = np.flatnonzero(settled | tight)
         if len(out):
-            who = out if lane is _ALL else lane[out]
+            who = out if isinstance(lane, slice) else lane[out]
             if self.count[who].max() >= self.words.shape[1]:
                 self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
             self.words[who, self.count[who]] = (low[out] >> _U(32)).astype(np.uint32)
@@ -192,21 +205,37 @@ class _Encoder:
         return [w[:n].astype("<u4").tobytes() + t.astype("<u4").tobytes() for w, n, t in zip(self.words, self.count, tail)]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids of a segment; a damaged block raises ``ValueError``."""
-    if data[:len(MAGIC)] != MAGIC:
+def _checked(data: bytes) -> tuple[int, bool, list[int], list[np.ndarray]]:
+    """Ids per block, width, block sizes and coded words of a whole segment."""
+    at = len(MAGIC) + struct.calcsize(_HEAD) + 4
+    if len(data) < at or data[:len(MAGIC)] != MAGIC:
         raise ValueError("not a segment")
-    at = len(MAGIC)
-    lanes, block_ids = struct.unpack_from("<II", data, at)
-    at += 8
-    sizes, checks, streams = [], [], []
-    for _ in range(lanes):
-        size, length, check = struct.unpack_from("<III", data, at)
-        at += 12
-        streams.append(np.frombuffer(data, "<u4", length // 4, at))
+    facts = data[len(MAGIC):at - 4]
+    if data[at - 4:at] != struct.pack("<I", zlib.crc32(facts)):
+        raise ValueError("the head of the segment is damaged")
+    lanes, block_ids, wide = struct.unpack(_HEAD, facts)
+    sizes, streams = [], []
+    for n in range(lanes):
+        begin = at + struct.calcsize(_BLOCK) + 4
+        facts, check = data[at:begin - 4], data[begin - 4:begin]
+        if begin > len(data):
+            raise ValueError("the segment is cut short")
+        size, length = struct.unpack(_BLOCK, facts)
+        coded = data[begin:begin + length]
+        if len(coded) < length or check != struct.pack("<I", zlib.crc32(coded, zlib.crc32(facts))):
+            raise ValueError(f"block {n} is damaged")
         sizes.append(size)
-        checks.append(check)
-        at += length
+        streams.append(np.frombuffer(coded, "<u4"))
+        at = begin + length
+    if at != len(data):
+        raise ValueError("bytes follow the last block")
+    return block_ids, bool(wide), sizes, streams
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids of a segment; whatever is damaged or cut off raises ``ValueError``."""
+    block_ids, wide, sizes, streams = _checked(bytes(data))
+    lanes = len(sizes)
     if not lanes:
         return np.zeros(0, np.uint32)
     steps = block_ids if lanes > 1 else sizes[0]
@@ -230,7 +259,7 @@ def decode(data: bytes) -> np.ndarray:
             sp = np.where(tight, (_U(0) - lo) & _U(_ONE - 1), sp)
         out = np.flatnonzero(settled | tight)
         if len(out):
-            who = out if lane is _ALL else lane[out]
+            who = out if isinstance(lane, slice) else lane[out]
             lo[out] <<= _U(32)
             sp[out] = np.minimum(sp[out], _FULL) << _U(32)
             code[who] = (code[who] << _U(32)) | words[who, np.minimum(place[who], longest - 1)]
@@ -238,18 +267,22 @@ def decode(data: bytes) -> np.ndarray:
         low[lane], span[lane] = lo, sp
 
     by_step = np.zeros((steps, lanes), np.int64)
-    model = _Model(lanes)
+    model = _Model(lanes, wide)
+    live = _ALL
     marks = _rebuild_steps(steps)
     for t in range(steps):
+        if t == sizes[-1]:
+            live = slice(0, lanes - 1)
         if t in marks:
             model.rebuild(np.ascontiguousarray(by_step[:t].T))
-        a, b = model.predict()
-        value, unit = target(_ALL)
+        a, b = (x[live] for x in model.predict())
+        value, unit = target(live)
         hit2 = value < a
         hit1 = ~hit2 & (value < b)
         start = np.where(hit2, 0, np.where(hit1, a, b))
-        take(_ALL, unit, start, np.where(hit2, a, np.where(hit1, b, _ONE)) - start)
-        now = np.where(hit2, model.g2, model.g1)
+        take(live, unit, start, np.where(hit2, a, np.where(hit1, b, _ONE)) - start)
+        now = by_step[t]
+        now[live] = np.where(hit2, model.g2[live], model.g1[live])
         miss = np.flatnonzero(~(hit2 | hit1))
         if len(miss):
             value, unit = target(miss)
@@ -258,16 +291,15 @@ def decode(data: bytes) -> np.ndarray:
             take(miss, unit, start, _entry_end(model, miss, entry) - start)
             fresh = entry == model.first[miss]
             old = miss[~fresh]
-            now[old] = model.known[entry[~fresh] - old - 1] - old * (_ONE << 1)
+            now[old] = model.known[entry[~fresh] - old - 1] - old * _IDS
             new = miss[fresh]
             if len(new):
-                value, unit = target(new)
-                take(new, unit, value, np.ones(len(new), np.int64))
-                now[new] = value
-        by_step[t] = now
+                found = 0
+                for _ in range(1 + wide):
+                    value, unit = target(new)
+                    take(new, unit, value, np.ones(len(new), np.int64))
+                    found = found << _SCALE | value
+                now[new] = found
         model.learn(now)
     table = np.ascontiguousarray(by_step.T)
-    for n in range(lanes):
-        if zlib.crc32(table[n, :sizes[n]].astype("<u4").tobytes()) != checks[n]:
-            raise ValueError(f"block {n} is damaged")
     return np.concatenate([table[n, :sizes[n]] for n in range(lanes)]).astype(np.uint32)

@@ -210,13 +210,29 @@ def test_range_coder_round_trips():
     ids = np.concatenate([np.tile(np.arange(40), 400), random_.integers(0, 65536, 2000), np.tile(np.arange(3), 3000)])
     for size in (64, 4096, 1 << 15):
         assert (rangecoder.decode(rangecoder.encode(ids, size)) == ids).all()
-    data = bytearray(rangecoder.encode(np.arange(5000) % 50))
-    data[-9] ^= 255
+    # Ids of 16 bits and more, in segments of one short block and of several.
+    for count in (1, 5, 700):
+        ids = random_.integers(0, 1 << 32, count)
+        assert (rangecoder.decode(rangecoder.encode(ids, 64)) == ids).all()
+        ids = np.where(random_.random(count) < 0.5, 65_536 + np.arange(count) % 3, np.arange(count) % 7)
+        assert (rangecoder.decode(rangecoder.encode(ids, 64)) == ids).all()
     with pytest.raises(ValueError):
-        rangecoder.decode(bytes(data))
+        rangecoder.encode(np.array([1 << 32]))
+
+
+def test_no_damage_goes_unseen():
+    data = rangecoder.encode(np.arange(700) % 50, 256)
+    for at in range(len(data)):
+        for flip in (1, 128, 255):
+            bad = bytearray(data)
+            bad[at] ^= flip
+            with pytest.raises(ValueError):
+                rangecoder.decode(bytes(bad))
+    for size in range(len(data)):
+        with pytest.raises(ValueError):
+            rangecoder.decode(data[:size])
     with pytest.raises(ValueError):
-        rangecoder.encode(np.array([65536]))
-    assert len(rangecoder.encode(np.arange(50_000) % 50)) < 8000
+        rangecoder.decode(data + b"x")
 
 
 def test_tokens(spark, odd):
