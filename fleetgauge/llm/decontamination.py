@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -191,8 +192,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
 
     Null and empty texts have no words and no spans; null or empty items match nothing and null
     item ids are left out of ``items``; repeated items count once per id.  Extra columns pass
-    through.  Memory per task is one automaton block plus one Arrow batch.
+    through; ``out`` must not be one of them.  Memory per task is one automaton block plus one
+    Arrow batch.
     """
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {out} already")
     spark = docs.sparkSession
     blocks = []
     for ids, parts in item_blocks(benchmark, item, item_text, window, block_words):
@@ -245,9 +249,9 @@ def hit_words(hits: str = "hits"):
 
 
 def contaminated(hits: str = "hits", share: float = 0.05):
-    """True where hit words are at least ``share`` of all words (and there is one)."""
-    per = round(1 / share)
-    return (hit_words(hits) > 0) & (hit_words(hits) * per >= F.col(f"{hits}.n_words"))
+    """True where hit words are at least ``share`` of all words (and there is one), compared in integers."""
+    exact = Fraction(str(share))
+    return (hit_words(hits) > 0) & (hit_words(hits) * exact.denominator >= F.col(f"{hits}.n_words") * exact.numerator)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, share: float = 0.05,

@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.storage import saved
+from fleetgauge.llm.storage import free, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 LEVELS = 4
 DIGITS = 10  # bits of the hash that each level adds
+SENT_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -48,6 +49,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return filled.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_fill") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
+def _sent(per_source: DataFrame) -> DataFrame:
+    """A table of one row per source, sent to every task if there are few; otherwise joined like any other."""
+    return F.broadcast(per_source) if per_source.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES else per_source
+
+
 def _digits(level: int) -> Column:
     """Hash digits of one level, highest first."""
     return F.shiftrightunsigned(F.col("hash"), 64 - DIGITS * (level + 1)).bitwiseAND(F.lit((1 << DIGITS) - 1))
@@ -63,13 +69,13 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     edge = budgets.select("source", F.col("budget").alias("rest"), F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
         mine = F.shiftrightunsigned(F.col("hash"), 64 - DIGITS * level) if level else F.lit(0).cast("long")
-        inside = rows.join(F.broadcast(edge.select(F.col("source").alias("s"), F.col("prefix").alias("p"))),
+        inside = rows.join(_sent(edge.select(F.col("source").alias("s"), F.col("prefix").alias("p"))),
                            F.col("source").eqNullSafe(F.col("s")) & (mine == F.col("p")), "left_semi")
         sums = inside.groupBy("source", _digits(level).alias("bucket")).agg(F.sum("size").alias("words"))
         so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0))).withColumnRenamed("source", "s")
         # The bucket where the budget ends: the last one that starts at or below it.
-        sums = sums.join(F.broadcast(edge.select("source", "rest", "prefix")), F.col("s").eqNullSafe(F.col("source"))).filter(F.col("before") <= F.col("rest"))
+        sums = sums.join(_sent(edge.select("source", "rest", "prefix")), F.col("s").eqNullSafe(F.col("source"))).filter(F.col("before") <= F.col("rest"))
         last = sums.groupBy("source").agg(F.max(F.struct("bucket", "before", "words", "rest", "prefix")).alias("b"))
         edge = last.select("source", (F.col("b.rest") - F.col("b.before")).alias("rest"),
                            (F.shiftleft(F.col("b.prefix"), DIGITS) + F.col("b.bucket")).alias("prefix"), F.col("b.words").alias("words"))
@@ -101,10 +107,10 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     targets = saved(targets, "mix-targets")
     edges = thresholds(rows, targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
     plan = targets.withColumnRenamed("source", "s").join(
-        F.broadcast(edges.withColumnRenamed("source", "e")), F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
+        _sent(edges.withColumnRenamed("source", "e")), F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
     below = F.shiftrightunsigned(F.col("hash"), 64 - DIGITS * LEVELS) < F.coalesce(F.col("prefix"), F.lit(0))
     copies = F.least(F.col("whole") + F.when(below, 1).otherwise(0), F.lit(cap)).cast("long")
-    return rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies).drop("s")
+    return rows.join(_sent(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies).drop("s")
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -115,10 +121,11 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     # One row per (source, hash): rows of equal hash are equal rows and share their number of copies.
     plan = _mixed(rows, weights, cap).select("source", "whole", "prefix").distinct()
     own = F.shiftrightunsigned(hashed, 64 - DIGITS * LEVELS)
-    plan = plan.select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.coalesce("prefix", F.lit(0)).alias("_mix_prefix"))
-    copies = F.least(F.col("_mix_whole") + F.when(own < F.col("_mix_prefix"), 1).otherwise(0), F.lit(cap)).cast("int")
+    key, whole, prefix, copy = free(docs, "_source", "_whole", "_prefix", "_copy")
+    plan = plan.select(F.col("source").alias(key), F.col("whole").alias(whole), F.coalesce("prefix", F.lit(0)).alias(prefix))
+    copies = F.least(F.col(whole) + F.when(own < F.col(prefix), 1).otherwise(0), F.lit(cap)).cast("int")
     return (
-        docs.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("_mix_source")))
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+        docs.join(_sent(plan), F.col(source).eqNullSafe(F.col(key)))
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies)))
         .select(*[docs[c] for c in docs.columns])
     )

@@ -23,7 +23,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontamination.find_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    found = decontamination.find_hits(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
     return found.select(
         "doc_id", F.col("hits.n_words").alias("n_words"), decontamination.hit_words().alias("n_hit"),
         F.size("hits.items").cast("long").alias("n_items"), F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),

@@ -310,3 +310,34 @@ def test_words_across_pieces(monkeypatch):
     got = [(r, data[s:e].tobytes().decode()) for r, s, e in zip(rows, starts, ends)]
     assert got == [(n, w) for n, t in enumerate(texts) for w in t.replace("\n", " ").replace("\t", " ").split(" ") if w]
     assert len(set(hashes)) == len({w for _, w in got})
+
+
+def test_any_column_name_passes_through(spark):
+    """Columns named like the helpers of operators and stages."""
+    text = " ".join(f"w{n}" for n in range(60))
+    names = ["hits", "_hits", "_mix_source", "_mix_whole", "_source", "_whole", "_prefix", "_copy", "_lost", "_again", "_own", "_gone_id", "_shared_id", "_gone", "hash", "size", "id", "component"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, f"{text} {'x' * i}", "en", "s", 1, *names) for i in (1, 2, 2, 3)] + [(None, None, None, None, None, *names)]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (lambda d: decontamination.decontaminate(d, benchmark(spark, [(1, "nothing of it", "")])), mixing.mix_documents, jaccard.keep_one):
+        out = stage(docs)
+        assert out.columns == docs.columns and all(r[5:] == tuple(names) for r in map(tuple, out.collect()))
+    with pytest.raises(ValueError, match="hits"):
+        decontamination.find_hits(docs, benchmark(spark, [(1, "a", "")]))
+
+
+@pytest.mark.parametrize("share, words_", [(0.05, 2), (0.3, 12), (0.4, 16), (1.0, 40)])
+def test_shares_are_exact(spark, share, words_):
+    text = lambda n: " ".join([f"b{i}" for i in range(n)] + [f"w{i}" for i in range(40 - n)])
+    docs = spark.createDataFrame([(n, text(n)) for n in range(2, 41)], "doc_id long, text string")
+    items = benchmark(spark, [(1, " ".join(f"b{i}" for i in range(40)), "")])
+    left = decontamination.decontaminate(docs, items, window=2, share=share)
+    assert {r.doc_id for r in left.collect()} == set(range(2, words_))
+
+
+def test_many_sources_are_joined(spark, monkeypatch):
+    rows = [(i, "word " * (i % 7 + 1), f"s{i % 40}") for i in range(400)] + [(1000, "a b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sent = sorted(map(tuple, mixing.mix_rows(docs).collect()))
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix_rows(docs).collect())) == sent
