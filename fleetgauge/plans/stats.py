@@ -243,11 +243,11 @@ def _a43(t):
 
 
 @query("S14_summary_sink_rows", WITH + """SELECT campaign, implementation, runs, format('{:.3f}', round(s.median_fps, 6)) AS median_fps, format('{:+.2f}%', round((s.median_fps / b.median_fps - 1) * 100, 6)) AS versus_baseline,
- format('{:.2f}', round(s.wall, 6)) AS wall_sec, format('{:.3f}', round(s.cores, 6)) AS cpu_cores, format('{:.1f}', round(s.vram, 6)) AS peak_vram_mib FROM suites s JOIN (SELECT campaign, median_fps FROM suites WHERE implementation = 'A') b USING (campaign)""")
+ format('{:.2f}', round(s.wall, 6)) AS wall_sec, format('{:.3f}', round(s.cores, 6)) AS cpu_cores, format('{:.1f}', round(s.vram, 6)) AS peak_vram_mib FROM suites s LEFT JOIN (SELECT campaign, median_fps FROM suites WHERE implementation = 'A') b USING (campaign)""")
 def _s14(t):
     from fleetgauge.sources.reports import summary_sink_rows
 
     suites = st.implementation_statistics(runs(t), GROUP, "fps", {"median_wall_time_sec": "wall", "median_cpu_cores": "cores", "median_peak_vram_mib": "vram"})
-    rel = st.relative_to_baseline(suites, ["campaign"], "implementation", "A", "median_fps").filter("relative_percent IS NOT NULL")
+    rel = st.relative_to_baseline(suites, ["campaign"], "implementation", "A", "median_fps")
     out = summary_sink_rows(rounded(rel))
     return out.select("campaign", "implementation", "runs", "median_fps", "versus_baseline", "wall_sec", "cpu_cores", "peak_vram_mib")
