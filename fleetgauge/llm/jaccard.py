@@ -21,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetgauge.llm.components import connected_components, near_labels
-from fleetgauge.llm.storage import saved
+from fleetgauge.llm.storage import free, saved
 from fleetgauge.llm.words import mix64, row_groups, shingles, utf8, words
 
 SHINGLE_WORDS = 4
 PERCENT = 85
-COUNTERS = 1 << 23
+# Counters of the frequency table: about one per word of all texts, within these bounds.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 25
+BYTES_PER_COUNTER = 6
 CHUNK = 1 << 15
 MAP_LONGS = 16
 LEADERS = 8
@@ -46,23 +49,26 @@ def _sets(batch: pa.RecordBatch, text: str, size: int):
         yield first, last, borders, values
 
 
-def _counter(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+def _counter(values: np.ndarray, counters: int) -> np.ndarray:
+    return (values >> np.uint64(20)).astype(np.int64) & (counters - 1)
 
 
 def frequency_levels(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """Rough frequency class of every token counter, from all texts: two classes per doubling.
 
-    A fixed number of counters (8 MB of classes), summed chunk by chunk on the executors.
+    The table has about as many counters as there are words, 32 MB of classes at most, and is
+    summed chunk by chunk on the executors.  A task counts a shingle up to 255.
     """
+    length = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    counters = min(max(1 << int(length // BYTES_PER_COUNTER).bit_length(), LEAST_COUNTERS), MOST_COUNTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
+        total = np.zeros(counters, np.uint8)
         for batch in batches:
             for _, _, _, values in _sets(batch, text, size):
-                place, times = np.unique(_counter(values).astype(np.uint32), return_counts=True)
-                total[place] += times.astype(np.uint32)
-        for at in range(0, COUNTERS, CHUNK):
+                place, times = np.unique(_counter(values, counters).astype(np.uint32), return_counts=True)
+                total[place] = np.minimum(total[place] + times, 255).astype(np.uint8)
+        for at in range(0, counters, CHUNK):
             part = total[at:at + CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([at // CHUNK], pa.int32()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
@@ -72,14 +78,14 @@ def frequency_levels(docs: DataFrame, text: str, size: int) -> np.ndarray:
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
                 totals.setdefault(chunk, np.zeros(CHUNK, np.uint64))
-                totals[chunk] += np.frombuffer(zlib.decompress(counts), np.uint32)
+                totals[chunk] += np.frombuffer(zlib.decompress(counts), np.uint8)
         for chunk, counts in totals.items():
             classes = np.floor(2 * np.log2(counts + 1.0)).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([classes.tobytes()], pa.binary())})
 
     parts = docs.select(text).mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
-    levels = np.zeros(COUNTERS, np.uint8)
-    for row in parts.collect():  # COUNTERS / CHUNK rows, one byte per counter
+    levels = np.zeros(counters, np.uint8)
+    for row in parts.collect():  # counters / CHUNK rows, one byte per counter
         levels[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint8)
     return levels
 
@@ -104,7 +110,7 @@ def profiles(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -
                 parity = np.zeros((hi - lo, MAP_LONGS), np.uint64)
                 ids = np.zeros(hi - lo, np.uint64)
                 other = mix64(values ^ _SECOND)
-                ranks = level[_counter(values)]
+                ranks = level[_counter(values, len(level))]
                 bit = (other & np.uint64(MAP_LONGS * 64 - 1)).astype(np.int64)
                 summed = mix64(values)
                 for row in range(hi - lo):
@@ -149,11 +155,16 @@ def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
 
 
-def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs (a, b) that are links; filters first, whole sets last."""
+def _sent(ids: DataFrame) -> DataFrame:
+    """A written table of ids, sent to every task where it is small."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _near(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """Those of the candidate pairs (a, b) that sizes, parity maps and the second order leave open."""
     def filtered(some: DataFrame, column: str, passes) -> DataFrame:
         """``some`` pairs where ``passes`` holds; only sets in a pair are looked up, one column at a time."""
-        wanted = _members(some)
+        wanted = _sent(saved(_members(some), "wanted"))
         known = saved(table.select("id", "n", column).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "looked-up")
         side = lambda s: known.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col(column).alias(f"{column}_{s}"))
         return saved(some.join(side("a"), "a").join(side("b"), "b").filter(passes).select("a", "b"), "near-pairs")
@@ -161,13 +172,15 @@ def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, doc_id: str,
     differing = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     n, m = F.col("n_a"), F.col("n_b")
     near = filtered(pairs, "parity", _sizes_fit(n, m, percent) & (n + m - differing >= 2 * _least_overlap(n, m, percent)))
-    near = filtered(near, "second", F.arrays_overlap("second_a", "second_b"))
+    return filtered(near, "second", F.arrays_overlap("second_a", "second_b"))
+
+
+def _exact(near: DataFrame, table: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are links, by their whole sets."""
     # Whole sets only of one document per set that takes part in a remaining pair.
-    ids = _members(near)
-    chosen = saved(table.select("id", "doc_id").filter("doc_id IS NOT NULL").join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "chosen")
-    small = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    picked = chosen.select("doc_id")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked) if small else picked, "doc_id", "left_semi")
+    ids = saved(_members(near), "wanted")
+    chosen = saved(table.select("id", "doc_id").filter("doc_id IS NOT NULL").join(_sent(ids), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "chosen")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(_sent(chosen.select("doc_id")), "doc_id", "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,12 +188,26 @@ def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, doc_id: str,
                 ids = [mix64(np.array([mix64(values[a:b]).sum() ^ np.uint64(b - a)], np.uint64)).view(np.int64)[0] for a, b in zip(borders[:-1], borders[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(values.view(np.int64), borders, pa.int64())], names=["id", "tokens"])
 
-    # Not stored: both joins below take their side from one shuffle by id.
-    sets = texts.mapInArrow(whole, "id long, tokens array<long>").dropDuplicates(["id"])
+    found = texts.mapInArrow(whole, "id long, tokens array<long>")
+    # Sets that only rows without an id have are taken from those rows.
+    unnamed = ids.join(chosen, "id", "left_anti")
+    if not unnamed.isEmpty():
+        nameless = docs.filter(F.col(doc_id).isNull()).select(F.col(text).alias("text")).mapInArrow(whole, "id long, tokens array<long>")
+        found = found.unionByName(nameless.join(unnamed, "id", "left_semi"))
+    # Whole sets travel to the first set of each pair: that one once, the others once a pair.
+    near = _sent(near)
+    far = found.join(near, F.col("id") == F.col("b")).select("a", "b", F.col("tokens").alias("t"))
+    own = found.join(near.select("a").distinct(), F.col("id") == F.col("a"), "left_semi").select(F.col("id").alias("a"), F.col("tokens").alias("s")).dropDuplicates(["a"])
     common = F.size(F.array_intersect("s", "t"))
-    return near.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b").filter(
-        common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("a", "b")
+    return far.join(own, "a").filter(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("a", "b")
+
+
+def _unconnected(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Those of the pairs whose ends the links do not connect yet (as far as a few steps show)."""
+    labels = near_labels(links, 3)
+    for side in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    return pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
 def _spread_blocks(rows: DataFrame) -> DataFrame:
@@ -260,7 +287,13 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
         F.count("*").alias("k"), *[F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"l{i}") for i, m in enumerate(masks)])
     leads = saved(leads.select("token", "k", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leads")), "leaders")
     pairs = saved(_pairs(members.join(leads, "token").select(F.col("id").alias("x"), F.explode("leads").alias("y")).filter("x <> y")), "pairs")
-    links = saved(_verified(pairs, table, docs, doc_id, text, size, percent), "links")
+    check = lambda some: saved(_exact(some, table, docs, doc_id, text, size, percent), "links")
+    near = _near(pairs, table, percent)
+    # One pair per set first: it settles most of a group of near copies, whose other pairs need no comparison then.
+    one = saved(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    links = check(one)
+    others = saved(_unconnected(near.join(one, ["a", "b"], "left_anti"), links), "other-pairs")
+    links = saved(links.unionByName(check(others)), "links")
     # Buckets where some pair met no leader.
     labels = near_labels(links, 3)
     open_buckets = leads.filter(F.col("k") - 1 > F.size("leads")).select("token")
@@ -275,7 +308,7 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     late = dealt.mapInArrow(_compare_blocks(percent), "x long, y long")
     late = saved(_pairs(late).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
     if not late.isEmpty():
-        links = saved(links.unionByName(_verified(late, table, docs, doc_id, text, size, percent)), "all-links")
+        links = saved(links.unionByName(check(_near(late, table, percent))), "all-links")
     return table.select("doc_id", "n", "id"), links
 
 
@@ -286,8 +319,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shingles, with fewer words the whole sequence.  Null, empty and blank texts have the empty
     set, link with nothing and are components of their own.  Equal sets share a component;
     repeated rows stay.  Rows with a null id have a component too; its number is the smallest
-    id that is not null (null where there is none).  A set that only rows with null ids have is
-    compared with no other set, since no text can be looked up for it.
+    id that is not null (null where there is none).
     """
     rows, links = similar_sets(docs, doc_id, text, size, percent)
     found = connected_components(links)
@@ -300,16 +332,41 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component: the one with the smallest id, and of equal rows one.
+    """One row of each component: the one with the smallest id, nulls last, and of equal rows one.
 
-    Rows with a null id cannot be told apart and all stay.
+    Rows without words link with nothing and all stay.  Rows whose id is null or repeated are told
+    apart by their sets, so an id with several texts loses only those that have a representative.
     """
-    groups = saved(jaccard_components(docs, doc_id, text, size, percent).filter("doc_id IS NOT NULL"), "groups")
-    losers = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    small = losers.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(losers) if small else losers, docs[doc_id] == F.col("_lost"), "left_anti")
-    again = saved(groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
-    if again.isEmpty():
+    rows, links = similar_sets(docs, doc_id, text, size, percent)
+    found = connected_components(links)
+    groups = saved(rows.filter("id IS NOT NULL").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    best = saved(groups.groupBy("component").agg(F.min(place).alias("best")), "best")
+    shared = saved(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_shared")), "shared-ids")
+    losers = groups.join(best, "component").filter("doc_id IS NOT NULL AND NOT best.doc_id <=> doc_id").select("doc_id")
+    gone = saved(losers.union(shared).distinct().select(F.col("doc_id").alias("_gone")), "gone")
+    fits = lambda df: F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+    own, gone_id, shared_id = free(docs, "_own", "_gone_id", "_shared_id")
+    named = docs.filter(docs[doc_id].isNotNull())
+    kept = named.join(fits(gone.select(F.col("_gone").alias(gone_id))), F.col(doc_id) == F.col(gone_id), "left_anti")
+    # What the id alone does not tell: rows of null and of repeated ids.
+    special = docs.filter(docs[doc_id].isNull())
+    if not shared.isEmpty():
+        special = special.unionByName(named.join(fits(shared.select(F.col("_shared").alias(shared_id))), F.col(doc_id) == F.col(shared_id), "left_semi"))
+    elif special.isEmpty():
         return kept
-    twice = docs[doc_id] == F.col("_again")
-    return kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates([doc_id, text]))
+    names = special.columns
+    kinds = T.StructType([*special.schema.fields, T.StructField(own, T.LongType())])
+
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, borders, values in _sets(batch, text, size):
+                sums = [mix64(np.array([mix64(values[a:b]).sum() ^ np.uint64(b - a)], np.uint64)).view(np.int64)[0] for a, b in zip(borders[:-1], borders[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(lo, hi - lo).columns, pa.array(sums, pa.int64(), mask=np.diff(borders) == 0)], names=[*names, own])
+
+    told = special.mapInArrow(with_set, kinds)
+    first, second = free(told, "_best_id", "_best_set")
+    winners = best.select(F.col("best.doc_id").alias(first), F.col("best.id").alias(second))
+    stay = told.join(winners, F.col(doc_id).eqNullSafe(F.col(first)) & (F.col(own) == F.col(second)), "left_semi").dropDuplicates([doc_id, own])
+    return kept.unionByName(told.filter(F.col(own).isNull()).unionByName(stay).select(*names))
