@@ -221,17 +221,16 @@ def test_near_constant_values_are_refined(spark):
 
 def test_no_value_is_shuffled(spark):
     df = spark.range(200_000, numPartitions=4).select(F.lit(1).alias("k"), (99 + F.col("id") / 200_000).alias("v"))
-    tracker = spark.sparkContext.statusTracker()
-    before = set(tracker.getJobIdsForGroup(None))
-    spark.sparkContext.setJobGroup("radix", "radix")
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
     exact_quantiles(df, ["k"], {"m": ("v", 0.5)}).collect()
-    spark.sparkContext.setJobGroup("", "")
-    stages = {s for j in tracker.getJobIdsForGroup("radix") if j not in before for s in tracker.getJobInfo(j).stageIds}
-    store = spark.sparkContext._jsc.sc().statusStore()
-    moved = []
-    for s in stages:
-        attempt = store.stageAttempt(s, 0, False, getattr(spark.sparkContext._jvm.java.util, "ArrayList")(), False, getattr(spark.sparkContext._gateway, "new_array")(spark.sparkContext._jvm.double, 0))._1()
-        moved.append(attempt.shuffleWriteRecords())
+    moved = [records for stage, records in stages().items() if stage not in before]
     # Bucket counts only: at most one refinement per task, never the values.
     assert 0 < max(moved) <= 4 * 4096
 
