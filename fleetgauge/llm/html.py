@@ -2,10 +2,14 @@
 
 The standard library's parser streams events; every block of text becomes a line with its
 characters and tags.  Ratios along the page are smoothed with a Gaussian and split in two
-clusters, and the innermost container that holds all text of the upper cluster is the content
-region.  All blocks of that region are the main text, short ones too, with the text outside it that
-is not made of links, and without what elements or class names mark as page furniture.  A class
-name marks nothing that holds the text of the upper cluster itself.
+clusters.  A container (div, section, cell, body) is content if it holds lines of the upper
+cluster; inside ``article`` and ``main`` elements that hold some, all is.  All blocks of content
+containers are the main text, short ones too, without page furniture.
+
+Furniture are some elements (``nav``, ``footer``, scripts), and blocks that class words, forms or
+a comment heading mark.  A mark stands back where the block holds most of the upper cluster.
+Comments are known by their word and by their place after article text, not by their size.
+Words of notices and links only lower the ratio of a line.
 """
 
 from __future__ import annotations
@@ -30,37 +34,64 @@ BLOCKS = frozenset(
     "tfoot th thead title tr ul".split())
 # Elements whose content is never article text.
 FURNITURE = frozenset(
-    "head title style script noscript template nav menu aside footer form button select option textarea input label iframe "
-    "object svg canvas audio video dialog fieldset legend".split())
+    "head title style script noscript template nav menu aside footer button select option textarea input iframe "
+    "object svg canvas audio video dialog".split())
 CONTAINERS = frozenset("body article main section div td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("style script noscript template svg iframe object canvas textarea".split())
-# Words of class, id and role values that mark furniture.
-MARKS = frozenset(
+# Words of class, id and role values that mark a block as furniture, whatever stands beside them.
+STRONG = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners promo promotion sponsor sponsored sponsors sidebar "
-    "sidebars side aside nav navbar navigation menu menus topbar toolbar breadcrumb breadcrumbs pager pagination header masthead "
-    "footer footnav copyright notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription "
-    "signup login form search searchbox comment comments commentlist disqus replies reply respond discussion share sharing social "
-    "related recommended recommendations widget widgets contentinfo complementary".split())
+    "sidebars nav navbar navigation menu menus topbar breadcrumb breadcrumbs pager pagination masthead footer footnav copyright "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe signup searchbox contentinfo complementary".split())
+# Words that do so alone or beside words without a meaning of their own, and not for paragraphs.
+WEAK = frozenset(
+    "header side aside toolbar notice notices alert subscription login form search share sharing social related recommended "
+    "recommendations widget widgets".split())
+COMMENTS = frozenset("comment comments commentlist commentaries disqus replies reply respond responses".split())
+PLAIN = frozenset(
+    "area articles bar block bottom box button buttons card container content entry footer inner left links list main module news "
+    "outer page panel post posts primary right secondary section site stories title top user view wrap wrapper".split())
+# Before such a word a mark says what a page has, not what a block is.
+QUALIFIERS = frozenset("has no not with without is hide show open closed".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADERS = frozenset(("header", "masthead"))
 # Elements that hold articles: class words say how they look, not what they are.
 _HOLDERS = frozenset("html body main article".split())
+# Wording of notices, and headings of reader comments.
+_NOTICE = re.compile(
+    r"\bcookies?\b|\u00a9|\(c\) ?[0-9]{4}|\bcopyright\b|all rights reserved|privacy policy|terms of (?:use|service)|"
+    r"\bnewsletter\b|subscribe (?:to|now)|sign up (?:to|for)|\badvertisement\b|\bsponsored\b", re.I)
+_COMMENT_HEADING = re.compile(
+    r"(?:[0-9]+ )?(?:reader |user )?(?:comments?|kommentare?|commentaires?|comentarios)(?: ?\([0-9]+\))?:?|(?:leave|post|add) a (?:reply|comment):?", re.I)
+NOTICE_SHARE = 0.1        # what wording of notices, links and labels leave of a line's ratio on the log scale
+FULL_RATIO = 80.0         # characters a tag from which a line is as dense as text can be
+ONE_CLUSTER = 0.55        # centres nearer to each other than this ratio are one cluster
 
 
 def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
 
 
-def _mark_words(attrs: list[tuple[str, str | None]]) -> tuple[set[str], bool]:
+def _mark_words(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[set[str], bool]:
     """Furniture words of the attributes, and whether one stands alone as a class, id or role."""
     found, alone = set(), False
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            low = value.lower()
-            found |= MARKS.intersection(_SPLIT.split(low))
-            alone = alone or not MARKS.isdisjoint(low.split())
+            for token in value.lower().split():
+                parts = {p for p in _SPLIT.split(token) if p and not p.isdigit()}
+                if not QUALIFIERS.isdisjoint(parts):
+                    continue
+                mine = parts & COMMENTS
+                if tag not in _HOLDERS:
+                    mine |= parts & STRONG
+                    if tag != "p" and parts & WEAK and parts <= WEAK | STRONG | PLAIN | COMMENTS:
+                        mine |= parts & WEAK
+                elif tag != "article":
+                    mine = set()
+                found |= mine
+                alone = alone or bool(mine) and token in mine
     return found, alone
 
 
@@ -79,22 +110,31 @@ class Line(NamedTuple):
     hard: bool
     mark: int
     links: int                           # characters inside links
+    labels: int                          # characters inside labels of form fields
     heading: str
     title: tuple[bool, int] | None       # hard and mark if this heading of a page header is the title
 
 
+class Mark(NamedTuple):
+    parent: int
+    comments: bool
+    alone: bool
+    line: int                            # first line inside
+    container: int                       # container around the marked element
+
+
 class LineParser(HTMLParser):
-    """Lines of a page, containers as (parent, tag), marked elements as (parent, alone, named container)."""
+    """Lines of a page, containers as (parent, tag), and marked elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parents, self.kinds = [-1], ["page"]
         self.named = [0]  # innermost article or main element around a container and itself, 0 for none
-        self.marks: list[tuple[int, bool, int]] = []
+        self.marks: list[Mark] = []
         self.open: list[Open] = []
         self.text: list[str] = []
-        self.tags = self.links = self.anchors = 0
+        self.tags = self.links = self.anchors = self.labels = self.fields = 0
 
     def _state(self) -> Open:
         return self.open[-1] if self.open else Open("", 0, False, -1, None)
@@ -108,8 +148,8 @@ class LineParser(HTMLParser):
                 heading = at.tag if at.tag in _HEADINGS else ""
                 if at.tag not in RAW:
                     title = at.outside if heading == "h1" and not self._in_article() else None
-                    self.lines.append(Line(text, self.tags, at.container, at.hard, at.mark, self.links, heading, title))
-        self.tags = self.links = 0
+                    self.lines.append(Line(text, self.tags, at.container, at.hard, at.mark, self.links, self.labels, heading, title))
+        self.tags = self.links = self.labels = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -122,13 +162,14 @@ class LineParser(HTMLParser):
             return
         if tag == "a":
             self.anchors += 1
-        hard = tag in FURNITURE or tag == "header"
-        if tag not in BLOCKS and not hard and not attrs:
-            return  # inline markup without attributes changes nothing
-        words, alone = _mark_words(attrs) if attrs and tag not in _HOLDERS else (None, False)
-        hard = hard or bool(attrs) and _hidden(attrs)
-        if tag not in BLOCKS and not hard and not words:
-            return
+        elif tag == "label":
+            self.fields += 1
+        hard = tag in FURNITURE or tag == "header" or bool(attrs) and _hidden(attrs)
+        words, alone = _mark_words(tag, attrs) if attrs and tag not in _HEADINGS else (set(), False)
+        if tag not in BLOCKS and not hard and not (alone and not STRONG.isdisjoint(words)):
+            return  # inline markup changes nothing, unless one strong word is all its name
+        if tag in ("form", "fieldset"):
+            words = words | {tag}
         if tag not in BLOCKS:
             self._end_line()
         at = self._state()
@@ -139,7 +180,7 @@ class LineParser(HTMLParser):
         elif hard or words:
             outside = None
         if words:
-            self.marks.append((mark, alone, self.named[container]))
+            self.marks.append(Mark(mark, not COMMENTS.isdisjoint(words), alone, len(self.lines), container))
             mark = len(self.marks) - 1
         hard = hard or at.hard
         if tag in _HEADINGS and outside and not words and self._in_article():
@@ -170,6 +211,8 @@ class LineParser(HTMLParser):
             self._end_line()
         elif tag == "a":
             self.anchors = max(self.anchors - 1, 0)
+        elif tag == "label":
+            self.fields = max(self.fields - 1, 0)
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at].tag == tag:
                 if tag not in BLOCKS:
@@ -184,6 +227,8 @@ class LineParser(HTMLParser):
         self.text.append(data)
         if self.anchors:
             self.links += len(data.strip())
+        if self.fields:
+            self.labels += len(data.strip())
 
     def finish(self) -> None:
         self.close()
@@ -208,7 +253,26 @@ def _upper_cluster(values: np.ndarray) -> np.ndarray:
         if (low, high) == (lo, hi):
             break
         lo, hi = low, high
-    return values > (lo + hi) / 2
+    return values > (lo + hi) / 2 if lo < ONE_CLUSTER * hi else np.ones(len(values), bool)
+
+
+def core_lines(lines: list[Line]) -> np.ndarray:
+    """Whether each line is in the upper cluster of the smoothed ratios.
+
+    Furniture elements take no part, and lines of notices or links are core only where nothing else is.
+    """
+    core = np.zeros(len(lines), bool)
+    at = np.array([n for n, line in enumerate(lines) if not line.hard], np.int64)
+    if len(at):
+        lowered = np.array([_lowered(lines[n]) for n in at])
+        ratio = np.array([min(len(lines[n].text) / max(lines[n].tags, 1), FULL_RATIO) for n in at])
+        upper = _upper_cluster(_smooth(np.log1p(ratio) * np.where(lowered, NOTICE_SHARE, 1.0), SIGMA))
+        core[at] = upper & ~lowered if (upper & ~lowered).any() else upper
+    return core
+
+
+def _lowered(line: Line) -> bool:
+    return line.links * 2 > len(line.text) or line.labels * 2 > len(line.text) or _NOTICE.search(line.text) is not None
 
 
 def _up(sums: list[int], parents: list[int]) -> list[int]:
@@ -220,42 +284,81 @@ def _up(sums: list[int], parents: list[int]) -> list[int]:
 
 
 def _furniture_marks(parser: LineParser, core: np.ndarray) -> list[bool]:
-    """Whether each marked element is furniture: it holds no more of the core than what is not furniture around it.
+    """Whether each marked element is furniture.
 
-    Around it is its article, or the page outside articles.  The largest element is judged first,
-    and what is not furniture counts for the next ones.
+    Comments are if text of the core stands before them, any other one unless it holds more
+    than half of the core that is no comment; one marked by a word alone also beside other core.
     """
-    marks = parser.marks
-    direct, named, scopes = [0] * len(marks), [0] * len(marks), {m[2] for m in marks} | {0}
-    plain, names = dict.fromkeys(scopes, 0), 0
-    around = [[n] if n in scopes else [] for n in range(len(parser.kinds))]
-    for n in range(1, len(around)):
-        around[n] = around[n] + around[parser.parents[n]]
-    for line, chosen in zip(parser.lines, core):
-        if line.hard:
-            continue
-        in_article = len(line.text) if parser.named[line.container] else 0
-        names += in_article
-        if line.mark >= 0:
-            direct[line.mark] += len(line.text) if chosen else 0
-            named[line.mark] += in_article
-        elif chosen:
-            for n in around[line.container]:
-                plain[n] += len(line.text)
-    parents = [m[0] for m in marks]
-    total, named = _up(direct.copy(), parents), _up(named, parents)
-    furniture = [True] * len(marks)
-    for n in sorted(range(len(marks)), key=lambda n: (-total[n], n)):
-        parent, alone, scope = marks[n]
-        if parent >= 0 and furniture[parent] or alone and not scope and names and not named[n]:
-            continue
-        if total[n] > plain[scope]:
-            furniture[n] = False
-            for at in around[scope]:
-                plain[at] += direct[n]
+    lines, marks = parser.lines, parser.marks
+    parents = [m.parent for m in marks]
+    furniture = [False] * len(marks)
+    text_at = 0  # first line of core text outside comments, as far as the page was read
+    for n, mark in enumerate(marks):
+        while text_at < mark.line and not (core[text_at] and (lines[text_at].mark < 0 or not furniture[lines[text_at].mark])):
+            text_at += 1
+        if mark.parent >= 0 and furniture[mark.parent]:
+            furniture[n] = True
+        elif mark.comments:
+            furniture[n] = text_at < mark.line
+    direct, all_core, named_core = [0] * len(marks), 0, 0
+    held = [0] * len(marks)
+    for line, chosen in zip(lines, core):
+        if chosen and not line.hard and (line.mark < 0 or not furniture[line.mark]):
+            named = len(line.text) if parser.named[line.container] else 0
+            all_core += len(line.text)
+            named_core += named
+            if line.mark >= 0:
+                direct[line.mark] += len(line.text)
+                held[line.mark] += named
+    total, held = _up(direct, parents), _up(held, parents)
+    for n, mark in enumerate(marks):
+        if mark.parent >= 0 and furniture[mark.parent]:
+            furniture[n] = True
+        elif not mark.comments and not furniture[n]:
+            furniture[n] = total[n] * 2 <= all_core or mark.alone and total[n] < all_core and (named_core > 0 and not held[n])
     return furniture
 
 
+def _content(parser: LineParser, kept: list[bool], core: np.ndarray) -> tuple[list[bool], list[bool]]:
+    """Whether each container is content, and whether it lies in an article that is content as a whole."""
+    parents, kinds = parser.parents, parser.kinds
+    weight, some = [0] * len(kinds), [0] * len(kinds)
+    for line, k, chosen in zip(parser.lines, kept, core):
+        some[line.container] += k
+        weight[line.container] += len(line.text) if k and chosen else 0
+    all_core = sum(weight)
+    weight, some = _up(weight, parents), _up(some, parents)
+    named = [n for n, kind in enumerate(kinds) if kind in ("article", "main") and some[n]]
+    named = {n for n in named if weight[n]} or set(named)
+    outer = {n for n in named if parser.named[parents[n]] not in named}
+    inside_core = sum(weight[n] for n in outer)
+    # A main element with articles of its own is judged by its containers.
+    split = {parser.named[parents[n]] for n in named}
+    whole = [n in named and not (kinds[n] == "main" and n in split) for n in range(len(kinds))]
+    within = [n in outer for n in range(len(kinds))]
+    for n in range(1, len(kinds)):
+        whole[n] = whole[n] or whole[parents[n]]
+        within[n] = within[n] or within[parents[n]]
+    anywhere = not named or all_core - inside_core > 2 * inside_core
+    return [whole[n] or weight[n] > 0 and (anywhere or within[n]) for n in range(len(kinds))], whole
+
+
+def _after_comment_headings(parser: LineParser, kept: list[bool], core: np.ndarray) -> None:
+    """Takes out what follows a heading of comments in its container, once there was core text."""
+    lines, parents = parser.lines, parser.parents
+    closed, seen = set(), False
+    for n, line in enumerate(lines):
+        at = line.container
+        while at >= 0 and at not in closed:
+            at = parents[at]
+        if at >= 0:
+            kept[n] = False
+        elif kept[n] and seen and line.heading and _COMMENT_HEADING.fullmatch(line.text):
+            closed.add(line.container)
+            kept[n] = False
+        seen = seen or kept[n] and bool(core[n])
+
+
 def main_text(html: str) -> str:
     """Main text of a page: blocks in page order joined by a line end; empty where there is none."""
     if not html or html.isspace():
@@ -266,27 +369,31 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if all(line.hard for line in lines):
         return ""
-    ratio = np.array([0.0 if line.hard else len(line.text) / max(line.tags, 1) for line in lines])
-    core = _upper_cluster(_smooth(np.log1p(ratio), SIGMA))
+    core = core_lines(lines)
     furniture = _furniture_marks(parser, core)
     good = lambda hard, mark: not hard and (mark < 0 or not furniture[mark])
     kept = [good(line.hard, line.mark) for line in lines]
     if not any(kept):
         kept = [not line.hard for line in lines]
-    if not any(k and line.heading == "h1" for k, line in zip(kept, lines)) and not {"article", "main"} & set(parser.kinds):
-        kept = [k or line.title is not None and good(*line.title) for k, line in zip(kept, lines)]
-    chosen = [n for n, k in enumerate(kept) if k and core[n]] or [n for n, k in enumerate(kept) if k]
-    # Innermost container of all of the core.
-    counts = [0] * len(parser.kinds)
-    for n in chosen:
-        counts[lines[n].container] += 1
-    region = max(n for n, count in enumerate(_up(counts, parser.parents)) if count == len(chosen))
-    inside = [n == region for n in range(len(counts))]
-    for n in range(1, len(counts)):
-        inside[n] = inside[n] or inside[parser.parents[n]]
-    return "\n".join(
-        line.text for n, (line, k) in enumerate(zip(lines, kept))
-        if k and (inside[line.container] or line.links * 2 <= len(line.text) or line.heading and n < chosen[-1]))
+    _after_comment_headings(parser, kept, core)
+    if not any(k and c for k, c in zip(kept, core)):
+        core = np.array(kept)
+    content, whole = _content(parser, kept, core)
+    named = bool({"article", "main"} & set(parser.kinds))
+    chosen = []
+    for line, k in zip(lines, kept):
+        loose = parser.kinds[line.container] in ("page", "body", "main") and not whole[line.container]
+        chosen.append(k and content[line.container] and not (loose and _lowered(line) and not line.heading) and line.labels < len(line.text))
+    # Headings beside content: one right before it, and the page's title if there is no other.
+    for n in range(len(lines) - 2, -1, -1):
+        if kept[n] and lines[n].heading and not named:
+            chosen[n] = chosen[n] or chosen[n + 1]
+    if True in chosen and not any(c and line.heading == "h1" for c, line in zip(chosen, lines)):
+        first = chosen.index(True)
+        for n, line in enumerate(lines[:first]):
+            if line.heading == "h1" and (kept[n] or not named and line.title is not None and good(*line.title)):
+                chosen[n] = True
+    return "\n".join(line.text for line, c in zip(lines, chosen) if c)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
