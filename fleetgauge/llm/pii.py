@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,7 @@ REACH = 2         # plain words on each side of a marked word that belong to its
 TRAIN_ROWS = 600  # bound of the labelled table
 EPOCHS = 150
 BATCH = 4096      # sequences decoded at once
+PIECE = 4096      # words of one long sequence whose scores are held at once
 
 # The contract's patterns.  E-mail is matched from its at sign, so long runs without one cost nothing.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -142,12 +144,13 @@ def labelled_rows(limit: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[list[st
     ]
     rows = []
     for at in range(limit):
+        # Three rows of five hold personal data; every form takes its turn.
         if at % 5 < 3:
-            kind, make = personal[at % len(personal)]
+            kind, make = personal[(at // 5 * 3 + at % 5) % len(personal)]
             core = make()
             tags = [f"{'B' if i == 0 else 'I'}-{kind}" for i in range(len(core))]
         else:
-            core = other[at % len(other)]()
+            core = other[(at // 5 * 2 + at % 5 - 3) % len(other)]()
             tags = ["O"] * len(core)
         before, after = fillers(random.integers(0, 3)), fillers(random.integers(0, 3))
         if random.integers(0, 3) == 0:
@@ -211,6 +214,41 @@ def train(rows: list[tuple[list[str], list[str]]], epochs: int = EPOCHS, rate: f
     return emit, move
 
 
+def _scores(feats: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Sum of the weights of all features, one feature at a time."""
+    total = emit[feats[..., 0]]
+    for k in range(1, feats.shape[-1]):
+        total += emit[feats[..., k]]
+    return total
+
+
+def viterbi_long(size: int, words_at: Callable[[int, int], list[str]], emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Best labels of one sequence of any length, read and scored in pieces.
+
+    The best scores are carried from piece to piece; one byte a word and label stays for the way back.
+    """
+    labels = len(LABELS)
+    back = np.empty((size, labels), np.int8)
+    best = np.zeros(0)
+    for lo in range(0, size, PIECE):
+        hi = min(lo + PIECE, size)
+        first = max(lo - 1, 0)  # a neighbour on each side gives the words at the borders their features
+        score = _scores(features(words_at(first, min(hi + 1, size)))[lo - first:hi - first], emit)
+        for t in range(lo, hi):
+            if t == 0:
+                best = score[0]
+                continue
+            paths = best[:, None] + move
+            back[t] = paths.argmax(axis=0)
+            best = paths.max(axis=0) + score[t - lo]
+    path = np.empty(size, np.int8)
+    label = int(best.argmax())
+    for t in range(size - 1, -1, -1):
+        path[t] = label
+        label = int(back[t, label]) if t else label
+    return path
+
+
 def viterbi(sequences: list[np.ndarray], emit: np.ndarray, move: np.ndarray) -> list[np.ndarray]:
     """Best label numbers of each sequence, many sequences at a time."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
@@ -222,7 +260,7 @@ def viterbi(sequences: list[np.ndarray], emit: np.ndarray, move: np.ndarray) ->
         last = min(first + max(1, min(BATCH, BATCH * 16 // max(longest, 1))), len(order))
         some = order[first:last]
         feats, there = _padded([sequences[i] for i in some])
-        score = emit[feats].sum(axis=2)
+        score = _scores(feats, emit)
         best, back = score[:, 0], []
         for t in range(1, score.shape[1]):
             paths = best[:, :, None] + move[None]
@@ -279,6 +317,39 @@ def _runs(marked: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, end
 
 
+def _together(ranges: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of at most ``PIECE`` words in batches of bounded size, longer ones alone."""
+    held: list[tuple[int, int]] = []
+    size = 0
+    for a, b in ranges:
+        if held and (b - a > PIECE or len(held) == BATCH or size + b - a > BATCH * 4):
+            yield held
+            held, size = [], 0
+        if b - a > PIECE:
+            yield [(a, b)]
+        else:
+            held.append((a, b))
+            size += b - a
+    if held:
+        yield held
+
+
+def _free_spans(raw: np.ndarray, more: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of ``more`` (byte positions, ascending) that touch none of ``base``, as code points."""
+    borders = [b for _, b, _ in base]
+    reach = np.maximum.accumulate([f for _, _, f in base]) if base else []
+    out, at, chars = [], 0, 0
+    for kind, s, e in more:
+        # Code points are counted once along the text.
+        chars += int(np.count_nonzero((raw[at:s] & 0xC0) != 0x80))
+        end = chars + int(np.count_nonzero((raw[s:e] & 0xC0) != 0x80))
+        at = s
+        before = bisect_left(borders, end)
+        if before == 0 or reach[before - 1] <= chars:
+            out.append((kind, chars, end))
+    return out
+
+
 def field_spans(data: np.ndarray, offsets: np.ndarray, emit: np.ndarray, move: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
     """Row -> (kind, byte start, byte end) of what the field finds and the conditions confirm."""
     rows, starts, ends, _ = words(data, offsets, NOT_SPACE, None)
@@ -289,9 +360,12 @@ def field_spans(data: np.ndarray, offsets: np.ndarray, emit: np.ndarray, move: n
     ranges = list(_runs(marked, rows))
     raw = lambda a, b: data[a:b].tobytes().decode()
     found: dict[int, list[tuple[str, int, int]]] = {}
-    for at in range(0, len(ranges), BATCH):
-        some = ranges[at:at + BATCH]
-        paths = viterbi([features([raw(starts[i], ends[i]) for i in range(a, b)]) for a, b in some], emit, move)
+    texts = lambda a, b: [raw(starts[i], ends[i]) for i in range(a, b)]
+    for some in _together(ranges):
+        if some[0][1] - some[0][0] > PIECE:
+            paths = [viterbi_long(b - a, lambda i, j, a=a: texts(a + i, a + j), emit, move) for a, b in some]
+        else:
+            paths = viterbi([features(texts(a, b)) for a, b in some], emit, move)
         for (a, b), path in zip(some, paths):
             i = 0
             while i < len(path):
@@ -338,14 +412,9 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                         base_rows.append([])
                         all_rows.append([])
                         continue
-                    raw = data[cut[row]:cut[row + 1]].tobytes()
-                    base = base_spans(raw.decode())
-                    more = []
-                    for kind, s, e in extra.get(row, []):
-                        start = len(raw[:s - cut[row]].decode())
-                        end = start + len(raw[s - cut[row]:e - cut[row]].decode())
-                        if all(end <= b or start >= f for _, b, f in base):
-                            more.append((kind, start, end))
+                    raw = data[cut[row]:cut[row + 1]]
+                    base = base_spans(raw.tobytes().decode())
+                    more = _free_spans(raw, [(kind, s - cut[row], e - cut[row]) for kind, s, e in extra.get(row, [])], base)
                     base_rows.append(base)
                     all_rows.append(sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0]))))
             as_rows = lambda lists: pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in lists], span)
