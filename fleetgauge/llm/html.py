@@ -63,6 +63,8 @@ _HOLDERS = frozenset("html body main article".split())
 _NOTICE = re.compile(
     r"\bcookies?\b|\u00a9|\(c\) ?[0-9]{4}|\bcopyright\b|all rights reserved|privacy policy|terms of (?:use|service)|"
     r"\bnewsletter\b|subscribe (?:to|now)|sign up (?:to|for)|\badvertisement\b|\bsponsored\b", re.I)
+# Every wording holds one of these, which are found faster.
+_NOTICE_PARTS = ("cookie", "\u00a9", "(c)", "copyright", "reserved", "policy", "terms of", "newsletter", "subscribe", "sign up", "advertisement", "sponsored")
 _COMMENT_HEADING = re.compile(
     r"(?:[0-9]+ )?(?:reader |user )?(?:comments?|kommentare?|commentaires?|comentarios)(?: ?\([0-9]+\))?:?|(?:leave|post|add) a (?:reply|comment):?", re.I)
 NOTICE_SHARE = 0.1        # what wording of notices, links and labels leave of a line's ratio on the log scale
@@ -272,7 +274,10 @@ def core_lines(lines: list[Line]) -> np.ndarray:
 
 
 def _lowered(line: Line) -> bool:
-    return line.links * 2 > len(line.text) or line.labels * 2 > len(line.text) or _NOTICE.search(line.text) is not None
+    if line.links * 2 > len(line.text) or line.labels * 2 > len(line.text):
+        return True
+    low = line.text.lower()
+    return any(part in low for part in _NOTICE_PARTS) and _NOTICE.search(low) is not None
 
 
 def _up(sums: list[int], parents: list[int]) -> list[int]:
