@@ -2,8 +2,9 @@
 
 Counts per document come from one vectorised pass over whole texts.  Six of their ratios form a
 vector per document; per language and source, per language and over all documents the
-minimum-covariance-determinant estimate of its centre and spread is found by concentration steps,
-each one aggregation over all documents, and documents with a large Mahalanobis distance are rejected.
+minimum-covariance-determinant estimate of its centre and spread is found by concentration steps
+from several starts, each one aggregation over all documents.  Estimates of sources are drawn
+towards those of languages and of all, and documents with a large Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,13 +23,16 @@ from fleetgauge.llm.words import EXACT_VALUES, NOT_SPACE, PIECE_BYTES, mix64, ro
 
 WINDOW_WORDS = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-GROUP_ROWS = 200      # a group with fewer rows takes the estimate of its language, then of all
+PRIOR_ROWS = 200      # rows that the estimate of the level above counts for
 COVERAGE = 0.75       # share of rows in a concentration step
-STEPS = 4
+TOLERANCE = 1e-3      # fall of the logarithm of the determinant that ends the steps
+MOST_STEPS = 30
+RIDGE = 0.1           # part of the identity in the correlations of a start
 TAIL = 1e-3           # chance of a larger distance under normality
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "upper", "loops")
 # Smallest spread that counts, in units of the transformed features: below it ratios say nothing.
 FLOORS = (0.25, 0.06, 0.30, 0.30, 0.10, 0.10)
+SIZE = len(FEATURES)
 BROADCAST_MODELS = 10_000
 PARTS = 16            # tasks among which rows of one estimate are dealt where models are not broadcast
 
@@ -141,22 +146,22 @@ def _chi2_quantile(chance_above: float, p: int) -> float:
     return hi
 
 
-CUTOFF = _chi2_quantile(TAIL, len(FEATURES))
+CUTOFF = _chi2_quantile(TAIL, SIZE)
 
 
-def _with_model(rows: DataFrame, models: DataFrame) -> DataFrame:
+def _with_model(rows: DataFrame, models: DataFrame, key: str, how: str) -> DataFrame:
     if models.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS:
-        return rows.join(F.broadcast(models), "grp", "left")
+        return rows.join(F.broadcast(models), key, how)
     # The estimate of a language or of all has far more rows than that of a source.
     dealt = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
     copies = models.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("part", F.col("part").cast("long"))
-    return dealt.join(copies, ["grp", "part"], "left").drop("part")
+    return dealt.join(copies, [key, "part"], how).drop("part")
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance from ``centre`` and the whitening matrix ``white`` (lower triangle by rows)."""
     total, at = F.lit(0.0), 0
-    for i in range(len(FEATURES)):
+    for i in range(SIZE):
         y = F.lit(0.0)
         for j in range(i + 1):
             y = y + F.element_at("white", at + 1) * (F.col(f"x{j}") - F.element_at("centre", j + 1))
@@ -165,9 +170,36 @@ def _distance() -> Column:
     return total
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """First estimate: medians and half the middle half of each coordinate, from histograms of 1/256."""
-    bins = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(f"x{i}") * 256).cast("long").alias("b")) for i in range(len(FEATURES))]))
+MOMENTS = ["k", *[f"s{i}" for i in range(SIZE)], *[f"s{i}_{j}" for i in range(SIZE) for j in range(i + 1)]]
+
+
+def _moments(weight: Column, x: list[Column]) -> list[Column]:
+    sums = [weight, *[weight * v for v in x], *[weight * x[i] * x[j] for i in range(SIZE) for j in range(i + 1)]]
+    return [F.sum(v).alias(name) for v, name in zip(sums, MOMENTS)]
+
+
+def _mean_and_spread(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    mean = np.array([row[f"s{i}"] for i in range(SIZE)]) / row["k"]
+    spread = np.zeros((SIZE, SIZE))
+    for i in range(SIZE):
+        for j in range(i + 1):
+            spread[i, j] = spread[j, i] = row[f"s{i}_{j}"] / row["k"] - mean[i] * mean[j]
+    return mean, spread
+
+
+def _lower(matrix: np.ndarray) -> list[float]:
+    return matrix[np.tril_indices(SIZE)].tolist()
+
+
+def _square(lower: list[float]) -> np.ndarray:
+    matrix = np.zeros((SIZE, SIZE))
+    matrix[np.tril_indices(SIZE)] = lower
+    return matrix
+
+
+def _scales(rows: DataFrame) -> DataFrame:
+    """Median ``m`` and inverse scale ``w`` (from the middle half) of each coordinate, from histograms of 1/256."""
+    bins = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(f"x{i}") * 256).cast("long").alias("b")) for i in range(SIZE)]))
     counts = rows.select("grp", bins.alias("e")).groupBy("grp", "e.i", "e.b").agg(F.count("*").alias("k"))
     upto = Window.partitionBy("grp", "i").orderBy("b")
     share = F.sum("k").over(upto) / F.sum("k").over(Window.partitionBy("grp", "i"))
@@ -176,90 +208,145 @@ def _start(rows: DataFrame) -> DataFrame:
     floors = F.element_at(F.array(*[F.lit(f) for f in FLOORS]), F.col("i") + 1)
     wide = spots.select("grp", "i", "m", (1 / F.greatest((F.col("hi") - F.col("lo")) / 1.349, floors)).alias("w"))
     packed = wide.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", "m", "w"))).alias("v"))  # one entry per feature
-    p = len(FEATURES)
-    return packed.select("grp", F.transform("v", lambda v: v["m"]).alias("centre"), F.array(*[
-        F.when(F.lit(i == j), F.element_at("v", i + 1)["w"]).otherwise(F.lit(0.0)) for i in range(p) for j in range(i + 1)]).alias("white"))
+    return packed.select("grp", F.transform("v", lambda v: v["m"]).alias("m"), F.transform("v", lambda v: v["w"]).alias("w"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, centre, white): the starts of every estimate.
+
+    0: coordinates scaled one by one; 1: correlations of their hyperbolic tangents; 2: of their
+    spatial signs; 3: of rows weighted by 1 / (1 + squared norm), with the weighted centre.
+    """
+    scales = saved(_scales(rows), "scales")
+    z = [(F.col(f"x{i}") - F.element_at("m", i + 1)) * F.element_at("w", i + 1) for i in range(SIZE)]
+    scaled = _with_model(rows, scales, "grp", "inner").select("grp", *[v.alias(f"z{i}") for i, v in enumerate(z)])
+    z = [F.col(f"z{i}") for i in range(SIZE)]
+    norm = sum((v * v for v in z[1:]), z[0] * z[0])
+    kinds = [
+        (1, F.lit(1.0), [F.tanh(v) for v in z]), (2, F.lit(1.0), [F.when(norm > 0, v / F.sqrt(norm)).otherwise(0.0) for v in z]), (3, 1 / (1 + norm), z)]
+    kinds = F.array(*[F.struct(F.lit(n).alias("start"), weight.alias("v"), *[x.alias(f"u{i}") for i, x in enumerate(u)]) for n, weight, u in kinds])
+    shaped = scaled.select("grp", F.explode(kinds).alias("e")).select("grp", "e.*")
+    sums = shaped.groupBy("grp", "start").agg(*_moments(F.col("v"), [F.col(f"u{i}") for i in range(SIZE)]))
+
+    def shape(frames):
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                median, inverse = np.array(row["m"]), np.array(row["w"])
+                mean, spread = _mean_and_spread(row)
+                size = np.sqrt(np.maximum(np.diag(spread), 0))
+                flat = size < 1e-9
+                spread = spread / np.outer(np.where(flat, 1, size), np.where(flat, 1, size))
+                spread[flat, :] = spread[:, flat] = 0
+                np.fill_diagonal(spread, 1)
+                white = np.linalg.inv(np.linalg.cholesky((1 - RIDGE) * spread + RIDGE * np.eye(SIZE))) * inverse
+                centre = median + mean / inverse if row["start"] == 3 else median
+                out.append((row["grp"], row["start"], centre.tolist(), _lower(white)))
+                if row["start"] == 1:
+                    out.append((row["grp"], 0, median.tolist(), _lower(np.diag(inverse))))
+            yield pd.DataFrame(out, columns=["grp", "start", "centre", "white"])
+
+    return sums.join(scales, "grp").mapInPandas(shape, "grp string, start int, centre array<double>, white array<double>")
 
 
 def _step(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """One concentration step: centre and spread of the ``COVERAGE`` share of rows nearest to the last estimate.
+    """One concentration step of every (grp, start), all in one pass over the rows.
 
-    The border is a distance bin of 1/64 octave, taken whole, so ties need no order.
+    Centre and spread of the ``COVERAGE`` share of rows nearest to the last estimate, and ``logdet``,
+    the logarithm of the determinant of that spread with ``FLOORS`` added.  The border is a distance
+    bin of 1/64 octave, taken whole, so ties need no order.
     """
-    p = len(FEATURES)
-    placed = _with_model(rows, models).withColumn("bin", F.floor(F.log2(_distance() + 2.0 ** -20) * 64).cast("long"))
-    firsts = [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)]
-    seconds = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)]
-    binned = placed.groupBy("grp", "bin").agg(F.count("*").alias("k"), *firsts, *seconds)
-    before = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    binned = binned.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0))).withColumn("all", F.sum("k").over(Window.partitionBy("grp")))
-    inner = binned.filter(F.col("before") < F.col("all") * COVERAGE)
-    names = ["k", *[f"s{i}" for i in range(p)], *[f"s{i}_{j}" for i in range(p) for j in range(i + 1)]]
-    sums = inner.groupBy("grp").agg(*[F.sum(c).alias(c) for c in names])
+    placed = _with_model(rows, models, "grp", "inner").withColumn("bin", F.floor(F.log2(_distance() + 2.0 ** -20) * 64).cast("long"))
+    binned = placed.groupBy("grp", "start", "bin").agg(*_moments(F.lit(1.0), [F.col(f"x{i}") for i in range(SIZE)]))
+    group = Window.partitionBy("grp", "start")
+    before = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    binned = binned.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0.0))).withColumn("all", F.sum("k").over(group))
+    sums = binned.filter(F.col("before") < F.col("all") * COVERAGE).groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in MOMENTS])
     # Spread of the middle part of a normal distribution, brought back to that of the whole.
-    reach = _chi2_quantile(1 - COVERAGE, p)
-    factor = COVERAGE / _chi2_cdf(reach, p + 2)
+    factor = COVERAGE / _chi2_cdf(_chi2_quantile(1 - COVERAGE, SIZE), SIZE + 2)
 
     def estimate(frames):
         for frame in frames:
-            centres, whites = [], []
+            out = []
             for row in frame.to_dict("records"):
-                mean = np.array([row[f"s{i}"] for i in range(p)]) / row["k"]
-                cov = np.zeros((p, p))
-                for i in range(p):
-                    for j in range(i + 1):
-                        cov[i, j] = cov[j, i] = row[f"s{i}_{j}"] / row["k"] - mean[i] * mean[j]
-                cov = cov * factor + np.diag(np.square(FLOORS))
-                white = np.linalg.inv(np.linalg.cholesky(cov))
-                centres.append(mean.tolist())
-                whites.append([white[i, j] for i in range(p) for j in range(i + 1)])
-            yield frame[["grp"]].assign(centre=centres, white=whites)
+                mean, spread = _mean_and_spread(row)
+                root = np.linalg.cholesky(spread * factor + np.diag(np.square(FLOORS)))
+                out.append((row["grp"], row["start"], mean.tolist(), _lower(np.linalg.inv(root)), 2 * float(np.log(np.diag(root)).sum())))
+            yield pd.DataFrame(out, columns=["grp", "start", "centre", "white", "logdet"])
 
-    return sums.mapInPandas(estimate, "grp string, centre array<double>, white array<double>")
+    return sums.mapInPandas(estimate, "grp string, start int, centre array<double>, white array<double>, logdet double")
+
+
+def least_determinants(rows: DataFrame) -> DataFrame:
+    """(grp, start, centre, white, logdet) with the least determinant found for every ``grp`` of rows (grp, x0, x1, ...).
+
+    All starts take two concentration steps, the one with the least determinant goes on until its
+    determinant falls by no more than ``TOLERANCE`` (``MOST_STEPS`` steps at most).  ``rows`` is read
+    once per step.
+    """
+    tried = saved(_step(rows, saved(_step(rows, saved(_starts(rows), "starts")), "mcd")), "mcd")
+    # Starts that end in the same estimate differ by rounding only.
+    place = F.struct(F.round("logdet", 6), "start")
+    best = tried.groupBy("grp").agg(F.min_by(F.struct("start", "centre", "white", "logdet"), place).alias("b"))
+    best = saved(best.select("grp", "b.*", F.lit(True).alias("open")), "best")
+    for _ in range(MOST_STEPS):
+        after = _step(rows, best.filter("open").select("grp", "start", "centre", "white"))
+        after = after.select("grp", *[F.col(c).alias(f"next_{c}") for c in ("centre", "white", "logdet")])
+        fell = F.coalesce(F.col("next_logdet") < F.col("logdet") - TOLERANCE, F.lit(False))
+        best = saved(best.join(after, "grp", "left").select(
+            "grp", "start", *[F.when(fell, F.col(f"next_{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "white", "logdet")], fell.alias("open")), "best")
+        if best.filter("open").isEmpty():
+            break
+    return best.drop("open")
 
 
 def _label(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def fit(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(g2, grp) of every language and source (``g1``, ``g2``), and (grp, centre, white) of every estimate.
+def fit(counted: DataFrame) -> DataFrame:
+    """(g2, centre, white) of every language and source (``g1``, ``g2``) with a good document.
 
     ``counted`` has the columns of ``text_counts``, base_failed, g1 and g2; it is read several
-    times.  Every estimate is made from all good documents of its source, of its language or of the
-    whole input, and none from fewer than ``GROUP_ROWS``; those that no group takes are left out.
+    times.  Estimates are made from all good documents of every source, of every language and of
+    the whole input.  Each level is drawn towards the one above by the weight of ``PRIOR_ROWS``
+    rows: a source of k rows counts k / (k + PRIOR_ROWS), its language the rest, at every size.
     """
     good = counted.filter(~F.col("base_failed"))
-    language = Window.partitionBy("g1")
-    sizes = good.groupBy("g1", "g2").agg(F.count("*").alias("k")).withColumns({"k1": F.sum("k").over(language), "least": F.min("k").over(language)})
-    sizes = saved(sizes, "sizes")
-    total, least = sizes.agg(F.sum("k"), F.min("k1")).first()
-    own, shared = F.col("k") >= GROUP_ROWS, F.col("k1") >= GROUP_ROWS
-    fitted = F.array_compact(F.array(
-        F.when(own, F.col("g2")), F.when(shared & (F.col("least") < GROUP_ROWS), F.col("g1")), F.when(F.lit((least or 0) < GROUP_ROWS), F.lit("all"))))
-    groups = saved(sizes.select("g2", F.when(own, F.col("g2")).when(shared, F.col("g1")).otherwise(F.lit("all")).alias("grp"), fitted.alias("fitted")), "groups")
-    features = good.select("g2", *[x.alias(f"x{i}") for i, x in enumerate(_features())])
-    rows = _on_group(features, groups.select("g2", "fitted")).withColumn("grp", F.explode("fitted")).drop("fitted")
-    groups, models = groups.drop("fitted"), _start(rows)
-    if (total or 0) < GROUP_ROWS:
-        return groups, models.limit(0)
-    models = saved(models, "mcd")
-    for _ in range(STEPS):
-        models = saved(_step(rows, models), "mcd")
-    return groups, models
-
-
-def _on_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    few = groups.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
-    return rows.join(F.broadcast(groups) if few else groups, "g2", "left")
-
-
-def judge(counted: DataFrame, groups: DataFrame, models: DataFrame) -> DataFrame:
-    """Add distance (null without an estimate) and kept."""
+    levels = F.explode(F.array("g2", "g1", F.lit("all")))
+    rows = good.select(levels.alias("grp"), *[x.alias(f"x{i}") for i, x in enumerate(_features())])
+    best = least_determinants(rows)
+    sizes = good.groupBy("g1", "g2").agg(F.count("*").alias("k"))
+    sizes = sizes.withColumn("k1", F.sum("k").over(Window.partitionBy("g1")))
+    level = lambda n, key: best.select(F.col("grp").alias(key), F.col("centre").alias(f"centre{n}"), F.col("white").alias(f"white{n}"))
+    known = sizes.join(level(2, "g2"), "g2").join(level(1, "g1"), "g1").drop("g1")
+    whole = best.filter("grp = 'all'").select("centre", "white").first()  # none without good documents, and then no row below
+
+    def estimate(centre, white) -> tuple[np.ndarray, np.ndarray]:
+        root = np.linalg.inv(_square(white))
+        return np.array(centre), root @ root.T
+
+    def draw(frames):
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                at, wide = estimate(*whole)
+                for n, count in ((1, row["k1"]), (2, row["k"])):
+                    own = count / (count + PRIOR_ROWS)
+                    centre, spread = estimate(row[f"centre{n}"], row[f"white{n}"])
+                    at, wide = own * centre + (1 - own) * at, own * spread + (1 - own) * wide
+                out.append((row["g2"], at.tolist(), _lower(np.linalg.inv(np.linalg.cholesky(wide)))))
+            yield pd.DataFrame(out, columns=["g2", "centre", "white"])
+
+    return saved(known.mapInPandas(draw, "g2 string, centre array<double>, white array<double>"), "models")
+
+
+def judge(counted: DataFrame, models: DataFrame) -> DataFrame:
+    """Add distance (null where a language and source has no good document) and kept."""
     rows = counted.withColumns({f"x{i}": x for i, x in enumerate(_features())})
-    rows = _with_model(_on_group(rows, groups), models).withColumn("distance", _distance())
+    rows = _with_model(rows, models, "g2", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    return rows.withColumn("kept", kept).drop("g2", "grp", "centre", "white", *[f"x{i}" for i in range(len(FEATURES))])
+    return rows.withColumn("kept", kept).drop("g1", "g2", "centre", "white", *[f"x{i}" for i in range(SIZE)])
 
 
 def _counted(docs: DataFrame, keep: list[str], text: str, lang: str, source: str) -> DataFrame:
@@ -278,13 +365,12 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``kept`` is false for documents that fail the base rules (null, empty and short texts do) and
     for those whose squared distance exceeds ``CUTOFF``.  Estimates are made from documents that
-    pass the base rules, per language and source (null is a value of its own); groups below
-    ``GROUP_ROWS`` rows take the estimate of all documents of their language, small languages that
-    of all documents, and without ``GROUP_ROWS`` rows in all nothing is rejected by distance.  Rows with equal texts
-    in one group get one verdict; repeated rows stay.
+    pass the base rules, per language and source (null is a value of its own), and drawn towards
+    those of the language and of all documents, the more the fewer rows there are.  Rows with equal
+    texts in one group get one verdict; repeated rows stay; an empty table gives no rows.
     """
     counted = saved(_counted(docs, [doc_id], text, lang, source), "counts")
-    judged = judge(counted, *fit(counted))
+    judged = judge(counted, fit(counted))
     return judged.select(F.col("c0").alias("doc_id"), *COUNTS, "base_failed", "distance", "kept")
 
 
@@ -295,5 +381,5 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     no shuffle and no row key.
     """
     found = fit(saved(_counted(docs, [], text, lang, source), "counts"))
-    judged = judge(_counted(docs, docs.columns, text, lang, source), *found)
+    judged = judge(_counted(docs, docs.columns, text, lang, source), found)
     return judged.filter("kept").select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)])
