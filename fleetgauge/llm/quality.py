@@ -301,7 +301,8 @@ def least_determinants(rows: DataFrame) -> DataFrame:
 
 
 def _label(*columns: str) -> Column:
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    """One text for the values of the columns, whatever their names."""
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]), {"ignoreNullFields": "false"})
 
 
 def fit(counted: DataFrame) -> DataFrame:
