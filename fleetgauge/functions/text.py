@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -74,25 +75,37 @@ def parse_level_log(df: DataFrame, text: str, minimum_mean: float) -> DataFrame:
 def parse_prefixed_pairs(df: DataFrame, text: str, prefix: str, names: Sequence[str]) -> DataFrame:
     """``<prefix><name>=<number>`` lines as one column per name; the last line of a name counts.
 
-    Lines are folded inside the row, so no explode and no pivot shuffle are needed.
+    One expression takes the prefixed lines out of the log.  They and the texts of the names are
+    columns of their own, so that no name reads the log again, and are folded inside the row, so
+    no explode and no pivot shuffle are needed.
     """
-    lines = F.filter(F.split(text, LINE_BREAK), lambda l: l.startswith(prefix) & l.contains("="))
+    taken, helpers = {n.lower() for n in [*df.columns, *names, "errors"]}, []
+    for helper in ("_lines", *[f"_text_{i}" for i in range(len(names))]):
+        while helper.lower() in taken:
+            helper = f"_{helper}"
+        taken.add(helper.lower())
+        helpers.append(helper)
+    found, texts = helpers[0], dict(zip(names, map(F.col, helpers[1:])))
+    # The literal comes first, which the engine looks for without trying every character.
+    fixed, breaks = re.escape(prefix), LINE_BREAK.split("|")[1]
+    pattern = f"{fixed}(?<=(?:^|{breaks}){fixed})[^{breaks[1:]}*"
+    lines = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda l: l.contains("="))
     key = lambda l: F.substring_index(F.substr(l, F.lit(len(prefix) + 1)), "=", 1)
     raw = lambda l: F.regexp_extract(l, "(?s)^[^=]*=(.*)$", 1)
 
     def last_of(name: str) -> Column:
-        return F.try_element_at(F.transform(F.filter(lines, lambda l: key(l) == F.lit(name)), raw), F.lit(-1))
+        return F.try_element_at(F.transform(F.filter(found, lambda l: key(l) == F.lit(name)), raw), F.lit(-1))
 
-    texts = {n: last_of(n) for n in names}
     values = {n: texts[n].try_cast("double") for n in names}
     bad = F.lit(False)
     for n in names:
         bad = bad | (texts[n].isNotNull() & values[n].isNull())
     missing = F.array_join(R.labels([(n, texts[n].isNull()) for n in sorted(names)]), ", ")
-    return df.withColumns({
+    folded = df.withColumn(found, lines).withColumns({h: last_of(n) for h, n in zip(helpers[1:], names)})
+    return folded.withColumns({
         **values,
         "errors": R.labels([("invalid value", bad), (F.concat(F.lit("missing fields: "), missing), missing != "")]),
-    })
+    }).drop(*helpers)
 
 
 def filled_lines(text: Column) -> Column:
