@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions import rules as R
 
+# Rows of both sides that a task of ``evidence_set_errors`` gets, about.
+TASK_ROWS = 500_000
+
 
 def pair_frames(reference: DataFrame, candidate: DataFrame, keys: Sequence[str], shape: str = "shape") -> DataFrame:
     """Reference and candidate rows of the same key as ``r`` and ``c``; unequal shapes are marked.
@@ -142,8 +145,12 @@ def evidence_set_errors(references: DataFrame, candidates: DataFrame, key: str,
                         expected_frames: int, shared_engine: str | None = None) -> DataFrame:
     """Candidate outputs must be exactly ``products`` and agree with their reference.
 
-    The product named ``shared_engine`` must also use the engine of the reference.
+    The product named ``shared_engine`` must also use the engine of the reference.  Both sides are
+    dealt by counted rows, so that a task's memory does not grow with the tables, and products
+    are flags of a set, not distinct values that every (key, product) would hold a place for.
     """
+    parts = (references.count() + candidates.count()) // TASK_ROWS + 1
+    references, candidates = references.repartition(parts, key), candidates.repartition(parts, key)
     fields = [*EVIDENCE_FIELDS.values(), "frames", "engine_sha256"]
     reference = references.select(key, *[F.col(f).alias(f"_r_{f}") for f in fields])
     rules = [(f"changed {label}", R.differs(F.col(f), F.col(f"_r_{f}"))) for label, f in EVIDENCE_FIELDS.items()]
@@ -154,9 +161,11 @@ def evidence_set_errors(references: DataFrame, candidates: DataFrame, key: str,
     known = F.coalesce(F.col("product").isin(*products), F.lit(False))
     per_set = judged.groupBy(key).agg(
         F.sum("_changes").alias("changes"), F.count("*").alias("_n"), F.count_if(~known).alias("_other"),
-        F.count_distinct("product").alias("_distinct"),
+        *[F.bool_or(F.col("product") == p).alias(f"_has_{i}") for i, p in enumerate(products)],
     )
-    exact = (F.col("_n") == len(products)) & (F.col("_distinct") == len(products)) & (F.col("_other") == 0)
+    exact = (F.col("_n") == len(products)) & (F.col("_other") == 0) & F.lit(len(set(products)) == len(products))
+    for i in range(len(products)):
+        exact = exact & F.col(f"_has_{i}")
     return references.select(key, "frames").join(per_set, key, "left").select(
         key, F.coalesce("changes", F.lit(0)).alias("changes"),
         R.labels([
