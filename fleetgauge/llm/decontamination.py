@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.storage import free
+from fleetgauge.llm.storage import free, small_batches
 
 WINDOW = 13
 BLOCK_WORDS = 50_000
@@ -198,6 +198,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has a column {out} already")
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = []
     for ids, parts in item_blocks(benchmark, item, item_text, window, block_words):
         names = [None if i is None else str(i) for i in ids]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge.llm.components import connected_components, near_labels
-from fleetgauge.llm.storage import free, saved
+from fleetgauge.llm.storage import free, saved, small_batches
 from fleetgauge.llm.words import mix64, row_groups, shingles, utf8, words
 
 SHINGLE_WORDS = 4
@@ -277,6 +277,7 @@ def _compare_blocks(percent: int):
 
 def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, id) per row and the links (a, b) between set ids that connect every component."""
+    small_batches(docs.sparkSession)
     table = profiles(docs, doc_id, text, size, percent)
     postings = table.filter("n > 0").select("id", "n", F.explode("first").alias("token"))
     # Tokens of at least two different sets; minima and maxima combine map-side, so copies cost nothing.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.storage import saved
+from fleetgauge.llm.storage import saved, small_batches
 from fleetgauge.llm.words import EXACT_VALUES, NOT_SPACE, PIECE_BYTES, mix64, row_groups, utf8, windows, words
 
 WINDOW_WORDS = 8
@@ -115,6 +115,7 @@ def text_counts(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(lo, hi - lo) for c in keep], *[pa.array(found[c], pa.int64()) for c in COUNTS]], names=[*keep, *COUNTS])
 
+    small_batches(docs.sparkSession)
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(count, f"{kept}, " + ", ".join(f"{c} long" for c in COUNTS))
 
