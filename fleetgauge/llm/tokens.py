@@ -8,8 +8,11 @@ covers lost executors and no task writes files of its own.
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +26,74 @@ from fleetgauge.llm.words import EXACT_VALUES, NOT_SPACE, mix64, row_groups, utf
 
 END_ID = 2
 SEGMENT_IDS = 1 << 22
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+_SEPARATED = mix64(np.arange(256, dtype=np.uint64))
+_LETTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_OTHER[:0x80] = ~_LETTER[:0x80] & NOT_SPACE[:0x80]
+
+
+def _after_letters(piece: np.ndarray) -> np.ndarray:
+    """Where ASCII other than letters and white space follows a letter of ASCII or U+00C0 to U+00FF."""
+    at = np.flatnonzero(_OTHER[piece])
+    at = at[at > 0]
+    before, lead = piece[at - 1], piece[np.maximum(at - 2, 0)]
+    return at[_LETTER[before] | (lead == 0xC3) & (at > 1) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)]
+
+
+class _Places:
+    """Numbers 0, 1, ... of 64-bit keys in the order they came, by open addressing in two arrays."""
+
+    def __init__(self) -> None:
+        self.count = 0
+        self._make(1 << 16)
+
+    def _make(self, places: int) -> None:
+        self.mask, self.keys, self.numbers = places - 1, np.zeros(places, np.uint64), np.zeros(places, np.int32)
+
+    def _probe(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or else the free place where its search ended."""
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        held = self.keys[at]
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at[left]]
+            left = left[(held != keys[left]) & (held != 0)]
+        return at
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of ``keys``, which are not 0; -1 for a key not added yet."""
+        at = self._probe(keys)
+        return np.where(self.keys[at] == keys, self.numbers[at], -1)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct new keys get the next numbers."""
+        numbers = np.arange(self.count, self.count + len(keys), dtype=np.int32)
+        self.count += len(keys)
+        if 2 * self.count > self.mask:
+            there = np.flatnonzero(self.keys)
+            keys, numbers = np.concatenate([self.keys[there], keys]), np.concatenate([self.numbers[there], numbers])
+            self._make(1 << (2 * self.count).bit_length())
+        while len(keys):
+            at = self._probe(keys)
+            self.keys[at] = keys
+            won = self.keys[at] == keys      # one of those that met at a free place
+            self.numbers[at[won]] = numbers[won]
+            keys, numbers = keys[~won], numbers[~won]
 
 
 class Tokenizer:
-    """Ids of texts by the ``tokenizers`` library, each distinct word with its separator encoded once.
+    """Ids of texts by the ``tokenizers`` library, each distinct piece with its separator encoded once.
 
     Byte-level BPE never merges across its pre-tokens, and a single space or line end between two
-    characters that are not white space always starts one.  A text with no other white space is
-    thus the concatenation of its words, each with the separator before it.  All other texts
-    go to the library whole.  Words are known by 64-bit hashes.
+    characters that are not white space always starts one.  So does an ASCII character that is no
+    letter after a letter.  A text with no other white space is thus the concatenation of such
+    pieces, each with the separator before it.  All other texts go to the library whole.  Pieces are
+    known by 64-bit hashes.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
 
@@ -47,41 +103,45 @@ class Tokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known = _Places()
         self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of words without white space inside: many at once, with line ends between them as tokens of their own."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), JOINED):
-            part = texts[at:at + JOINED]
-            ids = self._whole(["\n".join(part)])[0]
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, separators: np.ndarray) -> None:
+        """Encode new pieces, many at once, with line ends between them as tokens of their own.
+
+        A piece that follows a line end in its text takes the token of the one before it here.
+        """
+        starts = starts - (separators == 0x20)
+        sizes = ends - starts + 1
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        text = data.take(np.repeat(starts - edge[:-1], sizes) + np.arange(edge[-1]), mode="clip")
+        text[edge[1:] - 1] = 0x0A
+        for at in range(0, len(starts), JOINED):
+            last = min(at + JOINED, len(starts))
+            ids = self._whole([text[edge[at]:edge[last]].tobytes().decode()])[0]
             cuts = np.flatnonzero(ids == self.line_end[0])
-            out += [ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])] if len(cuts) == len(part) - 1 else self._whole(part)
-        return out
-
-    def _learn(self, keys: list[int], words_: list[str], separators: np.ndarray) -> None:
-        found = self._words([" " + w if s == 0x20 else w for w, s in zip(words_, separators)])
-        found = [np.concatenate([self.line_end, ids]) if s == 0x0A else ids for ids, s in zip(found, separators)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.slots.update(zip(keys, range(len(self.sizes), len(self.sizes) + len(keys))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *found])
+            if len(cuts) != last - at or cuts[-1] != len(ids) - 1:
+                ids = np.concatenate([np.append(self._whole([text[edge[n]:edge[n + 1] - 1].tobytes().decode()])[0], self.line_end) for n in range(at, last)])
+                cuts = np.flatnonzero(ids == self.line_end[0])
+            begins = np.concatenate([[0], cuts[:-1] + 1]) + 1 - (separators[at:last] == 0x0A)
+            self.starts = np.concatenate([self.starts, len(self.flat) + begins])
+            self.sizes = np.concatenate([self.sizes, cuts + 1 - begins])
+            self.flat = np.concatenate([self.flat, self.line_end, ids])
+        self.known.add(keys)
 
     def _odd_rows(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows with white space other than single spaces and line ends between words, or with a special token."""
+        """Rows with white space other than single spaces and line ends between pieces, or with a special token."""
         count = len(offsets) - 1
         odd = np.zeros(count, bool)
         inner = rows[1:] == rows[:-1]
-        odd[rows[1:][inner & (starts[1:] - ends[:-1] != 1)]] = True
-        gap = data[ends[:-1][inner]]
-        odd[rows[1:][inner][(gap != 0x20) & (gap != 0x0A)]] = True
-        # Words must cover the row but for one separator between each two.
-        size = np.bincount(rows, weights=ends - starts, minlength=count) + np.maximum(np.bincount(rows, minlength=count) - 1, 0)
+        after, gap = ends[:-1][inner], (starts[1:] - ends[:-1])[inner]
+        between = rows[1:][inner]
+        odd[between[(gap > 1) | (gap == 1) & (data[after] != 0x20) & (data[after] != 0x0A)]] = True
+        # Pieces must cover the row but for the separators between them.
+        size = np.bincount(rows, weights=ends - starts, minlength=count) + np.bincount(between, weights=gap, minlength=count)
         odd |= size != np.diff(offsets)
         piece = data[offsets[0]:offsets[-1]]
         lead = np.flatnonzero((piece >= 0x1C) & (piece <= 0x1F) | (piece == 0xC2) | (piece >= 0xE1) & (piece <= 0xE3))
@@ -101,21 +161,24 @@ class Tokenizer:
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of UTF-8 ``data``."""
-        if len(self.slots) > CACHE_WORDS:
+        if self.known.count > CACHE_WORDS:
             self._forget()
-        rows, starts, ends, hashes = words(data, offsets, NOT_SPACE, EXACT_VALUES)
+        rows, starts, ends, hashes = words(data, offsets, NOT_SPACE, EXACT_VALUES, _after_letters)
         count = len(offsets) - 1
         odd = self._odd_rows(data, offsets, rows, starts, ends) if len(rows) else np.diff(offsets) > 0
-        plain = ~odd[rows]
-        rows, starts, ends, hashes = rows[plain], starts[plain], ends[plain], hashes[plain]
-        separators = np.where(starts == offsets[rows], 0, data[np.maximum(starts, 1) - 1])
-        keys, first, place = np.unique(hashes ^ mix64(separators.astype(np.uint64)), return_index=True, return_inverse=True)
-        named = keys.tolist()
-        fresh = [n for n, key in enumerate(named) if key not in self.slots]
-        if fresh:
-            at = first[fresh]
-            self._learn([named[n] for n in fresh], [data[a:b].tobytes().decode() for a, b in zip(starts[at], ends[at])], separators[at])
-        slot = np.array([self.slots[key] for key in named], np.int64)[place] if len(place) else np.zeros(0, np.int64)
+        if odd.any():
+            plain = ~odd[rows]
+            rows, starts, ends, hashes = rows[plain], starts[plain], ends[plain], hashes[plain]
+        separators = data[np.maximum(starts, 1) - 1] if len(starts) else np.zeros(0, np.uint8)
+        separators[(starts == offsets[rows]) | (separators != 0x20) & (separators != 0x0A)] = 0
+        keys = hashes ^ _SEPARATED[separators]
+        keys[keys == 0] = 1
+        slot = self.known.find(keys)
+        lacking = np.flatnonzero(slot < 0)
+        if len(lacking):
+            at = lacking[np.sort(np.unique(keys[lacking], return_index=True)[1])]
+            self._learn(keys[at], data, starts[at], ends[at], separators[at])
+            slot[lacking] = self.known.find(keys[lacking])
         sizes = self.sizes[slot]
         borders = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[slot] - borders + sizes, sizes) + np.arange(int(sizes.sum()))]
@@ -133,6 +196,16 @@ class Tokenizer:
 JOINED = 2000
 
 
+def _kept(path: str) -> tuple[dict, tuple]:
+    """What tasks of one Python worker leave each other, and the key of the tokenizer at ``path`` in it.
+
+    The package travels by value, so its own globals are made anew for every task.
+    """
+    facts = os.stat(path)
+    module = sys.modules.setdefault("fleetgauge_worker", ModuleType("fleetgauge_worker"))
+    return module.__dict__.setdefault("tokenizers", {}), (path, facts.st_size, facts.st_mtime_ns)
+
+
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
                      segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Write all texts as segments; returns the stored table part, segment, n_ids, data, doc_ids, counts.
@@ -147,7 +220,9 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     end = np.array([end_id], "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, segment = Tokenizer(path), TaskContext.get().partitionId(), 0
+        kept, key = _kept(path)
+        tokenizer = kept.pop(key, None) or Tokenizer(path)
+        part, segment = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         names: list = []
         size = 0
@@ -173,6 +248,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                         held, names, size, segment = [], [], 0, segment + 1
         if held:
             yield flush()
+        kept[key] = tokenizer  # only a task that came to its end hands it on
 
     schema = f"part int, segment int, n_ids long, data binary, doc_ids array<{kind.simpleString()}>, counts array<long>"
     return saved(ordered.mapInArrow(write, schema), "segments")

@@ -7,7 +7,7 @@ than a piece is cut between words, so memory does not follow its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +85,12 @@ def _pieces(data: np.ndarray, word: np.ndarray, start: int, stop: int) -> Iterat
     yield start, stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_SPACE, values: np.ndarray | None = LOWER_VALUES):
+def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_SPACE, values: np.ndarray | None = LOWER_VALUES,
+          cuts: Callable[[np.ndarray], np.ndarray] | None = None):
     """Row number, byte start, byte end and 64-bit hash of every word, in order.
 
-    Rows are numbered from 0 for ``offsets[0]``.  Without ``values`` no hash is made.
+    Rows are numbered from 0 for ``offsets[0]``.  Without ``values`` no hash is made.  ``cuts``
+    gives the bytes inside words, but not their first, at which another word starts.
     """
     rows, starts, ends, hashes = [], [], [], []
     for a, b in _pieces(data, word, int(offsets[0]), int(offsets[-1])):
@@ -99,6 +101,10 @@ def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = NOT_SPACE, v
         opens, closes = inside.copy(), inside.copy()
         opens[1:] &= ~inside[:-1]
         closes[:-1] &= ~inside[1:]
+        if cuts is not None:
+            cut = cuts(piece)
+            opens[cut] = True
+            closes[cut - 1] = True
         borders = offsets[(offsets > a) & (offsets < b)] - a
         opens[borders] = inside[borders]
         closes[borders - 1] = inside[borders - 1]
